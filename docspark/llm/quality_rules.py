@@ -32,14 +32,20 @@ def windows(hashes: Column, n: Column, size: int) -> Column:
     return F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered(wins: Column, size: int) -> Column:
-    """Words that lie in windows found more than once: equal windows are neighbours once sorted."""
-    order = F.array_sort(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = lambda x, j: F.coalesce(F.get(order, j)["h"] == x["h"], F.lit(False))
-    at = F.array_sort(F.filter(F.transform(order, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"])), lambda i: i.isNotNull()))
-    return at, lambda at: F.aggregate(
-        F.transform(at, lambda i, j: F.least(F.lit(size), F.coalesce(F.get(at, j + 1) - i, F.lit(size)))), F.lit(0).cast("bigint"), lambda a, x: a + x
-    )
+def with_covered(df: DataFrame, wins: str, when: str, size: int, out: str) -> DataFrame:
+    """Adds the number of words that lie in windows found more than once: once sorted, equal windows are neighbours.
+
+    A column for each step: an expression named inside a lambda would be worked out again for each element.
+    """
+    order = F.sort_array(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda x, j: F.coalesce(F.get("__order", j)["h"] == x["h"], F.lit(False))
+    found = F.filter("__order", lambda x, j: same(x, j - 1) | same(x, j + 1))
+    at = F.sort_array(F.transform("__found", lambda x: x["i"]))
+    widths = F.transform("__at", lambda i, j: F.least(F.lit(size), F.coalesce(F.get("__at", j + 1) - i, F.lit(size))))
+    total = F.aggregate("__widths", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    for name, step in (("__order", order), ("__found", found), ("__at", at), ("__widths", widths)):
+        df = df.withColumn(name, F.when(F.col(when), step))
+    return df.withColumn(out, F.when(F.col(when), total).otherwise(F.lit(0).cast("bigint")))
 
 
 def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,9 +63,8 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     three = two.withColumn("wins", windows(F.col("hashes"), F.col("n"), WINDOW))
     four = three.withColumn("repeats", F.size(F.array_distinct("wins")) < F.size("wins"))
-    at, total = covered(F.col("wins"), WINDOW)
-    five = four.withColumn("at", F.when(F.col("repeats"), at))
-    return five.select("doc_id", F.col("n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("repeats"), total(F.col("at"))).otherwise(F.lit(0).cast("bigint")).alias("n_repeat_words"), "hashes")
+    five = with_covered(four, "wins", "repeats", WINDOW, "n_repeat_words")
+    return five.select("doc_id", F.col("n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "hashes")
 
 
 def ngram_buckets(hashes: Column, buckets: int) -> Column:
@@ -82,7 +87,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, trust
     return [math.log((g + prior * r / n_raw) / (n_good + prior) / (r / n_raw)) for g, r in zip(good, raw, strict=True)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, least: float = -0.3, **fit) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, least: float = -0.25, **fit) -> DataFrame:
     """(doc_id, the base counts, base_failed, llr, kept), a row per row of docs."""
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in log_ratios(docs, labels, buckets, **fit))), ",").cast("array<float>")
     mean = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size(grams), F.lit(1))
