@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact_dedup, quality_rules, sharding
+from docspark.llm import exact_dedup, packing, pieces, quality_rules, sharding
 from docspark.llm.common import table
 
 
@@ -16,6 +16,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_files() -> dict[str, str]:
+    import public_tokenizers as files
+
+    return {"tokenizer": files.path("byte_bpe_50k.json"), "ranks": files.path("byte_bpe_50k.tiktoken"), "pattern": files.PATTERN}
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,8 +34,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.map_ids(docs, files.path("piece_bpe_32k.model"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", pieces.digests)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op6_quality_rules, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_sharding, op5_packing, op6_quality_rules, op9_exact_dedup, op10_sentencepiece)}
 
 
 OP9_SQL = r"""
