@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The separators between words: space and U+0009 to U+000D, as a Java regex class and as characters.
 SPACES = r"\x20\x09-\x0D"
@@ -90,6 +92,37 @@ def slices(column: pa.Array, size: int = SLICE_BYTES):
         at = end
 
 
+def text_blocks(column: pa.Array, size: int = SLICE_BYTES):
+    """Lists of texts of about size bytes together."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = total = 0
+    for k, s in enumerate(sizes.tolist()):
+        total += s
+        if total >= size:
+            yield column.slice(at, k + 1 - at).to_pylist()
+            at, total = k + 1, 0
+    if at < len(sizes):
+        yield column.slice(at).to_pylist()
+
+
+def map_texts(df: DataFrame, fields: str, make, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """df's columns (without text unless kept) and `fields`, a schema. make() is called once a task, and what it returns
+    turns a list of texts into a list of tuples."""
+    others = [c for c in df.columns if keep_text or c != text]
+    extra = StructType.fromDDL(fields)
+    schema = StructType([*(df.schema[c] for c in others), *extra])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        own = make()
+        for batch in batches:
+            rows = [row for block in text_blocks(batch.column(len(others))) for row in own(block)]
+            cols = [pa.array([r[k] for r in rows], arrow.field(len(others) + k).type) for k in range(len(extra))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *cols], schema=arrow)
+
+    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
 def _table(seed: int, n: int = 256) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -16,9 +16,15 @@ Defined cases: null and empty text have no ids and decode to the empty text; tex
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docspark.llm.common import map_texts
 
 SPACE = "▁"
 FAR = np.int64(1 << 40)
@@ -251,50 +257,18 @@ def model(path: str) -> PieceModel:
 # ------------------------------------------------------------ columns
 
 
-def _blocks(column, size: int = 1 << 20):
-    """Runs of texts of about size bytes, so that what is held does not follow the Arrow batch."""
-    at, n, sizes = 0, 0, [len(x) if (x := v.as_buffer()) else 0 for v in column.cast("large_binary")]
-    for k, s in enumerate(sizes):
-        n += s
-        if n >= size:
-            yield column.slice(at, k + 1 - at).to_pylist()
-            at, n = k + 1, 0
-    if at < len(sizes):
-        yield column.slice(at).to_pylist()
-
-
-def map_ids(df, path: str, fields: str, make, text: str = "text"):
+def map_ids(df: DataFrame, path: str, fields: str, make, text: str = "text") -> DataFrame:
     """df's columns but text, and what make(model, ids) returns for each text's ids under `fields` (a schema)."""
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return map_texts(df, fields, lambda: lambda texts: [make(model(path), ids) for ids in model(path).encode(texts)], text)
 
-    others = [c for c in df.columns if c != text]
-    extra = StructType.fromDDL(fields)
-    schema = StructType([*(df.schema[c] for c in others), *extra])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        own = model(path)
-        for batch in batches:
-            rows = [make(own, ids) for block in _blocks(batch.column(len(others))) for ids in own.encode(block)]
-            cols = [pa.array([r[k] for r in rows], arrow.field(len(others) + k).type) for k in range(len(extra))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *cols], schema=arrow)
 
-    return df.select(*others, F.col(text).cast("string")).mapInArrow(run, schema)
-
-
-def encode_column(df, path: str, text: str = "text"):
+def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df without text, with ids (array of int)."""
     return map_ids(df, path, "ids array<int>", lambda m, ids: (ids,), text)
 
 
-def decode_column(df, path: str, ids: str = "ids"):
+def decode_column(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with `decoded`, the text of ids; null ids are none."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
         own = model(path)
@@ -305,7 +279,5 @@ def decode_column(df, path: str, ids: str = "ids"):
 
 def digests(own: PieceModel, ids: list[int]) -> tuple[int, str, str]:
     """How many ids, and SHA-256 of their decimals and of their decoded text."""
-    import hashlib
-
     table = own.texts
     return len(ids), hashlib.sha256(",".join([table[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()

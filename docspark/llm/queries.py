@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact_dedup, packing, pieces, quality_rules, sharding
-from docspark.llm.common import table
+from docspark.llm import exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, sharding
+from docspark.llm.common import doc_bucket, table
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def language_model(docs: DataFrame):
+    """Learned from the rows that may be learned from."""
+    import public_tokenizers as files
+
+    texts, langs = language_id.sample(docs.filter(doc_bucket(F.col("doc_id"), 3) != 1), 1500)
+    return language_id.train(texts, langs, files.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language_id.identify(docs.select("doc_id", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "text"), language_model(docs))
+
+
 def tokenizer_files() -> dict[str, str]:
     import public_tokenizers as files
 
@@ -30,6 +43,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Learned from the rows that may be learned from."""
+    return quality_classifier.fit(docs, labels.filter(doc_bucket(F.col("doc_id"), 4) != 2))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs.select("doc_id", (doc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), ranker)
+    return scored.withColumn("predicted", (F.col("score") >= quality_classifier.AT).cast("int"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -42,7 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op5_packing, op6_quality_rules, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
 
 
 OP9_SQL = r"""
