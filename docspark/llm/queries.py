@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, sharding
+from docspark.llm import exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, sharding, warc
 from docspark.llm.common import doc_bucket, table
 
 
@@ -43,6 +43,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, warc.write(table(spark, sf_dir, "pages"))).filter("record_type <> 'gap'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def quality_model(docs: DataFrame, labels: DataFrame):
     """Learned from the rows that may be learned from."""
     return quality_classifier.fit(docs, labels.filter(doc_bucket(F.col("doc_id"), 4) != 2))
@@ -67,7 +72,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op7_warc, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
 
 
 OP9_SQL = r"""
@@ -80,5 +85,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 F
 """
 
 
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL}
