@@ -196,11 +196,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
             s = np.sort(acc[a : b - k + 1])
             out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s)
         elif b > a:
-            h = np.uint64(b - a) * BASE
-            for x in words[a:b]:
-                h = (h ^ x) * m
+            h = np.array([b - a], np.uint64) * BASE
+            for j in range(a, b):
+                h = (h ^ words[j]) * m
                 h ^= h >> np.uint64(29)
-            out.append(mix(np.array([h], np.uint64)))
+            out.append(mix(h))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
