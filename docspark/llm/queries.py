@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact_dedup, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, warc
+from docspark.llm import exact_dedup, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, warc
 from docspark.llm.common import doc_bucket, table
 
 
@@ -13,6 +13,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + F.lit(8)).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -76,7 +80,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op7_warc, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op7_warc, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
 
 
 OP9_SQL = r"""
