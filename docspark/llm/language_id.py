@@ -248,8 +248,8 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; a worker keeps the words it has scored for its next tasks."""
+def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False) -> DataFrame:
+    """docs (without text unless kept) with the prediction and its posterior; a worker keeps the words it has scored for its next tasks."""
     held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
@@ -258,4 +258,15 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             _scorers[key] = Scorer(held.value)
         return _scorers[key]
 
-    return map_texts(docs, "lang_pred string, score double", make, text)
+    return map_texts(docs, f"{names[0]} string, {names[1]} double", make, text, keep_text)
+
+
+def keep_known(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that have a language, of a posterior of at least `least`, with all their columns.
+
+    Without a model there is no language to miss: only texts without a letter go.
+    """
+    if model is None:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
+    found = identify(docs, model, text, ("__lang", "__posterior"), True)
+    return found.filter((F.col("__lang") != "und") & (F.col("__posterior") >= least)).drop("__lang", "__posterior")
