@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 SPACES = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text is handled in slices of about this many bytes, so memory does not follow the Arrow batch.
 SLICE_BYTES = 1 << 20
 
@@ -53,7 +54,10 @@ def drop_stash(df: DataFrame) -> None:
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers started by a driver that found this package on sys.path find it as well."""
+    """Lets Python workers started by a driver that found this package on sys.path find it as well, and keeps batches of
+    texts small: a worker and its JVM hold several copies of a batch."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default
+        spark.conf.set(BATCH_ROWS, "2000")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -106,10 +110,11 @@ def text_blocks(column: pa.Array, size: int = SLICE_BYTES):
 
 
 def map_texts(df: DataFrame, fields: str, make, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """df's columns (without text unless kept) and `fields`, a schema. make() is called once a task, and what it returns
-    turns a list of texts into a list of tuples."""
-    others = [c for c in df.columns if keep_text or c != text]
+    """df's columns (without text unless kept) and `fields`, a schema, in place of any so named. make() is called once a
+    task, and what it returns turns a list of texts into a list of tuples."""
+    with_workers(df.sparkSession)
     extra = StructType.fromDDL(fields)
+    others = [c for c in df.columns if (keep_text or c != text) and c not in extra.names]
     schema = StructType([*(df.schema[c] for c in others), *extra])
     arrow = to_arrow_schema(schema)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import new_path
+from docspark.llm.common import new_path, with_workers
 
 
 @functools.lru_cache(1)
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, doc_id: str
 
     kinds = {"bigint": pa.int64(), "boolean": pa.bool_()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in PIECES.split(", ")])
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "pieces")
+    spark, path = with_workers(docs.sparkSession), new_path(docs.sparkSession, "pieces")
     # Kept apart by whether their window is still open: only those, at most `windows` a partition, are read again to merge.
     docs.select(F.col(doc_id).cast("bigint"), text).mapInArrow(partition, PIECES).write.partitionBy("open").parquet(path)
     pieces = spark.read.schema(PIECES).parquet(path)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import map_texts
+from docspark.llm.common import map_texts, with_workers
 
 SPACE = "▁"
 FAR = np.int64(1 << 40)
@@ -222,7 +222,7 @@ class PieceModel:
         except UnicodeDecodeError:
             text = self._loose(ids)
         text = text.replace(SPACE, " ")
-        return text[1:] if text[:1] == " " and ids and not self.is_byte[ids[0]] else text
+        return text[1:] if ids and self.text_of[ids[0]].startswith(SPACE.encode()) else text
 
     def _loose(self, ids: list[int]) -> str:
         out, run = [], b""
@@ -269,6 +269,8 @@ def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with `decoded`, the text of ids; null ids are none."""
+    with_workers(df.sparkSession)
+
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
         own = model(path)

@@ -2,7 +2,8 @@
 
 Everything is columns over one row's arrays, so no text is shuffled and no document meets another one; only bucket
 counts are. The trusted multinomial comes from a bounded sample of rows labelled good (`trusted_rows`, lowest hashes of
-doc_id first), the raw one from all documents, both over `buckets` hashed word unigrams and bigrams. A document's score
+doc_id first), the raw one from all documents, both over `buckets` hashed
+word unigrams and as many bigrams. A document's score
 is its mean log ratio per n-gram; it is kept when that is at least `least`, and no base rule failed.
 
 Defined cases: null and empty text have no words and fail the base rule; without any labelled row the ratio is 0 for
@@ -68,9 +69,10 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def ngram_buckets(hashes: Column, buckets: int) -> Column:
-    """The buckets of a row's word unigrams and bigrams."""
-    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    return F.concat(F.transform(hashes, bucket), F.transform(F.slice(hashes, 2, 2147483647), lambda h, i: bucket(F.xxhash64(h, F.get(hashes, i)))))
+    """The buckets of a row's word unigrams, and beyond those of its bigrams, so that neither blurs the other's counts."""
+    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.concat(single, F.transform(after, lambda h, i: (F.pmod(F.xxhash64(h, F.get(hashes, i)), F.lit(buckets)) + buckets).cast("int")))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, trusted_rows: int = 20_000, prior: float = 5_000.0) -> list[float]:
@@ -78,16 +80,19 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, trust
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
     hashed = docs.select("doc_id", F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     marked = hashed.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
-    counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # at most `buckets` rows
-    raw, good = [0.5] * buckets, [0] * buckets
+    counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # at most 2 * buckets rows
+    raw, good = [0.5] * 2 * buckets, [0] * 2 * buckets
     for r in counts:
         raw[r["bucket"]] += r["raw"]
         good[r["bucket"]] += r["good"]
-    n_raw, n_good = sum(raw), sum(good)
-    return [math.log((g + prior * r / n_raw) / (n_good + prior) / (r / n_raw)) for g, r in zip(good, raw, strict=True)]
+    out = []
+    for part in (slice(0, buckets), slice(buckets, None)):  # a multinomial for each order
+        n_raw, n_good = sum(raw[part]), sum(good[part])
+        out += [math.log((g + prior * r / n_raw) / (n_good + prior) / (r / n_raw)) for g, r in zip(good[part], raw[part], strict=True)]
+    return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, least: float = -0.25, **fit) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, least: float = -0.11, **fit) -> DataFrame:
     """(doc_id, the base counts, base_failed, llr, kept), a row per row of docs."""
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in log_ratios(docs, labels, buckets, **fit))), ",").cast("array<float>")
     mean = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size(grams), F.lit(1))

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import new_path, stash
+from docspark.llm.common import new_path, stash, with_workers
 
 VERSION = b"WARC/1.1"
 #: A payload smaller than this is always stored.
@@ -212,7 +212,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str | None = None, compress: bool = True, file_bytes: int = 64 << 20) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) under path, and returns the manifest (file, records, bytes)."""
-    spark = pages.sparkSession
+    spark = with_workers(pages.sparkSession)
     root = path or new_path(spark, "warc")
     again = stash(revisits(pages), "revisits")
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -282,6 +282,7 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = False) -> DataF
         if rows:
             yield batch_of(rows)
 
+    with_workers(spark)
     n = max(1, spark.sparkContext.defaultParallelism * 4)
     return files.select("file").repartition(n).mapInArrow(run, READ)
 
