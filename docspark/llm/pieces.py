@@ -222,7 +222,8 @@ class PieceModel:
         except UnicodeDecodeError:
             text = self._loose(ids)
         text = text.replace(SPACE, " ")
-        return text[1:] if ids and self.text_of[ids[0]].startswith(SPACE.encode()) else text
+        first = next((table[i] for i in ids if table[i]), b"")  # control pieces have no text
+        return text[1:] if first.startswith(SPACE.encode()) else text
 
     def _loose(self, ids: list[int]) -> str:
         out, run = [], b""
