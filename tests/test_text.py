@@ -1,0 +1,100 @@
+"""Column helpers against Python's own methods."""
+
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docspark.functions import text
+from docspark.operators import layout, markdown
+
+ALPHABET = "aZбЯ ß1²9 \t\n\xa0 \x1c.:)•-–—▪►●|_'\U0001f600ҚAB12 3"
+TEXTS = st.lists(st.text(alphabet=ALPHABET, max_size=90), min_size=1, max_size=30)
+options = settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def column(spark, texts, make):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.x for r in df.select("i", make(F.col("t")).alias("x")).orderBy("i").collect()]
+
+
+@options
+@given(TEXTS)
+def test_strip(spark, texts):
+    assert column(spark, texts, text.strip) == [t.strip() for t in texts]
+
+
+def kind(raw):
+    t = raw.strip()
+    if len(t) < 3:
+        return "no_text"
+    if len(t) < 80 and t.isupper() or len(t) < 60 and t.endswith(":"):
+        return "header"
+    if t.startswith(("•", "-", "–", "—", "▪", "►", "●")) or t[0].isdigit() and t[1] in ".)":
+        return "list"
+    return "table" if sum(c.isdigit() for c in t) >= 4 and t.count(" ") >= 5 else "text"
+
+
+@options
+@given(TEXTS)
+def test_classify(spark, texts):
+    assert column(spark, texts, layout.classify) == [kind(t) for t in texts]
+
+
+def test_classify_edges(spark):
+    cases = ["A" * 79, "A" * 80, "a" * 58 + ":", "a" * 59 + ":", "1. x", "1) x", "10. x", "0.52 x", "² ok", "²) ok", "1 2 3 4  x", "1 2 3  x y z", "ab", "abc", "ПРИВЕТ", "ÇA VA", "STRASSE ß", None, ""]
+    assert column(spark, cases, layout.classify) == [kind(t or "") for t in cases]
+
+
+def item(raw):
+    t = raw.strip()
+    if t[:1] and t[0] in "•–—-▪►●":
+        t = t[1:].strip()
+    return t[2:].strip() if len(t) > 2 and t[0].isdigit() and t[1] in ".)" else t
+
+
+@options
+@given(TEXTS)
+def test_list_item(spark, texts):
+    assert column(spark, texts, markdown.list_item) == [item(t) for t in texts]
+
+
+def cells(row):
+    parts = row.split("\t") if "\t" in row else re.split(r"\s{2,}", row.strip())
+    return [c.strip() for c in parts if c.strip()]
+
+
+def table_lines(raw):
+    rows = raw.strip().split("\n")
+    head = cells(rows[0])
+    line = lambda c: "| " + " | ".join(c) + " |"
+    return ["", line(head), line(["---"] * len(head)), *(line((cells(r) + [""] * len(head))[: len(head)]) for r in rows[1:]), ""]
+
+
+@options
+@given(TEXTS)
+def test_table_lines(spark, texts):
+    assert column(spark, texts, markdown.table_lines) == [table_lines(t) for t in texts]
+
+
+def keywords(t):
+    seen, out = set(), []
+    for w in re.findall(r"[а-яА-ЯёЁa-zA-Z]{3,}", t):
+        if w.lower() not in seen:
+            seen.add(w.lower())
+            out.append(w)
+    return out
+
+
+@options
+@given(st.lists(st.text(alphabet="abAB бБв1 Қ", max_size=60), min_size=1, max_size=20))
+def test_keywords(spark, texts):
+    assert column(spark, texts, text.keywords) == [keywords(t) for t in texts]
+
+
+def test_words_previews_and_names(spark):
+    assert column(spark, ["Привет, ПРИВЕТ a_1 x²"], text.word_set) == [["привет", "a_1", "x²"]]
+    assert column(spark, ["abc", "abcd"], lambda c: text.preview(c, 3)) == ["abc", "abc..."]
+    assert column(spark, ["/a/b.c/doc.v1.pdf", "plain", "/x/.hidden"], text.stem) == ["doc.v1", "plain", ".hidden"]
+    assert column(spark, ["123", "1²", "12a", ""], text.is_digits) == [True, True, False, False]
