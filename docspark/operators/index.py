@@ -20,9 +20,16 @@ def normalised(df: DataFrame, vec: str = "vec", dim: int | None = None) -> DataF
 
 
 def write(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None) -> None:
-    """Saves chunks (source, chunk_id, …, vec). The row id hangs on the key alone, so appends and repeated tasks agree."""
+    """Saves chunks (source, chunk_id, …, vec). The row id hangs on the key alone, so appends and repeated tasks agree.
+
+    Besides Spark's modes there is `replace`, which replaces the sources that chunks has, and leaves others alone.
+    """
     rows = normalised(chunks, dim=dim).withColumn("row_id", F.xxhash64("source", "chunk_id"))
-    rows.write.mode(mode).partitionBy("source").parquet(path)
+    writer = rows.write.partitionBy("source")
+    if mode == "replace":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode(mode).parquet(path)
 
 
 def append(chunks: DataFrame, path: str, dim: int | None = None) -> None:

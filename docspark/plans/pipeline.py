@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators import charts, chunking, generation, images, index, layout, markdown, retrieval
 from docspark.sources import backends
 
-COMMON = ["doc_id", "block_no", "page_num", "block_type", "text"]
-
-
 def image_blocks(found: DataFrame) -> DataFrame:
     """Blocks of images (doc_id, page_num, idx, png, image_path): charts with their analysis, then other images.
 
@@ -32,11 +29,8 @@ def ordered_union(*parts: DataFrame, by_page: bool = False) -> DataFrame:
     every = parts[0].withColumn("branch", F.lit(0))
     for p in parts[1:]:
         every = every.unionByName(p, allowMissingColumns=True)
-    order = ["page_num", "branch", "block_no"] if by_page else ["branch", "page_num", "block_no"]
-    text = F.when(F.col("branch") == 0, F.lit(0)).otherwise(F.col("page_num"))
-    keys = [F.col(c) for c in order] if by_page else [F.col("branch"), text, F.col("block_no")]
-    from pyspark.sql import Window
-
+    later_page = F.when(F.col("branch") > 0, F.col("page_num"))  # the first part is in order as it is
+    keys = ["page_num", "branch", "block_no"] if by_page else ["branch", later_page, "block_no"]
     return every.withColumn("block_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*keys)) - 1).drop("branch")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docspark.operators import layout
+from docspark.operators import index, layout
 from docspark.plans.pipeline import Pipeline
 
 
@@ -15,11 +15,7 @@ def stream_into_index(docs: DataFrame, pipeline: Pipeline, checkpoint: str, once
     partitions, so a batch that runs again after a failure replaces what it wrote."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = pipeline.chunks(layout.line_blocks(batch))
-        from docspark.operators import index
-
-        rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        index.write(rows, pipeline.path, "overwrite", pipeline.dim)
+        index.write(pipeline.chunks(layout.line_blocks(batch)), pipeline.path, "replace", pipeline.dim)
 
     stream = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
