@@ -66,31 +66,59 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+SLOTS = 20  # log2 of a lookup table's slots
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(hashes: np.ndarray, factor: np.uint64) -> np.ndarray:
+    return ((hashes * factor) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 @functools.lru_cache(2)
-def prefixes(ranks: str) -> frozenset[str]:
-    return frozenset(p[:k] for p in vocabulary(ranks) for k in range(1, len(p) + 1))
+def lookup(ranks: str) -> tuple[np.ndarray, list[tuple[np.uint64, np.ndarray]]]:
+    """Each piece's hash, and two tables from slots to pieces (-1: none); what is not free in the first is in the second."""
+    pieces = list(vocabulary(ranks))
+    hashes = np.zeros(len(pieces) + 1, np.uint64)
+    for k, p in enumerate(pieces):
+        h = 0
+        for c in p:
+            h = (h * int(FACTOR) + ord(c) + 1) % (1 << 64)
+        hashes[k] = h
+    rng, left, tables = np.random.default_rng(9), np.arange(len(pieces)), []
+    while len(left) or not tables:
+        factor = rng.integers(1, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        slots = _slots(hashes[left], factor)
+        _, first = np.unique(slots, return_index=True)
+        table = np.full(1 << SLOTS, -1, np.int32)
+        table[slots[first]] = left[first]
+        tables.append((factor, table))
+        left = np.delete(left, first)
+    return hashes, tables
 
 
 def lattice(words: list[str], ranks: str) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths, and pieces[w, end - 1, n - 1]: the piece of n characters that ends there, or -1."""
+    """Lengths, and pieces[w, end - 1, n - 1]: the piece of n characters that ends there, or -1.
+
+    The hashes of all substrings of one length come from those one shorter, over all words at once.
+    """
+    hashes, tables = lookup(ranks)
     lengths = np.array([len(w) for w in words])
-    get, live = vocabulary(ranks).get, prefixes(ranks)
     width = int(lengths.max())
-    at, piece = [], []
-    for i, w in enumerate(words):
-        n, base = len(w), i * width
-        for a in range(n):
-            for e in range(a + 1, min(a + LONGEST, n) + 1):
-                x = w[a:e]
-                if x not in live:
-                    break
-                k = get(x)
-                if k is not None:
-                    at.append((base + e - 1) * LONGEST + e - a - 1)
-                    piece.append(k)
-    found = np.full(len(words) * width * LONGEST, -1, np.int32)
-    found[at] = piece
-    return lengths, found.reshape(len(words), width, LONGEST)
+    chars = np.zeros((len(words), width), np.uint64)
+    chars[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    found = np.full((len(words), width, LONGEST), -1, np.int32)
+    own = chars + np.uint64(1)
+    h = own.copy()
+    for n in range(1, min(LONGEST, width) + 1):
+        if n > 1:
+            h = h[:, :-1] * FACTOR + own[:, n - 1 :]
+        hit = np.full(h.shape, -1, np.int32)
+        for factor, table in tables:
+            at = table[_slots(h, factor)]
+            hit = np.where((at >= 0) & (hashes[at] == h), at, hit)
+        found[:, n - 1 :, n - 1] = hit
+    found[np.arange(width) >= lengths[:, None]] = -1
+    return lengths, found
 
 
 def groups(words: list[str]):
