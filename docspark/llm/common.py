@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from docspark.plans import workers
+
 #: The separators between words: space and U+0009 to U+000D, as a Java regex class and as characters.
 SPACES = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -44,13 +45,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Removes the files behind a stashed table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if "/docspark/" in f:
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def drop_stash(*tables: DataFrame) -> None:
+    """Removes the files behind stashed tables that nothing reads any more."""
+    for df in tables:
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+            if "/docspark/" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
@@ -58,11 +60,7 @@ def with_workers(spark: SparkSession) -> SparkSession:
     texts small: a worker and its JVM hold several copies of a batch."""
     if spark.conf.get(BATCH_ROWS) == "10000":  # the default
         spark.conf.set(BATCH_ROWS, "2000")
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    return spark
+    return workers.with_workers(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

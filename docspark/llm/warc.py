@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import new_path, stash, with_workers
+from docspark.llm.common import drop_stash, new_path, stash, with_workers
 
 VERSION = b"WARC/1.1"
 #: A payload smaller than this is always stored.
@@ -252,6 +252,7 @@ def write(pages: DataFrame, path: str | None = None, compress: bool = True, file
             yield close()
 
     manifest = stash(rows.mapInArrow(run, "file string, records bigint, bytes bigint"), "manifest")
+    drop_stash(again)
     return manifest.select(F.concat(F.lit(f"{root}/"), "file").alias("file"), "records", "bytes")
 
 
