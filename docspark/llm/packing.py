@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import new_path, with_workers
 
+#: The plain encoder's pattern matcher goes as deep as a run of white space is long; longer runs go through the tokenizer.
+DEEP = 100_000
+
 
 @functools.lru_cache(1)
 def _encoders(tokenizer: str, ranks: str, pattern: str):
@@ -45,7 +49,8 @@ def _encoders(tokenizer: str, ranks: str, pattern: str):
 def encode(text: str, tokenizer: str, ranks: str, pattern: str) -> np.ndarray:
     """Token ids of a text, as the tokenizer gives them without added tokens."""
     plain, whole, special = _encoders(tokenizer, ranks, pattern)
-    if any(s in text for s in special):
+    deep = len(text) > DEEP and any(m.end() - m.start() > DEEP for m in re.finditer(r"\s+", text))
+    if deep or any(s in text for s in special):
         return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(plain.encode_ordinary(text), np.uint32)
 

@@ -52,3 +52,9 @@ def test_best_fit_and_emission():
 
 def test_empty(empty):
     assert packing.pack(empty, **tokenizer_files()).count() == 0
+
+
+def test_very_long_runs():
+    plain = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    for text in ("a" + " " * 1_000_000 + "b", "\n" * 150_000, "x" * 200_000, "<|endoftext|>" * 3, "#$%" * 50_000):
+        assert packing.encode(text, **tokenizer_files()).tolist() == plain.encode(text, add_special_tokens=False).ids
