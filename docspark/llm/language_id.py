@@ -264,7 +264,7 @@ class Scorer:
             self._grow(list(new))
         at, out = self.at, []
         for x in split:
-            if not x:
+            if not any(c.isalpha() for w in x for c in w):  # words may hold other numerals than digits
                 out.append(("und", 0.0))
                 continue
             total = self.table[np.fromiter((at[w] for w in x), np.int64, len(x))].sum(0, dtype=np.float64)

@@ -2,9 +2,9 @@
 
 Everything is columns over one row's arrays, so no text is shuffled and no document meets another one; only bucket
 counts are. The trusted multinomial comes from a bounded sample of rows labelled good (`trusted_rows`, lowest hashes of
-doc_id first), the raw one from all documents, both over `buckets` hashed
-word unigrams and as many bigrams. A document's score
-is its mean log ratio per n-gram; it is kept when that is at least `least`, and no base rule failed.
+doc_id first), the raw one from all documents, both over `buckets` hashed word unigrams and as many bigrams. A
+document's score is its mean log ratio per n-gram; it is kept when that is at least `least`, and no base rule failed.
+Equal windows are told by 64-bit hashes within a document.
 
 Defined cases: null and empty text have no words and fail the base rule; without any labelled row the ratio is 0 for
 every n-gram, so base rules alone decide; long texts are handled whole (arrays of one long per word).

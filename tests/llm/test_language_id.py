@@ -58,6 +58,12 @@ def test_learns_languages(docs, rows):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_numerals_are_no_letters():
+    scorer = language_id.Scorer(model())
+    assert scorer(["²½ Ⅷ", "12", None, "", "_", "² a"])[:5] == [("und", 0.0)] * 5
+    assert scorer(["² a"])[0][0] in ("de", "en")
+
+
 def test_stage_and_no_model(docs, empty):
     m = language_id.train(*language_id.sample(docs, 1000), RANKS)
     kept = language_id.keep_known(docs, m)
