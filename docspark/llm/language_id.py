@@ -239,7 +239,7 @@ def sample(docs: DataFrame, rows: int) -> tuple[list[str], list[str]]:
 class Scorer:
     """Predictions for texts, with the scores of words seen kept up to a bound."""
 
-    def __init__(self, model: Model | None, keep: int = 500_000):
+    def __init__(self, model: Model | None, keep: int = 300_000):
         self.model, self.keep, self.at = model, keep, {}
         self.table = np.zeros((0, len(model.langs) if model else 0), np.float32)
 
