@@ -1,10 +1,10 @@
 """Quality rules: repetition counts, and a hashed n-gram likelihood ratio between trusted and raw text.
 
-Everything is columns over one row's arrays, so no text is shuffled and no document meets another one; only bucket
-counts are. The trusted multinomial comes from a bounded sample of rows labelled good (`trusted_rows`, lowest hashes of
-doc_id first), the raw one from all documents, both over `buckets` hashed word unigrams and as many bigrams. A
-document's score is its mean log ratio per n-gram; it is kept when that is at least `least`, and no base rule failed.
-Equal windows are told by 64-bit hashes within a document.
+Everything is columns over one row's arrays, and no document meets another one. The trusted multinomial comes from all
+documents labelled good, the raw one from all documents, both over `buckets` hashed word unigrams and as many bigrams;
+texts meet their labels by one shuffle on doc_id, and beyond it only bucket counts travel. A document's score is its
+mean log ratio per n-gram; it is kept when that is at least `least`, and no base rule failed. Equal windows
+are told by 64-bit hashes within a document.
 
 Defined cases: null and empty text have no words and fail the base rule; without any labelled row the ratio is 0 for
 every n-gram, so base rules alone decide; long texts are handled whole (arrays of one long per word).
@@ -75,11 +75,12 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
     return F.concat(single, F.transform(after, lambda h, i: (F.pmod(F.xxhash64(h, F.get(hashes, i)), F.lit(buckets)) + buckets).cast("int")))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, trusted_rows: int = 20_000, prior: float = 5_000.0) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, prior: float = 5_000.0) -> list[float]:
     """For each bucket the log of its trusted over its raw probability; the trusted counts are smoothed by `prior` raw n-grams."""
-    trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-    hashed = docs.select("doc_id", F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    marked = hashed.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
+    trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
+    dealt = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left")  # texts pass unsorted
+    hashed = dealt.select(F.coalesce("good", F.lit(0)).alias("good"), F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    marked = hashed.select("good", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
     counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # at most 2 * buckets rows
     raw, good = [0.5] * 2 * buckets, [0] * 2 * buckets
     for r in counts:

@@ -1,7 +1,9 @@
+import math
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import quality_rules
 
@@ -43,6 +45,22 @@ def test_ratio_matches_brute_force(spark):
     assert got[1] > 0 > got[2] and got[3] == 0
 
 
+def test_every_trusted_row_counts(spark):
+    n = 20_500
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7, ' good') as text").unionByName(spark.createDataFrame([(n, "bad bad"), (None, "bad w1")], "doc_id bigint, text string"))
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    want, raw = Counter(), Counter()
+    for r in docs.select("doc_id", quality_rules.ngram_buckets(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)), 64).alias("b")).collect():
+        raw.update(r.b)
+        want.update(r.b if r.doc_id is not None and r.doc_id < n else [])
+    got = quality_rules.log_ratios(docs, labels, buckets=64, prior=1.0)
+    for part in (range(64), range(64, 128)):
+        n_raw, n_good = sum(raw[b] + 0.5 for b in part), sum(want[b] for b in part)
+        for b in part:
+            p = (raw[b] + 0.5) / n_raw
+            assert math.isclose(got[b], math.log((want[b] + p) / (n_good + 1) / p), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_overlapping_repeats(spark):
     texts = ["w " * 9, " ".join("abcdefgh") * 2, " ".join("abcdefgh") + " x " + " ".join("abcdefgh"), " ".join("abcdefghi") + " " + " ".join("abcdefghi")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
