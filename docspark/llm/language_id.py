@@ -6,8 +6,8 @@ the product over its words. Probabilities are learned by expectation maximisatio
 expected count over all segmentations of the words of a language. The prediction is the language of the highest
 posterior under equal priors.
 
-Learning uses a bounded sample of the labelled rows (`sample_rows`, lowest hashes of doc_id first, over all languages);
-scoring takes every word of every text. Forward passes run over the distinct words of a batch, all at once.
+Learning uses a bounded sample of the labelled rows, lowest hashes of doc_id first: `rows` over all languages, and of
+every language `each` at least, or all it has, so none is left out; scoring takes every word of every text. Forward passes run over the distinct words of a batch, all at once.
 
 Words are runs of letters, lower-cased, with a space mark in front; characters outside the vocabulary cost a fixed
 floor for every language. Defined cases: null text, or text without a letter, is `und` with score 0; ties go to the
@@ -23,7 +23,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import map_texts
@@ -228,11 +228,18 @@ def train(texts: list[str], langs: list[str], ranks: str, rounds: int = 4, prior
     return model
 
 
-def sample(docs: DataFrame, rows: int) -> tuple[list[str], list[str]]:
-    """Texts and langs of at most `rows` labelled rows, those of the lowest hashes of doc_id."""
-    usable = docs.filter("text is not null and lang is not null")
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(rows).collect()
+def sample(docs: DataFrame, rows: int, each: int = 150) -> tuple[list[str], list[str]]:
+    """Texts and langs of labelled rows: the `rows` of the lowest hashes of doc_id over all, and the `each` of every lang.
+
+    Only ids are ranked, in each task first; rows that repeat a doc_id and lang are one, the text of the lowest hash."""
+    usable = docs.filter("doc_id is not null and text is not null and lang is not null")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    over_all = usable.select("doc_id", "lang").orderBy(*order, "lang").limit(rows)
+    ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place"))
+    ids = over_all.unionByName(ranked.filter(F.col("place") <= each).drop("place")).distinct()
+    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    one = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    got = sorted(one.select("t.h", "lang", "doc_id", "t.text").collect())  # at most rows + each * languages
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 

@@ -58,6 +58,18 @@ def test_learns_languages(docs, rows):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_sample_has_every_language(spark):
+    common = spark.range(3000).selectExpr("id as doc_id", "concat('the common text ', id) as text", "'en' as lang")
+    rare = spark.range(3000, 3003).selectExpr("id as doc_id", "'ein seltener text' as text", "'de' as lang")
+    odd = spark.createDataFrame([(1, "the common text 1", "en"), (None, "x", "fr"), (4000, None, "fr"), (4001, "y", None)], "doc_id bigint, text string, lang string")
+    docs = common.unionByName(rare).unionByName(odd)
+    texts, langs = language_id.sample(docs, 20, 2)
+    assert langs.count("de") == 2 and 20 <= langs.count("en") + 2 <= 22 and set(langs) == {"de", "en"}
+    assert language_id.sample(docs, 20, 2) == (texts, langs)
+    assert language_id.sample(docs, 1, 5)[1].count("de") == 3
+    assert language_id.train(texts, langs, RANKS).langs == ["de", "en"]
+
+
 def test_numerals_are_no_letters():
     scorer = language_id.Scorer(model())
     assert scorer(["²½ Ⅷ", "12", None, "", "_", "² a"])[:5] == [("und", 0.0)] * 5
