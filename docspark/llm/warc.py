@@ -38,8 +38,6 @@ BLOCK = 1 << 20
 INFLATE = 1 << 15
 START = re.compile(rb"WARC/\d\.\d\r\n")
 MAGIC = b"\x1f\x8b\x08"
-#: The longest header a valid record has.
-HEADER = 1 << 16
 
 
 # ------------------------------------------------------------ records
@@ -76,7 +74,7 @@ class Broken(ValueError):
 def parse(data: bytes) -> Found:
     """One whole record, checked; end is where it ends in data."""
     start = START.match(data)
-    stop = data.find(b"\r\n\r\n", 0, HEADER)
+    stop = data.find(b"\r\n\r\n")
     if not start or stop < 0:
         raise Broken("no version line" if not start else "no end of header")
     headers: dict[str, str] = {}
@@ -139,17 +137,34 @@ def _member(window: Window, most: int) -> tuple[bytes, int]:
     return b"".join(out), used
 
 
+def _header(window: Window, most: int) -> int:
+    """The length of the header at the window's start, with its blank line; a line without a colon ends the search."""
+    window.fill(10)
+    if not START.match(window.data):
+        raise Broken("no version line")
+    line = seen = 10
+    while (end := window.data.find(b"\r\n", seen)) != line:
+        if end >= 0:
+            if window.data.find(b":", line, end) < 0:
+                raise Broken("malformed header line")
+            line = seen = end + 2
+            continue
+        n = len(window.data)
+        if n > most:
+            raise Broken("header beyond the bound")
+        if not window.fill(n + 1):
+            raise Broken("no end of header")
+        seen = max(line, n - 1)
+    return line + 2
+
+
 def _plain(window: Window, most: int) -> tuple[bytes, int]:
     """The plain record at the window's start and its length."""
-    window.fill(HEADER)
-    head = bytes(window.data[:HEADER])
-    if not START.match(head):
-        raise Broken("no version line")
-    stop = head.find(b"\r\n\r\n")
-    size = re.search(rb"\r\ncontent-length:\s*(\d{1,18})\r\n", head[: stop + 2] if stop >= 0 else b"", re.I)
+    stop = _header(window, most)
+    size = re.search(rb"\r\ncontent-length:\s*(\d{1,18})\r\n", bytes(window.data[:stop]), re.I)
     if not size or int(size[1]) > most:
         raise Broken("no content length" if not size else "length beyond the bound")
-    n = stop + 8 + int(size[1])
+    n = stop + 4 + int(size[1])
     if not window.fill(n):
         raise Broken("cut short")
     return bytes(window.data[:n]), n

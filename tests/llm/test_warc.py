@@ -1,4 +1,5 @@
 import hashlib
+import io
 import zlib
 
 import pytest
@@ -87,6 +88,21 @@ def test_any_junk_between_records_loses_none(junk, k, compress):
     assert [x for x in found if x != "gap"] == list(range(6))
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_url_longer_than_64_kb(spark, compress):
+    urls = {1: "http://h/" + "a" * 70_000, 2: "http://h/2", 3: "http://h/" + "b" * 2_500_000, 4: "http://h/4"}
+    df = spark.createDataFrame([(k, u, f"<p>page {k}") for k, u in urls.items()], "page_id bigint, url string, html string").repartition(1)
+    got = warc.read(spark, warc.write(df, compress=compress)).collect()
+    assert {r.page_id: (r.record_type, r.url) for r in got} == {k: ("response", u) for k, u in urls.items()} and len(got) == 4
+
+
+def test_header_without_end_costs_no_other_record():
+    whole = warc.record("response", "<urn:uuid:1>", b"body", "d", {"X-Page-Id": "1"})
+    lost = warc.VERSION + b"\r\nWARC-Target-URI: " + b"u" * 3_000_000 + b"\r\n"
+    kinds = [r.kind for r in warc.salvage(io.BytesIO(whole + lost + whole + lost))]
+    assert kinds == ["response", "gap", "response", "gap"]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert warc.read(spark, warc.write(none)).count() == 0
