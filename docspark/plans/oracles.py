@@ -300,6 +300,13 @@ def oracle_sql() -> dict[str, str]:
           u AS (SELECT vec_id, list_transform(v, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM n) SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) + CAST(0 AS DOUBLE) AS length, round(v[1], 6) + CAST(0 AS DOUBLE) AS first, round(v[64], 6) + CAST(0 AS DOUBLE) AS last FROM u""",
         "topk_single": f"WITH {ONE} SELECT row_id, round(score, 4) AS score FROM scored ORDER BY scored.score DESC, row_id LIMIT 10",
         "topk_filtered": f"WITH {ONE} SELECT row_id, type, round(score, 4) AS score FROM (SELECT * FROM scored ORDER BY scored.score DESC, row_id LIMIT 30) x WHERE type = 'image_caption' ORDER BY x.score DESC, row_id LIMIT 10",
+        "topk_filtered_batch": f"""WITH {VECS}, pairs AS (
+          SELECT q.row_id AS query_id, u.row_id, u.type, list_inner_product(u.v, q.v) AS score FROM units u, units q WHERE q.row_id % 50 = 0
+        ), placed AS (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS place FROM pairs
+        ), kept AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank FROM placed WHERE place <= 30 AND type = 'image_caption'
+        ) SELECT query_id, rank, row_id, type, round(score, 4) AS score FROM kept WHERE rank <= 10""",
         "topk_batch": f"WITH {BATCH} SELECT query_id, rank, row_id, round(score, 4) AS score FROM best",
         "context_join": f"WITH {LABELLED} SELECT query_id, context FROM contexts",
         "context_plain": f"WITH {PLAIN} SELECT query_id, context FROM contexts",

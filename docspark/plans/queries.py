@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import metrics
@@ -270,6 +270,14 @@ def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 5).withColumn("score", F.round("score", 4))
 
 
+def topk_filtered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered search for every query: the best 3 k of each, of them the k best of the type."""
+    best = retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 30).withColumnRenamed("rank", "place")
+    kept = best.join(held(spark, sf_dir).filter("type = 'image_caption'").select("row_id", "type"), "row_id")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).filter("rank <= 10")
+    return ranked.select("query_id", "rank", "row_id", "type", F.round("score", 4).alias("score"))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 5)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
@@ -359,7 +367,7 @@ QUERIES = [
     block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections,
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
-    fallback_desc, vec_normalize, topk_single, topk_filtered, topk_batch, context_join, context_plain, context_numbered, source_projection, stub_answer,
+    fallback_desc, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, context_join, context_plain, context_numbered, source_projection, stub_answer,
     prompt_render, visual_chunk, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 
