@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,50 @@ from pyspark.sql import functions as F
 from docspark.llm.common import map_texts, with_workers
 
 SPACE = "▁"
-FAR = np.int64(1 << 40)
+FAR = np.int32(1 << 30)
+
+
+class PairTable:
+    """From pairs of symbols to the rank of their merge and what it makes: open hashing, so that one lookup takes few gathers."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pairs: dict[int, tuple[int, int]]):
+        """pairs: from left << 20 | right to (rank, symbol)."""
+        keys = np.array(list(pairs), np.int64)
+        self.none = len(keys)
+        self.ranks = np.array([*(r for r, _ in pairs.values()), FAR], np.int32)
+        self.merged = np.array([*(i for _, i in pairs.values()), -1], np.int32)
+        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.keys, self.places = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
+        todo, at = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[slots], self.places[slots] = keys[todo[won]], todo[won]
+            left = np.delete(np.arange(len(todo)), won)
+            todo, at = todo[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self.FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair, `none` for those that don't merge."""
+        want = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 20 | right, -2)
+        at = self._slots(want)
+        found = self.keys[at]
+        out = np.where(found == want, self.places[at], np.int32(self.none))
+        left_open = np.flatnonzero((found != want) & (found >= 0))
+        at = at[left_open]
+        while len(left_open):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at]
+            hit = found == want[left_open]
+            out[left_open[hit]] = self.places[at[hit]]
+            more = ~hit & (found >= 0)
+            left_open, at = left_open[more], at[more]
+        return out
 
 
 class PieceModel:
@@ -73,145 +115,155 @@ class PieceModel:
                 for k in range(1, len(p)):
                     if p[:k] in self.symbol and p[k:] in self.symbol:
                         pairs[self.symbol[p[:k]] << 20 | self.symbol[p[k:]]] = (rank[s], i)
-        keys = np.array(sorted(pairs), np.int64)
-        self.keys = np.append(keys, np.int64(1 << 62))
-        self.ranks = np.array([*(pairs[k][0] for k in keys.tolist()), FAR], np.int64)
-        self.merged = np.array([*(pairs[k][1] for k in keys.tolist()), -1], np.int64)
-        self.chars = {c: np.int64(self.symbol[c]) for c in self.symbol if len(c) == 1}
-        self.cache: dict[str, list[int]] = {}
+        self.pairs = PairTable(pairs)
+        #: The symbol of each character; -1 - code point for one outside the vocabulary.
+        self.symbol_of_char = -1 - np.arange(0x110000, dtype=np.int32)
+        self.char_of_symbol: dict[int, str] = {}
+        for c, k in self.symbol.items():
+            if len(c) == 1:
+                self.symbol_of_char[ord(c)] = k
+                self.char_of_symbol[k] = c
         self.texts = [str(i) for i in range(len(proto.pieces))]
 
     # ------------------------------------------------------------ merge rounds
 
-    def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Places in the merge table, the last one for pairs that don't merge."""
-        want = left << 20 | right
-        at = np.searchsorted(self.keys, want)
-        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == want), at, len(self.keys) - 1)
-
-    def merge_words(self, words: list[str]) -> list[np.ndarray]:
-        """The final symbols of each word; -1 - code point for a character outside the vocabulary."""
-        out: list = [np.zeros(0, np.int64)] * len(words)
-        text = "".join(words)
-        if not text:
-            return out
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        kinds, back = np.unique(points, return_inverse=True)
-        sym = np.array([self.chars.get(chr(c), -1 - c) for c in kinds.tolist()], np.int64)[back]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        last = np.append(word[1:] != word[:-1], True)
-        place = np.where(last, len(self.keys) - 1, self._look(sym, np.append(sym[1:], -1)))
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The final symbols of all words end to end, and how many each has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sym = self.symbol_of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        sizes = sizes[sizes > 0]
+        place = np.full(len(sym), self.pairs.none, np.int32)
+        if len(sym):
+            place[:-1] = self.pairs(sym[:-1], sym[1:])
+            place[np.cumsum(sizes) - 1] = self.pairs.none
+        ended = [(word[:0], sym[:0])]
         while len(sym):
-            rank = self.ranks[place]
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(sym)))
-            done = least >= FAR
+            rank = self.pairs.ranks[place]
+            least = np.minimum.reduceat(rank, np.cumsum(sizes) - sizes)
+            done = least == FAR
             if done.any():
-                for s, n in zip(starts[done].tolist(), sizes[done].tolist(), strict=True):
-                    out[word[s]] = sym[s : s + n].copy()
-                stay = np.repeat(~done, sizes)
-                sym, word, place, rank = sym[stay], word[stay], place[stay], rank[stay]
-                least, sizes = least[~done], sizes[~done]
+                gone = np.repeat(done, sizes)
+                ended.append((word[gone], sym[gone]))
+                stay = np.flatnonzero(~gone)
+                sym, word, place, rank, least, sizes = sym[stay], word[stay], place[stay], rank[stay], least[~done], sizes[~done]
                 if not len(sym):
                     break
             low = np.repeat(least, sizes)
-            hit = rank == low
-            idx = np.arange(len(sym))
-            first = hit & ~np.append(False, hit[:-1])
-            run = np.maximum.accumulate(np.where(first, idx, 0))
-            take = hit & ((idx - run) % 2 == 0)
-            new = self._apply(sym, word, place, take)
-            fresh = self.ranks[new[2]] < low[new[3]]
-            if fresh.any():
-                late = np.isin(word, np.unique(new[1][fresh]))
-                lead = np.zeros(len(sym), bool)
-                at = np.flatnonzero(take)
-                lead[at[np.append(True, word[at][1:] != word[at][:-1])]] = True
-                new = self._apply(sym, word, place, np.where(late, lead, take))
-            sym, word, place = new[:3]
-        return out
-
-    def _apply(self, sym, word, place, take):
-        gone = np.append(False, take[:-1])
-        changed = np.where(take, self.merged[place], sym)
-        keep = ~gone
-        at = np.flatnonzero(keep)
-        sym2, word2 = changed[at], word[at]
-        touched = take[at]
-        redo = touched | np.append(touched[1:], False)
-        place2 = place[at].copy()
-        k = np.flatnonzero(redo)
-        right = np.append(sym2[1:], -1)
-        same = np.append(word2[1:] == word2[:-1], False)
-        place2[k] = np.where(same[k], self._look(sym2[k], right[k]), len(self.keys) - 1)
-        return sym2, word2, place2, at
+            at = np.flatnonzero(rank == low)
+            # Of places that overlap, a run of neighbours, every other one from the left.
+            nth = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.append(True, np.diff(at) != 1), nth, 0))
+            at = at[(nth - run) % 2 == 0]
+            after, kept, fresh = self._apply(sym, word, place, at)
+            late = self.pairs.ranks[after[2][fresh]] <= low[kept[fresh]]
+            if late.any():
+                slow = np.isin(word[at], after[1][fresh[late]])
+                at = at[~slow | np.append(True, word[at[1:]] != word[at[:-1]])]
+                after, _, _ = self._apply(sym, word, place, at)
+            sizes = sizes - np.bincount(np.cumsum(np.append(0, word[1:] != word[:-1]))[at], minlength=len(sizes))
+            sym, word, place = after
+        word, sym = (np.concatenate(x) for x in zip(*ended, strict=True))
+        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _apply(self, sym: np.ndarray, word: np.ndarray, place: np.ndarray, at: np.ndarray):
+        """The arrays once the pairs at `at` have merged, the old place of each symbol left, and the new places whose pair is new."""
+        stay = np.ones(len(sym), bool)
+        stay[at + 1] = False
+        kept = np.flatnonzero(stay)
+        grown = at - np.arange(len(at))
+        sym2, word2, place2 = sym[kept], word[kept], place[kept]
+        sym2[grown] = self.pairs.merged[place[at]]
+        fresh = np.concatenate([grown, grown[grown > 0] - 1])
+        right = np.minimum(fresh + 1, len(sym2) - 1)
+        place2[fresh] = np.where((right > fresh) & (word2[right] == word2[fresh]), self.pairs(sym2[fresh], sym2[right]), self.pairs.none)
+        return (sym2, word2, place2), kept, fresh
 
     # ------------------------------------------------------------ texts
 
-    def _ids(self, symbols: np.ndarray) -> list[int]:
-        out: list[int] = []
-        for s in symbols.tolist():
-            if 0 <= s < len(self.text_of):
-                out.append(s)
-            else:
-                c = chr(-1 - s) if s < 0 else next(k for k, v in self.symbol.items() if v == s)
-                out.extend(self.byte_id[b] for b in c.encode())
-        return out
-
-    @functools.lru_cache(4096)  # noqa: B019
-    def fold_spaces(self, n: int) -> tuple[int, ...]:
+    def fold_spaces(self, n: int) -> list[int]:
         """n spaces, merged from the left."""
         stack: list[int] = []
         for _ in range(n):
             stack.append(1)
             while len(stack) > 1 and stack[-1] + stack[-2] in self.spaces:
                 stack[-2:] = [stack[-1] + stack[-2]]
-        return tuple(self.id_of[SPACE * k] for k in stack)
+        return [self.id_of[SPACE * k] for k in stack]
 
     def _cuts(self, word: str) -> list[str]:
-        if len(word) <= 32:
-            return [word]
+        """A long word in parts that no merge can cross."""
         at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inner), len(word)]
         return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of chunks (spaces, then other characters) into the cache."""
-        parts: list[str] = []
-        plan = []
-        for c in chunks:
-            word = c.lstrip(SPACE)
-            own = self._cuts(SPACE + word) if word else []
-            plan.append((c, len(c) - len(word), len(parts), len(parts) + len(own)))
-            parts.extend(own)
-        found = self.merge_words(parts)
-        space = self.id_of[SPACE]
-        for c, n, a, b in plan:
-            ids: list[int] = []
-            for x in found[a:b]:
-                ids.extend(self._ids(x))
-            if a < b:
-                if ids[0] == space:  # the last space stayed alone, and belongs to the run
-                    ids = [*self.fold_spaces(n), *ids[1:]]
-                else:
-                    ids = [*self.fold_spaces(n - 1), *ids]
-            else:
-                ids = list(self.fold_spaces(n))
-            self.cache[c] = ids
-
-    def encode(self, texts: list[str | None], cache_chunks: int = 400_000) -> list[list[int]]:
-        split = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.cache) > cache_chunks:
-            self.cache.clear()
-        cache = self.cache
-        self._learn(list({c for x in split for c in x if c not in cache}))
-        out = []
-        for x in split:
-            ids: list[int] = []
-            for c in x:
-                ids += cache[c]
-            out.append(ids)
-        return out
+    def _pool(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with a space in front, end to end, and how many each has."""
+        parts, first = [], np.arange(len(words))
+        long = [k for k, w in enumerate(words) if len(w) > 31]
+        if long:
+            cut = {k: self._cuts(SPACE + words[k]) for k in long}
+            parts = [p for k, w in enumerate(words) for p in cut.get(k, (SPACE + w,))]
+            many = np.ones(len(words), np.int64)
+            many[long] = [len(cut[k]) for k in long]
+            first = np.cumsum(many) - many
+        sym, sizes = self.merge_words(parts or [SPACE + w for w in words])
+        odd = np.flatnonzero((sym < 0) | (sym >= len(self.text_of)))
+        if len(odd):  # no pieces: their bytes
+            kinds, which = np.unique(sym[odd], return_inverse=True)
+            spelt = [[self.byte_id[b] for b in (chr(-1 - k) if k < 0 else self.char_of_symbol[k]).encode()] for k in kinds.tolist()]
+            width = np.ones(len(sym), np.int64)
+            width[odd] = np.array([len(x) for x in spelt])[which]
+            ends = np.append(0, np.cumsum(width))
+            sizes = np.diff(ends[np.append(0, np.cumsum(sizes))])
+            out = np.repeat(sym, width)
+            for k, x in enumerate(spelt):
+                for j, own in enumerate(x):
+                    out[ends[odd[which == k]] + j] = own
+            sym = out
+        return sym, np.add.reduceat(sizes, first) if len(first) else sizes
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and the len + 1 offsets of the texts."""
+        index: dict[str, int] = {"": 0}
+        flat: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            if t:
+                own = t.replace(SPACE, " ").split(" ")
+                counts[k] = len(own)
+                flat += [index.setdefault(w, len(index)) for w in own]
+        which = np.array(flat, np.int64)
+        if not len(which):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        pool, sizes = self._pool(list(index))
+        begin = (np.cumsum(sizes) - sizes)[which]
+        length = sizes[which]
+        blank = np.flatnonzero(which == 0)
+        if len(blank):
+            # A space more before a word joins its first one, where that has stayed alone; else the run is folded by itself.
+            rows = np.append(0, np.cumsum(counts))
+            first = blank[np.append(True, np.diff(blank) != 1) | np.isin(blank, rows)]
+            ends = blank[np.append(np.flatnonzero(np.diff(blank) != 1), len(blank) - 1)]
+            ends = np.minimum(ends[np.searchsorted(ends, first)] + 1, rows[np.searchsorted(rows, first, "right")])
+            run = ends - first
+            near = np.minimum(ends, len(which) - 1)
+            alone = ~np.isin(ends, rows) & (pool[begin[near]] == self.id_of[SPACE])
+            begin[near[alone]] += 1
+            length[near[alone]] -= 1
+            length[blank] = 0
+            kinds, back = np.unique(run + alone, return_inverse=True)
+            folded = [self.fold_spaces(n) for n in kinds.tolist()]
+            size = np.array([len(x) for x in folded])
+            begin[first] = (len(pool) + np.cumsum(size) - size)[back]
+            length[first] = size[back]
+            pool = np.concatenate([pool, *(np.array(x, np.int32) for x in folded)])
+        ends = np.append(0, np.cumsum(length))
+        ids = pool[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[np.append(0, np.cumsum(counts))]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        ids, at = self.encode_flat(texts)
+        at = at.tolist()
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the dummy prefix; a byte that is part of no character becomes U+FFFD."""
@@ -247,9 +299,6 @@ class PieceModel:
         return "".join(out)
 
 
-CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-
-
 @functools.lru_cache(2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)
