@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from docspark.plans import workers
 
@@ -21,6 +24,7 @@ SPACES = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text is handled in slices of about this many bytes, so memory does not follow the Arrow batch.
 SLICE_BYTES = 1 << 20
 
@@ -55,14 +59,31 @@ def drop_stash(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: What Python workers are started with: large arrays go back to the system as soon as they are freed, Arrow's as well.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
     """Lets Python workers started by a driver that found this package on sys.path find it as well, and keeps batches of
     texts small: a worker and its JVM hold several copies of a batch."""
     if spark.conf.get(BATCH_ROWS) == "10000":  # the default
         spark.conf.set(BATCH_ROWS, "2000")
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     return workers.with_workers(spark)
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system; idle workers are kept."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,23 +128,51 @@ def text_blocks(column: pa.Array, size: int = SLICE_BYTES):
         yield column.slice(at).to_pylist()
 
 
-def map_texts(df: DataFrame, fields: str, make, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """df's columns (without text unless kept) and `fields`, a schema, in place of any so named. make() is called once a
-    task, and what it returns turns a list of texts into a list of tuples."""
-    with_workers(df.sparkSession)
-    extra = StructType.fromDDL(fields)
-    others = [c for c in df.columns if (keep_text or c != text) and c not in extra.names]
-    schema = StructType([*(df.schema[c] for c in others), *extra])
-    arrow = to_arrow_schema(schema)
+def text_column(spark: SparkSession, kind: DataType, make: Callable[[], Callable[[pa.Array], pa.Array]]):
+    """A function from a text column to a column of `kind`: texts alone travel to the workers, and results alone return.
+
+    make() is called once a task; what it returns, and what that holds, is gone with the task.
+    """
+    with_workers(spark)
 
-    def run(batches):
+    @F.arrow_udf(kind)
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = make()
         for batch in batches:
-            rows = [row for block in text_blocks(batch.column(len(others))) for row in own(block)]
-            cols = [pa.array([r[k] for r in rows], arrow.field(len(others) + k).type) for k in range(len(extra))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *cols], schema=arrow)
+            yield own(batch)
+        del own
+        give_back()
+
+    return column
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_texts(df: DataFrame, fields: str, make, text: str = "text") -> DataFrame:
+    """df's columns but text, and `fields`, a schema, in place of any so named. make() is called once a task, and what it
+    returns turns a list of texts into a list of tuples."""
+    extra = StructType.fromDDL(fields)
+    arrow = pa.struct(list(to_arrow_schema(extra)))
+
+    def columns():
+        own = make()
+
+        def run(column: pa.Array) -> pa.Array:
+            rows = [row for block in text_blocks(column) for row in own(block)]
+            return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(len(extra))], fields=list(arrow))
+
+        return run
 
-    return df.select(*others, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    found = free_name(df, "found")
+    others = [c for c in df.columns if c != text and c not in extra.names]
+    made = df.select(*(F.col(f"`{c}`") for c in others), text_column(df.sparkSession, extra, columns)(F.col(f"`{text}`").cast("string")).alias(found))
+    return made.select(*(F.col(f"`{c}`") for c in others), *(F.col(f"`{found}`.{c}").alias(c) for c in extra.names))
 
 
 def _table(seed: int, n: int = 256) -> np.ndarray:

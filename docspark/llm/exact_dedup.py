@@ -1,13 +1,15 @@
 """Exact dedup with a heavy-hitter split.
 
-A Misra-Gries summary (the DataSketches frequent-items sketch behind approx_top_k, merged map-side) names the
-digests that may be frequent. One exact aggregation over those candidates verifies them and picks their winners;
+A Misra-Gries summary of each task (the DataSketches frequent-items sketch behind approx_top_k), merged in two steps,
+names the digests that may be frequent. One exact aggregation over those candidates verifies them and picks their winners;
 the verified winners, at most `candidates` rows, are broadcast, so every row of a hot group is settled map-side
 without a shuffle. All other digests are grouped by an ordinary shuffle, where no group can be large any more.
 Only ids, lengths and digests move; texts don't.
 
 Defined cases: null text counts as empty, and all empty texts are one group. Of equal texts the row with the most code
-points stays, then the smallest doc_id (a null doc_id comes last), then, of rows that repeat doc_id and text, one.
+points stays, then the smallest doc_id (a null doc_id comes last), then, of rows that repeat doc_id and text, one. Texts
+of any length are digested whole. An empty table gives an empty result. Extra columns, whatever their names, pass
+through keep_first and don't appear in decide.
 """
 
 from __future__ import annotations
@@ -31,17 +33,16 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", candidat
     """
     rows = stash(
         docs.select(
-            F.col(doc_id).alias("doc_id"),
+            F.col(doc_id).cast("bigint").alias("doc_id"),
             F.length(F.coalesce(text, F.lit(""))).alias("n"),
             F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "digests",
     )
-    best = F.max(F.struct("n", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row")))
-    named = rows.agg(F.expr(f"approx_top_k(text_sha256, {candidates}, {counters})").alias("top")).select(F.explode("top.item").alias("text_sha256"))
+    best = F.max(F.struct("n", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row")))  # ~x falls as x grows, and never overflows
     winners = stash(
-        rows.join(F.broadcast(named), "text_sha256", "left_semi").groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1"),
+        rows.join(F.broadcast(frequent(rows, candidates, counters)), "text_sha256", "left_semi").groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1"),
         "winners",
     )
     marked = rows.join(F.broadcast(winners), "text_sha256", "left")
@@ -50,20 +51,45 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", candidat
     heavy = marked.filter("best is not null").select("doc_id", "text_sha256", "row", "best", "group_size")
     return heavy.unionByName(light).select(
         "doc_id",
-        (-F.col("best.neg_id")).alias("keep_id"),
+        F.bitwise_not("best.not_id").alias("keep_id"),
         "group_size",
-        (F.col("row") == -F.col("best.neg_row")).alias("kept"),
+        (F.col("row") == F.bitwise_not("best.not_row")).alias("kept"),
         "text_sha256",
     )
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = stash(decide(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "kept")
-    mine = docs.select("*", F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("__own"))
-    out = mine.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    repeats = docs.groupBy(doc_id).count().filter("count > 1")
-    if repeats.limit(1).count():  # rows that repeat an id: one of those with the winning text stays
-        order = Window.partitionBy(doc_id, "__own").orderBy(F.xxhash64(*docs.columns), *[F.col(c) for c in docs.columns if c == text])
-        out = out.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
-    return out.select(*docs.columns)
+def frequent(rows: DataFrame, candidates: int, counters: int, merges: int = 256) -> DataFrame:
+    """(text_sha256) of at most `candidates` digests that may be frequent.
+
+    Each task sums up its rows in `counters` counters; the summaries meet in `merges` groups, and only those groups' in one task.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(merges)).alias("merge")
+    some = rows.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("summary"))
+    whole = some.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
+    return whole.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {candidates})")).alias("top")).select(F.col("top.item").alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    Texts stay where they are: only the ids of rows that go are looked up, from a broadcast table where there are at most
+    most_broadcast of them and by a shuffle beyond that. Rows whose doc_id is null or repeated are told by their text as
+    well; of those that are equal in both one stays.
+    """
+    decided = stash(decide(docs, doc_id, text).select("doc_id", "kept", "text_sha256"), "decided")
+    by_id = decided.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
+    alone = F.col("doc_id").isNotNull() & (F.col("rows") == 1)
+    touched = stash(by_id.filter(~alone | (F.col("kept") == 0)).select("doc_id", alone.alias("gone")), "touched")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")  # so that no name of ours meets one of theirs
+    mine = docs.select(whole, F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    known = F.broadcast(touched) if touched.count() <= most_broadcast else touched
+    out = mine.join(known, mine["id"].eqNullSafe(known["doc_id"]), "left_anti").select("whole.*")
+    unclear = touched.filter("not gone").drop("gone")
+    if not unclear.limit(1).count():
+        return out
+    kept = decided.filter("kept").join(unclear, decided["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi")
+    here = mine.withColumn("sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    here = here.join(kept, here["id"].eqNullSafe(kept["doc_id"]) & (F.col("sha") == kept["text_sha256"]), "left_semi")
+    order = F.struct(F.length(F.coalesce("text", F.lit(""))), F.xxhash64("text", *(f"whole.`{c}`" for c, t in docs.dtypes if "map<" not in t and "variant" not in t)))
+    once = here.groupBy("id", "sha").agg(F.max_by("whole", order).alias("whole"))  # copies of one id meet in each task first
+    return out.unionByName(once.select("whole.*"))

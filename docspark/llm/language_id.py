@@ -7,11 +7,15 @@ expected count over all segmentations of the words of a language. The prediction
 posterior under equal priors.
 
 Learning uses a bounded sample of the labelled rows, lowest hashes of doc_id first: `rows` over all languages, and of
-every language `each` at least, or all it has, so none is left out; scoring takes every word of every text. Forward passes run over the distinct words of a batch, all at once.
+every language `each` at least, or all it has, so none is left out; scoring takes every word of every text. Forward
+passes run over many distinct words at once. A pass over a very long run of letters goes tile by tile and carries the
+last LONGEST sums over, so its memory is bounded and its sum is that of the whole run.
 
 Words are runs of letters, lower-cased, with a space mark in front; characters outside the vocabulary cost a fixed
 floor for every language. Defined cases: null text, or text without a letter, is `und` with score 0; ties go to the
-language first in order; a table without labelled rows gives `und` for all.
+language first in order; a table without labelled rows gives `und` for all; rows that repeat a doc_id and lang are one
+in the sample, and rows of their own in the result. Extra columns pass through, whatever their names, but for those
+that have the name of a result.
 """
 
 from __future__ import annotations
@@ -19,20 +23,21 @@ from __future__ import annotations
 import base64
 import functools
 import re
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from docspark.llm.common import map_texts
+from docspark.llm.common import map_texts, text_blocks, text_column
 
 MARK = " "
 LONGEST = 12
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = -25.0
-#: A letter run beyond this many characters is scored in runs of that length, which bounds a pass's arrays.
+#: A letter run beyond this many characters is scored by itself, in tiles of that length.
 RUN = 4096
 #: Up to this length no product of piece probabilities leaves the range of a double, and sums need no scale.
 SHORT = 24
@@ -59,11 +64,7 @@ def vocabulary(ranks: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        w = MARK + w
-        out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w), RUN)]
-    return out
+    return [MARK + w for w in LETTERS.findall(text.lower())]
 
 
 SLOTS = 20  # log2 of a lookup table's slots
@@ -121,14 +122,15 @@ def lattice(words: list[str], ranks: str) -> tuple[np.ndarray, np.ndarray]:
     return lengths, found
 
 
-def groups(words: list[str]):
-    """Indices of words of like length, with a bounded number of characters together."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    at = 0
-    while at < len(order):
-        end = at + 1
-        while end < len(order) and (end + 1 - at) * len(words[order[end]]) <= CELLS:
-            end += 1
+def groups(words: list[str], longest: int | None = None):
+    """Indices of words of like length, of at most `longest` characters, with a bounded number of characters together."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    at, n = 0, int(np.searchsorted(sizes, longest, "right")) if longest else len(words)
+    while at < n:
+        near = sizes[at : min(n, at + CELLS)]
+        end = at + max(1, int((np.arange(1, len(near) + 1) * near <= CELLS).sum()))
         yield order[at:end]
         at = end
 
@@ -141,23 +143,47 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log probability of each word under each language, a row per word."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        for part in groups(words):
+        out = np.zeros((len(words), len(self.langs)))
+        for part in groups(words, RUN):
             out[part] = self._forward([words[i] for i in part])[0]
+        for i, word in enumerate(words):
+            if len(word) > RUN:
+                out[i] = self._tiled(word)
         return out
 
+    def _tiled(self, word: str) -> np.ndarray:
+        """The same sum for one long word: of all sums so far only the last LONGEST are kept, and the log of what they were divided by."""
+        floor, logs = np.exp(UNKNOWN), np.zeros(len(self.langs))
+        sums = np.zeros((LONGEST + RUN, len(self.langs)))
+        sums[LONGEST - 1] = 1
+        for at in range(0, len(word), RUN):
+            begin = max(0, at - LONGEST + 1)
+            found = lattice([word[begin : at + RUN]], self.ranks)[1][0, at - begin :]
+            p = self._p[found]
+            p[:, 0] += floor * (found[:, :1] < 0)
+            for e in range(len(found)):
+                here = slice(e, e + LONGEST)
+                sums[e + LONGEST] = (sums[here][::-1] * p[e]).sum(0)
+                if e % 8 == 7 or e == len(found) - 1:
+                    by = sums[e + LONGEST].copy()
+                    sums[e + 1 : e + LONGEST + 1] /= by
+                    logs += np.log(by)
+            sums[:LONGEST] = sums[len(found) : len(found) + LONGEST]
+        return logs
+
     @functools.cached_property
     def _p(self) -> np.ndarray:
         """piece x language; the last row, which -1 finds, is no piece."""
         return np.vstack([np.exp(self.logp).T, np.zeros(len(self.langs))])
 
     def _forward(self, words: list[str]):
-        """log of the sums over all segmentations, up to each place; a character that is no piece costs UNKNOWN."""
+        """log of the sums over all segmentations of each word, and the sums up to each place with the log of what they
+        are divided by; a character that is no piece costs UNKNOWN."""
         lengths, found = lattice(words, self.ranks)
         n, width, _ = found.shape
         p, floor = self._p, np.exp(UNKNOWN)
         alpha = np.zeros((n, width + 1, len(self.langs)))
-        scale = np.zeros((n, width + 1, len(self.langs)))  # log of what alpha has been divided by
+        scale = np.zeros((n, width + 1 if width > SHORT else 1, len(self.langs)))
         alpha[:, 0] = 1
         for e in range(1, width + 1):
             k = min(e, LONGEST)
@@ -172,34 +198,37 @@ class Model:
                 alpha[:, e] = 1
             else:
                 alpha[:, e] = total
-        with np.errstate(divide="ignore"):
-            logs = np.log(alpha) + scale
-        return logs[np.arange(n), lengths], logs, found, lengths
+        every = np.arange(n)
+        logs = np.log(alpha[every, lengths]) + scale[every, lengths if width > SHORT else 0]
+        return logs, alpha, scale, found, lengths
 
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected piece counts, language x piece; weights: word x language."""
-        counts = np.zeros((self.logp.shape[1] + 1, len(self.langs)))
+        """Expected piece counts, language x piece; weights: word x language.
+
+        `ends` is the probability that a piece ends at a place; what a piece there has of it is what it has of the sum up to there.
+        """
+        size, floor = self.logp.shape[1], np.exp(UNKNOWN)
+        counts = np.zeros((len(self.langs), size))
         for part in groups(words):
-            total, fwd, found, lengths = self._forward([words[i] for i in part])
+            _, alpha, scale, found, lengths = self._forward([words[i] for i in part])
             n, width, _ = found.shape
-            back = np.full((n, width + 1, len(self.langs)), -np.inf)
-            back[np.arange(n), lengths] = 0
-            with np.errstate(divide="ignore"):
-                logs = np.log(self._p)
+            ends = np.zeros((n, width + 1, len(self.langs)))
+            ends[np.arange(n), lengths] = 1
             for e in range(width, 0, -1):
-                live = (lengths >= e)[:, None]
-                for j in range(1, min(e, LONGEST) + 1):
-                    piece = found[:, e - 1, j - 1]
-                    if j > 1 and (piece < 0).all():
-                        continue
-                    lp = logs[piece]
-                    if j == 1:
-                        lp = np.where(piece[:, None] >= 0, lp, UNKNOWN)
-                    step = lp + back[:, e]
-                    post = np.where(live & (piece >= 0)[:, None], np.exp(np.minimum(fwd[:, e - j] + step - total, 0)), 0)
-                    np.add.at(counts, piece, post * weights[part])
-                    back[:, e - j] = np.where(live, np.logaddexp(back[:, e - j], step), back[:, e - j])
-        return counts[:-1].T
+                k = min(e, LONGEST)
+                before = alpha[:, e - k : e][:, ::-1] / alpha[:, e : e + 1]
+                if width > SHORT:
+                    before = before * np.exp(scale[:, e - k : e][:, ::-1] - scale[:, e : e + 1])
+                piece = found[:, e - 1, :k]
+                part_of = ends[:, e : e + 1] * before
+                share = part_of * self._p[piece]
+                ends[:, e - k : e] += share[:, ::-1]
+                ends[:, e - 1] += part_of[:, 0] * (floor * (piece[:, :1] < 0))
+                w, j = np.nonzero(piece >= 0)
+                at, post = piece[w, j], share[w, j] * weights[part][w]
+                for k_lang in range(len(self.langs)):
+                    counts[k_lang] += np.bincount(at, post[:, k_lang], size)
+        return counts
 
 
 def train(texts: list[str], langs: list[str], ranks: str, rounds: int = 4, prior: float = 0.05) -> Model | None:
@@ -235,8 +264,11 @@ def sample(docs: DataFrame, rows: int, each: int = 150) -> tuple[list[str], list
     usable = docs.filter("doc_id is not null and text is not null and lang is not null")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     over_all = usable.select("doc_id", "lang").orderBy(*order, "lang").limit(rows)
-    ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place"))
-    ids = over_all.unionByName(ranked.filter(F.col("place") <= each).drop("place")).distinct()
+    ranked = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("salt"))
+    for group in (("lang", "salt"), ("lang",)):  # the salt first, so that no language is one task
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= each).drop("place")
+    ranked = ranked.drop("salt")
+    ids = over_all.unionByName(ranked).distinct()
     texts = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     one = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     got = sorted(one.select("t.h", "lang", "doc_id", "t.text").collect())  # at most rows + each * languages
@@ -244,27 +276,29 @@ def sample(docs: DataFrame, rows: int, each: int = 150) -> tuple[list[str], list
 
 
 class Scorer:
-    """Predictions for texts, with the scores of words seen kept up to a bound."""
+    """Predictions for texts, with the scores of words seen kept, up to a bound of words and of their characters."""
 
-    def __init__(self, model: Model | None, keep: int = 300_000):
-        self.model, self.keep, self.at = model, keep, {}
-        self.table = np.zeros((0, len(model.langs) if model else 0), np.float32)
+    def __init__(self, model: Model | None, keep: int = 200_000, keep_chars: int = 8_000_000):
+        self.model, self.keep, self.keep_chars, self.at, self.chars = model, keep, keep_chars, {}, 0
+        self.table = np.zeros((0, len(model.langs) if model else 0))
 
     def _grow(self, new: list[str]) -> None:
         got = self.model.word_scores(new)
         n = len(self.at)
         if n + len(new) > len(self.table):
-            bigger = np.zeros((2 * (n + len(new)), got.shape[1]), np.float32)
+            bigger = np.zeros((2 * (n + len(new)), got.shape[1]))
             bigger[:n] = self.table[:n]
             self.table = bigger
         self.table[n : n + len(new)] = got
         self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        self.chars += sum(map(len, new))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model:
             return [("und", 0.0)] * len(texts)
-        if len(self.at) > self.keep:
+        if len(self.at) > self.keep or self.chars > self.keep_chars:
             self.at.clear()
+            self.chars = 0
         split = [words_of(t) if t else [] for t in texts]
         new = {w for x in split for w in x if w not in self.at}
         if new:
@@ -274,26 +308,16 @@ class Scorer:
             if not any(c.isalpha() for w in x for c in w):  # words may hold other numerals than digits
                 out.append(("und", 0.0))
                 continue
-            total = self.table[np.fromiter((at[w] for w in x), np.int64, len(x))].sum(0, dtype=np.float64)
+            total = self.table[np.fromiter(map(at.__getitem__, x), np.int64, len(x))].sum(0)
             best = int(total.argmax())
             out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum())))
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False) -> DataFrame:
-    """docs (without text unless kept) with the prediction and its posterior; a worker keeps the words it has scored for its next tasks."""
-    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-
-    def make():
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(held.value)
-        return _scorers[key]
-
-    return map_texts(docs, f"{names[0]} string, {names[1]} double", make, text, keep_text)
+def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs without text, with the prediction and its posterior."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return map_texts(docs, f"{names[0]} string, {names[1]} double", lambda: Scorer(held.value), text)
 
 
 def keep_known(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -303,5 +327,10 @@ def keep_known(docs: DataFrame, model: Model | None, text: str = "text", least:
     """
     if model is None:
         return docs.filter(F.col(text).rlike(r"\p{L}"))
-    found = identify(docs, model, text, ("__lang", "__posterior"), True)
-    return found.filter((F.col("__lang") != "und") & (F.col("__posterior") >= least)).drop("__lang", "__posterior")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known():
+        own = Scorer(held.value)
+        return lambda column: pa.array([lang != "und" and score >= least for block in text_blocks(column) for lang, score in own(block)], pa.bool_())
+
+    return docs.filter(text_column(docs.sparkSession, BooleanType(), known)(F.col(text).cast("string")))

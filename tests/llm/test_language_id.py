@@ -1,10 +1,12 @@
 import itertools
 import math
+import zlib
 
 import numpy as np
 import public_tokenizers as files
+from pyspark.sql import functions as F
 
-from docspark.llm import language_id
+from docspark.llm import language_id, queries
 
 RANKS = files.path("byte_bpe_multi_50k.tiktoken")
 
@@ -41,6 +43,71 @@ def test_long_words_use_the_scaled_pass():
     assert np.isfinite(m.word_scores([word])[0]).all() and (m.word_scores([word])[0] < half).all()
 
 
+def plain_sum(word, logp):
+    """log of the sum over all segmentations, place by place."""
+    vocabulary, sums = language_id.vocabulary(RANKS), [0.0]
+    for e in range(1, len(word) + 1):
+        terms = [sums[e - j] + logp[vocabulary[word[e - j : e]]] for j in range(1, min(e, language_id.LONGEST) + 1) if word[e - j : e] in vocabulary]
+        if word[e - 1] not in vocabulary:
+            terms.append(sums[e - 1] + language_id.UNKNOWN)
+        sums.append(np.logaddexp.reduce(terms))
+    return sums[-1]
+
+
+def test_very_long_runs_are_not_cut():
+    m, rng = model(), np.random.default_rng(2)
+    for n in (language_id.RUN - 1, language_id.RUN, language_id.RUN + 1, 10_000, 3 * language_id.RUN):
+        word = " " + "".join(rng.choice(list("erstnaidß日q"), n - 1))
+        assert np.allclose(m.word_scores(["one", word])[1], [plain_sum(word, m.logp[k]) for k in range(2)], rtol=1e-9)
+    assert language_id.words_of("1 " + "Ab" * 5000 + " c") == [" " + "ab" * 5000, " c"]
+
+
+def brute_counts(word, logp):
+    """Expected piece counts over all segmentations."""
+    vocabulary, found, total = language_id.vocabulary(RANKS), {}, 0.0
+    for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
+        parts = [word[a:b] for a, b in itertools.pairwise(at)]
+        if all(x in vocabulary or len(x) == 1 for x in parts):
+            prob = math.exp(sum(logp[vocabulary[x]] if x in vocabulary else language_id.UNKNOWN for x in parts))
+            total += prob
+            for x in parts:
+                if x in vocabulary:
+                    found[vocabulary[x]] = found.get(vocabulary[x], 0) + prob
+    return {k: v / total for k, v in found.items()}
+
+
+def test_expected_counts_match_brute_force():
+    m = model()
+    words, weights = [" the", " ersteain", "a", " xß日q", " für"], np.array([[2.0, 0], [1, 3], [0, 1], [1, 1], [5, 0.5]])
+    got = m.expected(words, weights)
+    for k in range(2):
+        want = np.zeros(got.shape[1])
+        for word, w in zip(words, weights[:, k], strict=True):
+            for piece, n in brute_counts(word, m.logp[k]).items():
+                want[piece] += w * n
+        assert np.allclose(got[k], want, rtol=1e-6, atol=1e-12)
+    long = " " + "erstaun" * 8  # the scaled pass against the sum over short words' counts
+    assert np.isclose((m.expected([long], np.ones((1, 2))) * np.array([len(p) for p in language_id.vocabulary(RANKS)])).sum(1), len(long)).all()
+
+
+def test_learning_matches_plain_rounds():
+    texts, langs = ["the rest is", "der rest ist", "das erste", "the first"], ["en", "de", "de", "en"]
+    got, names = language_id.train(texts, langs, RANKS, rounds=2, prior=0.05), ["de", "en"]
+    logp = np.full((2, len(language_id.vocabulary(RANKS))), -np.log(len(language_id.vocabulary(RANKS))))
+    for _ in range(2):
+        counts = np.full(logp.shape, 0.05)
+        for text, lang in zip(texts, langs, strict=True):
+            for word in text.split():
+                for piece, n in brute_counts(" " + word, logp[names.index(lang)]).items():
+                    counts[names.index(lang), piece] += n
+        logp = np.log(counts / counts.sum(1, keepdims=True))
+    assert got.langs == names and np.allclose(got.logp, logp, rtol=1e-6)
+    total = [sum(plain_sum(" " + w, logp[k]) for w in ("der", "rest")) for k in range(2)]
+    (lang, score), = language_id.Scorer(got)(["Der, REST!"])
+    assert lang == names[int(np.argmax(total))] and math.isclose(score, 1 / (1 + math.exp(min(total) - max(total))), rel_tol=1e-6)
+
+
 def test_expected_counts_add_up_to_characters():
     m = model()
     words = [" the", " and", " erste"]
@@ -76,6 +143,27 @@ def test_numerals_are_no_letters():
     assert scorer(["² a"])[0][0] in ("de", "en")
 
 
+def test_query(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_language_id(spark, str(tmp_path)).collect()
+    rows = docs.collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r.doc_id) for r in rows)
+    assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 3 == 1) for r in got)
+    texts, langs = language_id.sample(docs.filter("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 3 <> 1"), 1500)
+    score = language_id.Scorer(language_id.train(texts, langs, RANKS))
+    want = sorted((repr(r.doc_id), *score([r.text])[0]) for r in rows)
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-9) for a, b in zip(sorted((repr(r.doc_id), r.lang_pred, r.score) for r in got), want, strict=True))
+
+
+def test_columns_that_clash_stay(docs):
+    m = language_id.train(*language_id.sample(docs, 1000), RANKS)
+    own = docs.withColumn("__lang", F.lit("mine")).withColumn("found", F.lit(1)).withColumn("__text", F.lit(2)).withColumn("lang_pred", F.lit("old"))
+    assert language_id.keep_known(own, m).columns == own.columns
+    assert language_id.keep_known(own, m).filter("__lang = 'mine' and found = 1 and __text = 2").count() == language_id.keep_known(docs, m).count()
+    got = language_id.identify(own.select("doc_id", "text", "__lang", "found", "lang_pred"), m)
+    assert got.columns == ["doc_id", "__lang", "found", "lang_pred", "score"] and got.filter("lang_pred = 'old'").count() == 0
+
+
 def test_stage_and_no_model(docs, empty):
     m = language_id.train(*language_id.sample(docs, 1000), RANKS)
     kept = language_id.keep_known(docs, m)
