@@ -123,18 +123,28 @@ def color_shares(pixels: DataFrame, *key: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*key)))
 
 
-def dominant_colors(clusters: DataFrame, *key: str, least: float = 0.05, most: int = 5) -> DataFrame:
-    """(key, dominant_colors, num_color_segments) of (key, cluster, r, g, b, n).
+def dominant_of(clusters: Column, least: float = 0.05, most: int = 5) -> Column:
+    """struct<dominant_colors, num_color_segments> of an array of (cluster, r, g, b, n).
 
     Shares below `least`, near white and near black go; segments are counted before the cut to `most`.
     """
-    shares = clusters.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*key))).filter(F.col("share") >= least)
-    edge = lambda test: test(F.col("r")) & test(F.col("g")) & test(F.col("b"))
-    kept = shares.filter(~edge(lambda c: c > 230) & ~edge(lambda c: c < 25))
-    code = F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(c), 2, "0") for c in "rgb"]))
-    text = F.concat(color_name(F.col("r"), F.col("g"), F.col("b")), F.lit(" ("), code, F.lit(", "), F.bround(F.col("share") * 100, 0).cast("int").cast("string"), F.lit("%)"))
-    listed = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "cluster", text.alias("text")))).alias("all"))
-    return listed.select(*key, F.slice(F.transform("all", lambda x: x["text"]), 1, most).alias("dominant_colors"), F.size("all").alias("num_color_segments"))
+    edge = lambda c, low: (c["r"] < 25) & (c["g"] < 25) & (c["b"] < 25) if low else (c["r"] > 230) & (c["g"] > 230) & (c["b"] > 230)
+    code = lambda c: F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(c[k]), 2, "0") for k in "rgb"]))
+
+    def listed(total: Column) -> Column:
+        kept = F.filter(clusters, lambda c: (c["n"] / total >= least) & ~edge(c, False) & ~edge(c, True))
+        said = lambda c: F.concat(color_name(c["r"], c["g"], c["b"]), F.lit(" ("), code(c), F.lit(", "), F.bround(c["n"] / total * 100, 0).cast("int").cast("string"), F.lit("%)"))
+        return F.array_sort(F.transform(kept, lambda c: F.struct((-c["n"]).alias("neg"), c["cluster"].alias("cluster"), said(c).alias("text"))))
+
+    total = F.aggregate(clusters, F.lit(0).cast("bigint"), lambda s, c: s + c["n"])
+    every = let(total, listed)
+    return let(every, lambda x: F.struct(F.slice(F.transform(x, lambda y: y["text"]), 1, most).alias("dominant_colors"), F.size(x).alias("num_color_segments")))
+
+
+def dominant_colors(clusters: DataFrame, *key: str, least: float = 0.05, most: int = 5) -> DataFrame:
+    """(key, dominant_colors, num_color_segments) of (key, cluster, r, g, b, n), for keys with any colour left."""
+    listed = clusters.groupBy(*key).agg(F.collect_list(F.struct("cluster", "r", "g", "b", F.col("n").cast("bigint").alias("n"))).alias("all"))  # an image has few clusters
+    return listed.select(*key, dominant_of(F.col("all"), least, most).alias("found")).select(*key, "found.*").filter("num_color_segments > 0")
 
 
 def chart_struct(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -100,13 +100,38 @@ class Endpoint:
 
 
 def answers(asked: DataFrame, endpoint: Endpoint | None = None) -> DataFrame:
-    """asked (…, question, context) with answers; a failed call gives the stub of its row.
-
-    A task may run again, so calls carry the prompt's hash as an idempotency key.
-    """
+    """asked (…, question, context) with answers; a failed call gives the stub of its row."""
     if endpoint is None or not endpoint.usable:
         return stub_answers(asked)
     ready = stub_answers(asked).withColumn("__prompt", user_prompt(F.col("context"), F.col("question")))
+
+    def put(row: dict, said: dict) -> None:
+        usage = said.get("usage", {})
+        row |= {"answer": said["choices"][0]["message"]["content"], "model": endpoint.model}
+        row["usage"] = {k: usage.get(k, 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+
+    return _each_sent(ready, endpoint, [{"role": "system", "content": SYSTEM_PROMPT}], put)
+
+
+def describe_charts(analysed: DataFrame, endpoint: Endpoint | None = None) -> DataFrame:
+    """analysed (…, chart_subtype_ru, blip_caption, ocr_text, gpt_description) with descriptions by the endpoint; without
+    one, or after a failed call, the description stays as it is."""
+    if endpoint is None or not endpoint.usable:
+        return analysed
+    ready = analysed.withColumn("__prompt", chart_prompt(F.col("chart_subtype_ru"), F.col("blip_caption"), F.col("ocr_text")))
+
+    def put(row: dict, said: dict) -> None:
+        text = (said["choices"][0]["message"]["content"] or "").strip()
+        row["gpt_description"] = text or row["gpt_description"]
+
+    return _each_sent(ready, endpoint, [], put)
+
+
+def _each_sent(ready: DataFrame, endpoint: Endpoint, before: list[dict], put: Callable[[dict, dict], None]) -> DataFrame:
+    """Sends each row's __prompt, and puts what is said into the row; a row whose call fails stays as it is.
+
+    A task may run again, so calls carry the prompt's hash as an idempotency key.
+    """
     schema = ready.drop("__prompt").schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,16 +145,13 @@ def answers(asked: DataFrame, endpoint: Endpoint | None = None) -> DataFrame:
                 for row in rows:
                     prompt = row.pop("__prompt")
                     body = {"model": endpoint.model, "max_tokens": endpoint.max_tokens, "top_p": endpoint.top_p, "temperature": endpoint.temperature}
-                    body["messages"] = [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": prompt}]
+                    body["messages"] = [*before, {"role": "user", "content": prompt}]
                     headers = {"Accept": "application/json", "Content-Type": "application/json", "Authorization": endpoint.key, "Idempotency-Key": hashlib.sha256(prompt.encode()).hexdigest()}
                     try:
                         got = session.post(endpoint.url, headers=headers, data=json.dumps(body), timeout=endpoint.timeout)
                         if got.status_code == 200:
-                            said = got.json()
-                            usage = said.get("usage", {})
-                            row |= {"answer": said["choices"][0]["message"]["content"], "model": endpoint.model}
-                            row["usage"] = {k: usage.get(k, 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
-                    except Exception:  # the row keeps its stub
+                            put(row, got.json())
+                    except Exception:  # the row keeps what it has
                         continue
                 yield pd.DataFrame(rows, columns=schema.names)
 

@@ -1,7 +1,9 @@
-"""The vector index: one Parquet table of chunks with unit vectors, partitioned by source."""
+"""The vector index: one Parquet table of chunks with unit vectors, a folder for each write."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +21,17 @@ def normalised(df: DataFrame, vec: str = "vec", dim: int | None = None) -> DataF
     return df.withColumn("__v", v).withColumn("__n", norm(F.col("__v"))).withColumn(vec, unit(F.col("__v"), F.col("__n"))).drop("__v", "__n")
 
 
-def write(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None) -> None:
+def write(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None, part: str | None = None) -> None:
     """Saves chunks (source, chunk_id, …, vec). The row id hangs on the key alone, so appends and repeated tasks agree.
 
-    Besides Spark's modes there is `replace`, which replaces the sources that chunks has, and leaves others alone.
+    A write is one folder, whatever the number of sources; within it rows are sorted by source, and files carry filters
+    over it, so that a search of one source skips the others. With `part` a write has a name, and replaces what an
+    earlier one of that name has left, as a micro-batch that runs again has to.
     """
     rows = normalised(chunks, dim=dim).withColumn("row_id", F.xxhash64("source", "chunk_id"))
-    writer = rows.write.partitionBy("source")
-    if mode == "replace":
+    named = rows.withColumn("part", F.lit(part or uuid.uuid4().hex)).sortWithinPartitions("source", "row_id")
+    writer = named.write.partitionBy("part").option("parquet.bloom.filter.enabled#source", "true")
+    if part is not None:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         writer.mode(mode).parquet(path)
@@ -39,13 +44,16 @@ def append(chunks: DataFrame, path: str, dim: int | None = None) -> None:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The index at path; FileNotFoundError where there is none."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).drop("part")
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], INDEX).write.mode("overwrite").parquet(path)
+    """Leaves an index without rows, to which others may be appended."""
+    none = spark.createDataFrame([], INDEX)
+    none.withColumn("part", F.lit("")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(path)
+    none.coalesce(1).write.mode("overwrite").parquet(f"{path}/part=none")
 
 
 def size(index: DataFrame) -> DataFrame:

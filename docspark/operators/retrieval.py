@@ -13,8 +13,8 @@ from docspark.functions.vectors import dot
 
 NOTHING = "Контекст не найден."
 BREAK = "\n\n---\n\n"
-#: A set of queries is broadcast up to this many values; more are answered in groups of that size.
-QUERY_VALUES = 4_000_000
+#: How many queries, and how many rows of the index, are in a block.
+QUERY_BLOCK, ROW_BLOCK = 256, 1024
 
 
 def top_k(index: DataFrame, query: list[float], k: int, key: str = "row_id", filter_type: Column | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def top_k(index: DataFrame, query: list[float], k: int, key: str = "row_id", fil
     With a filter, it is applied to the best 3k, so fewer than k may be left. One TakeOrderedAndProject; no shuffle of rows.
     """
     length = float(np.linalg.norm(query)) or 1.0
-    scored = index.withColumn("score", dot(F.col("vec"), F.array(*[F.lit(float(x) / length) for x in query])))
+    scored = index.filter("vec is not null").withColumn("score", dot(F.col("vec"), F.array(*[F.lit(float(x) / length) for x in query])))
     best = scored.orderBy(F.desc("score"), key).limit(3 * k if filter_type is not None else k)
     return best.filter(filter_type).orderBy(F.desc("score"), key).limit(k) if filter_type is not None else best
 
@@ -31,47 +31,57 @@ def top_k(index: DataFrame, query: list[float], k: int, key: str = "row_id", fil
 def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str = "row_id", query_key: str = "query_id") -> DataFrame:
     """(query_key, rank, key, score): for each query (query_key, vec) its k best rows of the index, ties by key.
 
-    Index rows are scored block by block against the matrix of queries, and each batch passes on only the k best of
-    each query; so the pairs of queries and rows never exist as rows. Many queries are answered in several passes.
+    Queries are packed into blocks, and rows of the index into blocks; every block of queries meets every block of rows
+    as one matrix product, which passes on the k best of each query. So neither queries nor pairs of queries and rows
+    are ever rows of the driver, and the plan holds block pairs only. Scores count to 12 decimals, so that equal ones
+    tie whatever their block. Rows and queries without a vector are left out.
     """
-    asked = [(r[query_key], r["vec"]) for r in queries.select(query_key, "vec").toLocalIterator()]
-    if not asked:
-        return queries.sparkSession.createDataFrame([], f"{query_key} bigint, rank int, {key} bigint, score double")
-    width = max(1, QUERY_VALUES // max(1, len(asked[0][1])))
-    parts = [_one_pass(index, asked[a : a + width], k, key, query_key) for a in range(0, len(asked), width)]
-    near = parts[0]
-    for p in parts[1:]:
-        near = near.unionByName(p)
+    blocks_of = lambda df, name, rows: df.filter("vec is not null").select(name, "vec").mapInPandas(_packer(name, rows), "keys binary, dim int, matrix binary")
+    asked = blocks_of(queries, query_key, QUERY_BLOCK).select(F.col("keys").alias("asked"), F.col("matrix").alias("asked_matrix"))
+    rows = blocks_of(index, key, ROW_BLOCK)
+    met = rows.join(asked, F.lit(True))  # a stated set of queries against all rows, in blocks
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for keys, dim, matrix, names, wanted in frame.itertuples(index=False):
+                names, own = np.frombuffer(names, np.int64), np.frombuffer(keys, np.int64)
+                scores = np.round(np.frombuffer(matrix).reshape(-1, dim) @ np.frombuffer(wanted).reshape(-1, dim).T, 12)
+                n = min(k, len(own))
+                # Rows that tie with the k-th stay, so that ties can be settled by key.
+                row, query = np.nonzero(scores >= np.partition(scores, len(own) - n, axis=0)[len(own) - n])
+                found = pd.DataFrame({query_key: names[query], key: own[row], "score": scores[row, query]})
+                yield found.sort_values([query_key, "score", key], ascending=[True, False, True]).groupby(query_key, sort=False).head(k)
+
+    near = met.select("keys", "dim", "matrix", "asked", "asked_matrix").mapInPandas(best, f"{query_key} bigint, {key} bigint, score double")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, "rank", key, "score")
 
 
-def _one_pass(index: DataFrame, asked: list, k: int, key: str, query_key: str) -> DataFrame:
-    names = np.array([q for q, _ in asked])
-    matrix = np.array([v for _, v in asked], np.float64)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    held = index.sparkSession.sparkContext.broadcast((names, matrix / np.where(length == 0, 1, length)))
+def _packer(name: str, rows: int):
+    """(name, vec) to blocks of at most `rows` keys and unit vectors."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = held.value
-        best: pd.DataFrame | None = None
+        keys: list[int] = []
+        vecs: list[np.ndarray] = []
+
+        def block() -> pd.DataFrame:
+            matrix = np.stack(vecs).astype(np.float64)
+            length = np.linalg.norm(matrix, axis=1, keepdims=True)
+            out = pd.DataFrame({"keys": [np.array(keys, np.int64).tobytes()], "dim": [matrix.shape[1]], "matrix": [(matrix / np.where(length == 0, 1, length)).tobytes()]})
+            keys.clear()
+            vecs.clear()
+            return out
+
         for frame in frames:
-            if not len(frame):
-                continue
-            own, found = frame[key].to_numpy(), []
-            for a in range(0, len(frame), 2048):
-                scores = np.stack(frame["vec"].iloc[a : a + 2048].to_numpy()).astype(np.float64) @ matrix.T
-                n = min(k, len(scores))
-                # Rows that tie with the k-th stay, so that ties can be settled by key.
-                least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
-                row, query = np.nonzero(scores >= least)
-                found.append(pd.DataFrame({query_key: names[query], key: own[a + row], "score": scores[row, query]}))
-            best = pd.concat([*found, *([best] if best is not None else [])])
-            best = best.sort_values([query_key, "score", key], ascending=[True, False, True]).groupby(query_key, sort=False).head(k)
-        if best is not None:
-            yield best
+            for one, vec in zip(frame[name].tolist(), frame["vec"], strict=True):
+                keys.append(one)
+                vecs.append(vec)
+                if len(keys) == rows:
+                    yield block()
+        if keys:
+            yield block()
 
-    return index.select(key, "vec").mapInPandas(run, f"{query_key} bigint, {key} bigint, score double")
+    return run
 
 
 def retrieve(index: DataFrame, query: list[float], k: int | None = None, filter_type: str | None = None, default_k: int = 5) -> DataFrame:
@@ -109,6 +119,11 @@ def sources(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "page", "section", F.coalesce("type", F.lit("text")).alias("chunk_type"), F.substring("text", 1, 100).alias("text_preview"))
 
 
+def top_sources(hits: DataFrame, most: int = 3) -> DataFrame:
+    """The first `most` sources of each query."""
+    return sources(hits).filter(F.col("rank") <= most)
+
+
 def first_visual(chunks: DataFrame, words: list[str], *order: str) -> DataFrame:
     """The first chunk that holds any of the words, in any case."""
     found = F.lit(False)

@@ -134,7 +134,7 @@ SIMPLE = f"""paras AS (
 
 ANALYSES = f"""analyses AS (
   SELECT doc_id, CAST(doc_id % 40 + 1 AS INTEGER) AS page_num, ({LABELS})[doc_id % 9 + 1] AS label,
-    CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 120) ELSE '' END AS said, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 400) ELSE '' END AS ocr,
+    coalesce(text, '') AS said, coalesce(text, '') AS ocr,
     CASE WHEN doc_id % 5 > 0 THEN 'img' || doc_id || '.png' END AS path FROM documents
 )"""
 
@@ -173,7 +173,7 @@ BATCH = VECS + """, best AS (
     CAST(row_number() OVER (PARTITION BY q.row_id ORDER BY list_inner_product(u.v, q.v) DESC, u.row_id) AS INTEGER) AS rank
     FROM units u, units q WHERE q.row_id % 50 = 0) WHERE rank <= 5
 ), hits AS (
-  SELECT b.*, substr(d.text, 1, 300) AS text, substr(sha256(CAST(b.row_id AS VARCHAR)), 1, 8) AS chunk_id FROM best b JOIN documents d ON d.doc_id = b.row_id
+  SELECT b.*, d.text, substr(sha256(CAST(b.row_id AS VARCHAR)), 1, 8) AS chunk_id FROM best b JOIN documents d ON d.doc_id = b.row_id
 )"""
 GAP = f"{NL} || {NL} || '---' || {NL} || {NL}"
 
@@ -215,6 +215,22 @@ BLEU = PAIRS + f""", toks AS (
     * exp(0.5 * ln(CAST(c1 AS DOUBLE) / len(h)) + 0.5 * ln(CASE WHEN c2 = 0 THEN 0.1 ELSE CAST(c2 AS DOUBLE) END / greatest(1, len(h) - 1))), 4) END AS bleu FROM toks LEFT JOIN clipped USING (conv_id, turn)
 )"""
 
+ROUGE = PAIRS + rf""", seqs AS (
+  SELECT conv_id, turn, regexp_extract_all(lower(reference), '[\p{{L}}\p{{N}}_]+') AS r, regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]+') AS h FROM pairs
+), common AS (
+  SELECT conv_id, turn, r, h, 0 AS j, list_transform(r, lambda x: 0) AS best FROM seqs
+  UNION ALL
+  SELECT conv_id, turn, r, h, j + 1, list_transform(range(1, len(r) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda k:
+    greatest(best[k], CASE WHEN r[k] = h[j + 1] THEN coalesce(best[k - 1], 0) + 1 ELSE 0 END)))) FROM common WHERE j < len(h)
+), rouges AS (
+  SELECT conv_id, turn, CASE WHEN len(r) = 0 OR len(h) = 0 OR best[len(r)] = 0 THEN 0.0 ELSE
+    round(2 * (CAST(best[len(r)] AS DOUBLE) / len(h)) * (CAST(best[len(r)] AS DOUBLE) / len(r)) / (CAST(best[len(r)] AS DOUBLE) / len(h) + CAST(best[len(r)] AS DOUBLE) / len(r)), 4) END AS rouge_l FROM common WHERE j = len(h)
+)"""
+
+# Vectors of hashed words as sparse rows: whole numbers, so that sums are exact.
+HASHED = lambda source, key, text: f"""SELECT {key} AS id, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % 384 AS b, sum(CASE WHEN substr(m, 9, 1) < '8' THEN 1 ELSE -1 END) AS v
+  FROM (SELECT {key}, md5(unnest(list_filter(regexp_split_to_array(lower({text}), '{SPACE}+'), lambda x: x <> ''))) AS m FROM {source}) GROUP BY 1, 2"""
+
 KEYWORDS = """found AS (
   SELECT conv_id, turn, text, w, unnest(range(len(w))) AS i FROM (SELECT conv_id, turn, text, regexp_extract_all(coalesce(text, ''), '[а-яА-ЯёЁa-zA-Z]{3,}') AS w FROM conversations)
 ), uniq AS (
@@ -250,6 +266,19 @@ def oracle_sql() -> dict[str, str]:
     union = f"""{SIMPLE}, {ANALYSES}, every AS (
       SELECT 0 AS branch, text, 'text' AS type, CAST(NULL AS INTEGER) AS page, CAST(NULL AS VARCHAR) AS section FROM simple
       UNION ALL SELECT 1, t, 'image_caption', page_num, 'Изображения и графики' FROM (SELECT {chart_chunk} AS t, page_num FROM analyses) WHERE length(trim(t, {S})) >= 50)"""
+    chunks = CHUNKS.replace("RECURSIVE_MARK ", "")
+    place = "CAST(('0x' || substr(md5(p.doc_id || '/' || p.section_no || '/' || p.chunk_no), 1, 15)) AS BIGINT)"
+    part = f"'[Фрагмент ' || rank || '] (' || CASE WHEN type = 'image_caption' THEN 'описание графика/изображения' ELSE 'текст' END || CASE WHEN coalesce(page, 0) <> 0 THEN ', ' || {WHERE} ELSE '' END || '):' || {NL} || text"
+    answered = f"""WITH RECURSIVE {chunks}, made AS (
+        SELECT {place} AS row_id, p.text, s.page, coalesce(s.title, '') AS section, s.type FROM pieces p JOIN sections s USING (doc_id, section_no) WHERE length(p.text) >= 50
+      ), own AS ({HASHED("made", "row_id", "text")}), given AS ({HASHED("benchmark", "item_id", "text")}),
+      sizes AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS n FROM own GROUP BY id), lengths AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS n FROM given GROUP BY id),
+      dots AS (SELECT g.id AS query_id, o.id AS row_id, CAST(sum(g.v * o.v) AS DOUBLE) AS d FROM given g JOIN own o USING (b) GROUP BY 1, 2),
+      pairs AS (SELECT b.item_id AS query_id, m.row_id, round(coalesce(d / n.n / l.n, 0), 12) AS score FROM benchmark b CROSS JOIN made m LEFT JOIN dots ON query_id = b.item_id AND dots.row_id = m.row_id LEFT JOIN sizes n ON n.id = m.row_id LEFT JOIN lengths l ON l.id = b.item_id),
+      top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM pairs) WHERE rank <= 5),
+      told AS (SELECT query_id, string_agg({part}, {GAP} ORDER BY rank) AS context FROM top JOIN made USING (row_id) GROUP BY query_id)
+      SELECT query_id, b.text AS question, '[LLM API недоступен — показываю найденный контекст]' || {NL} || {NL} || 'Вопрос: ' || b.text || {NL} || {NL} || 'Найденные фрагменты:' || {NL} || context AS answer,
+        'stub' AS model, substr(context, 1, 200) || '...' AS context_used FROM told JOIN benchmark b ON b.item_id = query_id"""
     stub = f"'[LLM API недоступен — показываю найденный контекст]' || {NL} || {NL} || 'Вопрос: Q' || query_id || {NL} || {NL} || 'Найденные фрагменты:' || {NL} || context"
     return {
         "block_classify": f"WITH {BLOCKS} SELECT doc_id, block_no, page_num, block_type FROM blocks",
@@ -317,5 +346,10 @@ def oracle_sql() -> dict[str, str]:
         "visual_chunk": f"WITH RECURSIVE {union} SELECT page, text FROM every WHERE contains(lower(text), 'график') OR contains(lower(text), 'диаграмм') ORDER BY page NULLS FIRST, text LIMIT 1",
         "index_stats": "SELECT count(*) AS index_size, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim FROM embeddings",
         "faithfulness": f"WITH {FAITH} SELECT conv_id, turn, CAST(faithfulness AS DOUBLE) AS faithfulness FROM faith",
+        "rouge_l": f"WITH RECURSIVE {ROUGE} SELECT conv_id, turn, CAST(rouge_l AS DOUBLE) AS rouge_l FROM rouges",
+        "bench_summary": f"""WITH RECURSIVE {ROUGE}, {FAITH.removeprefix(PAIRS + ", ")}, {BLEU.removeprefix(PAIRS + ", ")}
+          SELECT count(*) AS questions, round(avg(CAST(bleu AS DOUBLE)), 4) AS avg_bleu, round(avg(CAST(rouge_l AS DOUBLE)), 4) AS avg_rouge_l, round(avg(CAST(faithfulness AS DOUBLE)), 4) AS avg_faithfulness
+          FROM bleus JOIN rouges USING (conv_id, turn) JOIN faith USING (conv_id, turn)""",
+        "rag_answers": answered,
         "bleu2": f"WITH {BLEU} SELECT conv_id, turn, CAST(bleu AS DOUBLE) AS bleu FROM bleus",
     }

@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 from docspark.operators import charts, chunking, generation, images, index, layout, markdown, retrieval
 from docspark.sources import backends
 
-def image_blocks(found: DataFrame) -> DataFrame:
+
+
+def image_blocks(found: DataFrame, endpoint: generation.Endpoint | None = None) -> DataFrame:
     """Blocks of images (doc_id, page_num, idx, png, image_path): charts with their analysis, then other images.
 
+    With an endpoint that can be used charts are described by it.
+
     Order is by branch: charts follow all text, and other images follow charts.
     """
     kinds = charts.chart_or_image(found.withColumn("logits", backends.image_logits(F.col("png"), charts.CHART_PROMPTS + charts.IMAGE_PROMPTS)))
     drawn, other = images.split_kinds(kinds)
     read = drawn.withColumn("logits", backends.image_logits(F.col("png"), list(charts.SUBTYPES))).withColumn("raw_ocr", backends.ocr_text(F.col("png"))).withColumn("blip_caption", backends.caption(F.col("png"))).withColumn("num_lines", backends.line_count(F.col("png")))
-    analysed = charts.analyse(read).withColumn("dominant_colors", F.array().cast("array<string>")).withColumn("num_color_segments", F.lit(0))
+    coloured = read.withColumn("clusters", backends.pixel_clusters(F.col("png"))).withColumn("colours", charts.dominant_of(F.col("clusters")))
+    analysed = charts.analyse(coloured).withColumns({c: F.col(f"colours.{c}") for c in ("dominant_colors", "num_color_segments")}).drop("clusters", "colours", "png", "logits")
+    analysed = generation.describe_charts(analysed, endpoint)
     chart = charts.chart_struct(analysed).select("doc_id", F.col("idx").alias("block_no"), "page_num", F.lit("chart").alias("block_type"), chunking.chart_text(F.struct("chart_subtype_ru", "page_num", "gpt_description", "ocr_text")).alias("text"), "chart", F.lit(1).alias("branch"))
     photo = other.select("doc_id", F.col("idx").alias("block_no"), "page_num", F.lit("image").alias("block_type"), F.lit(None).cast("string").alias("text"), F.struct("image_path", F.lit(None).cast("string").alias("path"), backends.ocr_text(F.col("png")).alias("ocr_text")).alias("image"), F.lit(2).alias("branch"))
     return chart.unionByName(photo, allowMissingColumns=True)
@@ -59,7 +65,9 @@ class Pipeline:
         counts = layout.count_types(blocks).agg(F.map_from_entries(F.collect_list(F.struct("block_type", "n"))).alias("blocks"))
         return self.get_stats().join(counts, F.lit(True))  # two rows of totals
 
-    def ingest_pdfs(self, path: str, process_images: bool = True, most_images: int | None = None) -> DataFrame:
+    def ingest_pdfs(self, path: str, process_images: bool = True, most_images: int | None = None, image_dir: str | None = None) -> DataFrame:
+        """Reads the PDF files at path into the index. With image_dir (a URI that all workers reach) their images are
+        saved there, under the names that Markdown links to."""
         files = backends.read_files(self.spark, path)
         doc = F.col("source").alias("doc_id")
         text = layout.parse_blocks(backends.pdf_blocks(files)).select(doc, "block_no", "page_num", "block_type", "text")
@@ -67,7 +75,10 @@ class Pipeline:
             return self.ingest(ordered_union(text))
         found = images.extract(backends.pdf_images(files).withColumnRenamed("source", "doc_id"), most_images)
         named = found.withColumn("image_path", images.png_name(F.col("doc_id"), F.col("page_num"), F.col("image_no")))
-        return self.ingest(ordered_union(text, image_blocks(named)))
+        if image_dir:
+            named = named.withColumn("image_path", F.concat(F.lit(image_dir.rstrip("/") + "/"), "image_path"))
+            backends.save_images(named.select(F.col("image_path").alias("name"), "png"), image_dir).count()
+        return self.ingest(ordered_union(text, image_blocks(named, self.endpoint)))
 
     def query(self, questions: DataFrame, k: int | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame]:
         """questions (query_id, question) to (answers, sources)."""

@@ -9,7 +9,7 @@ from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
 from docspark.operators import charts, chunking, generation, images, index, layout, markdown, retrieval
-from docspark.plans import benchmark
+from docspark.plans import benchmark, shared
 from docspark.sources import backends
 
 ITEM_MARKS = ["• ", "- ", "1. ", "2) ", "– ", "0.52 ", "", "► "]
@@ -109,8 +109,8 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.col("doc_id") % 40 + 1).cast("int").alias("page_num"),
         F.get(labels, (F.col("doc_id") % 9).cast("int")).alias("chart_subtype_ru"),
-        F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 120)).otherwise("").alias("gpt_description"),
-        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 400)).otherwise("").alias("ocr_text"),
+        text_of(F.col("text")).alias("gpt_description"),
+        text_of(F.col("text")).alias("ocr_text"),
         F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("img"), F.col("doc_id").cast("string"), F.lit(".png"))).alias("image_path"),
     )
 
@@ -282,7 +282,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 5)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     chunk = F.substring(F.sha2(F.col("row_id").cast("string").cast("binary"), 256), 1, 8)
-    return best.join(held(spark, sf_dir).drop("vec"), "row_id").join(texts, "row_id").withColumn("text", F.substring("text", 1, 300)).withColumn("chunk_id", chunk)
+    return best.join(held(spark, sf_dir).drop("vec"), "row_id").join(texts, "row_id").withColumn("chunk_id", chunk)
 
 
 def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,8 +353,10 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of `benchmark` over all documents: blocks, Markdown, chunks, hashed embeddings, top-k, context, answer."""
-    made = chunking.chunk_markdown(markdown.build(blocks(spark, sf_dir))).withColumn("vec", backends.embed_text(F.col("text")))
-    rows = made.withColumn("row_id", F.xxhash64("doc_id", "section_no", "chunk_no"))
+    made = chunking.chunk_markdown(markdown.build(blocks(spark, sf_dir)))
+    place = F.md5(F.concat_ws("/", "doc_id", "section_no", "chunk_no").cast("binary"))
+    rows = made.withColumns({"vec": backends.embed_text(F.col("text")), "row_id": F.conv(F.substring(place, 1, 15), 16, 10).cast("bigint")})
+    rows = shared.stash(rows.select("row_id", "vec", "text", "page", "section", "type"), "chunks")  # read twice, for vectors and for texts
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     best = retrieval.top_k_batch(rows, questions.withColumn("vec", backends.embed_text(F.col("question"))), 5)
     found = best.join(rows.drop("vec"), "row_id")

@@ -6,7 +6,7 @@ end the columns get the documented defaults, and the whole engine runs offline.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,8 +74,6 @@ def pdf_images(files: DataFrame, least_width: int = 50, least_height: int = 50,
     """Images of PDF files, pages counted from 1; small ones go before they are encoded, and those that fail are left out."""
 
     def rows(content: bytes) -> Iterator[dict]:
-        import hashlib
-
         import fitz
 
         with fitz.open(stream=content, filetype="pdf") as doc:
@@ -99,7 +97,8 @@ def pdf_images(files: DataFrame, least_width: int = 50, least_height: int = 50,
 
 
 def save_images(images: DataFrame, folder: str) -> DataFrame:
-    """Writes each image (name, png) under folder, which all workers must reach, and returns (name, saved_path)."""
+    """Writes each image (name, png) under folder, which all workers must reach, by the last part of its name, and
+    returns (name, saved_path)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -107,25 +106,54 @@ def save_images(images: DataFrame, folder: str) -> DataFrame:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         for frame in frames:
-            for name, png in zip(frame["name"], frame["png"], strict=True):  # a repeated task writes the same bytes again
-                with store.open_output_stream(f"{base}/{name}") as out:
+            paths = [f"{base}/{n.rsplit('/', 1)[-1]}" for n in frame["name"]]
+            for path, png in zip(paths, frame["png"], strict=True):  # a repeated task writes the same bytes again
+                with store.open_output_stream(path) as out:
                     out.write(bytes(png))
-            yield pd.DataFrame({"name": frame["name"], "saved_path": [f"{base}/{n}" for n in frame["name"]]})
+            yield pd.DataFrame({"name": frame["name"], "saved_path": paths})
 
     return images.select("name", "png").mapInPandas(run, "name string, saved_path string")
 
 
+def image_bytes(path: Column) -> Column:
+    """The bytes of image files by path or URI; null for a null path and where there is no such file."""
+
+    @F.pandas_udf("binary")
+    def run(part: pd.Series) -> pd.Series:
+        from pyarrow import fs
+
+        def one(p):
+            try:
+                store, base = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
+                with store.open_input_stream(base, compression=None) as f:
+                    return f.read()
+            except Exception:
+                return None
+
+        return part.map(one)
+
+    return run(path)
+
+
+def ocr_files(path: Column, languages: str = "rus+eng+kaz", settings: str = "--oem 3 --psm 6") -> Column:
+    """Recognised text of image files; empty where a file is missing or no image."""
+    return ocr_text(image_bytes(path), languages, settings)
+
+
 # ------------------------------------------------------------ embeddings
 
 
-def hash_vector(text: str, dim: int) -> list[float]:
-    """Signed hashed counts of a text's words, of length one; the default embedder."""
-    v = np.zeros(dim)
-    for w in text.lower().split():
-        h = zlib.crc32(w.encode())
-        v[h % dim] += 1.0 if h >> 31 else -1.0
-    n = np.linalg.norm(v)
-    return (v / n if n else v).tolist()
+def hash_vectors(texts: list[str], dim: int) -> np.ndarray:
+    """Signed hashed counts of each text's words, of length one; the default embedder. Each distinct word is hashed once."""
+    split = [t.lower().split() for t in texts]
+    index: dict[str, int] = {}
+    word = np.array([index.setdefault(w, len(index)) for x in split for w in x], np.int64)
+    raw = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:5] for w in index), np.uint8).reshape(-1, 5).astype(np.int64)  # noqa: S324
+    bucket, sign = (raw[:, :4] @ (256 ** np.arange(3, -1, -1))) % dim, np.where(raw[:, 4] < 128, 1.0, -1.0)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+    counts = np.bincount(row * dim + bucket[word], sign[word], len(texts) * dim).reshape(len(texts), dim)
+    length = np.linalg.norm(counts, axis=1, keepdims=True)
+    return counts / np.where(length == 0, 1, length)
 
 
 def embed_text(text: Column, model: str | None = None, dim: int = 384, batch: int = 32) -> Column:
@@ -142,7 +170,7 @@ def embed_text(text: Column, model: str | None = None, dim: int = 384, batch: in
         for part in parts:
             texts = part.fillna("").tolist()
             if own is None:
-                yield pd.Series([hash_vector(t, dim) for t in texts])
+                yield pd.Series(list(hash_vectors(texts, dim)))
             else:
                 yield pd.Series(list(own.encode(texts, batch_size=batch, normalize_embeddings=True).astype(float)))
 

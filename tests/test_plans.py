@@ -61,11 +61,12 @@ def test_ingest_and_query(spark, tmp_path):
     assert p.query(questions, source="2")[1].select("text_preview").distinct().count() == 1
     results = benchmark.run(questions.withColumn("reference", F.lit("cats like milk")).withColumn("category", F.lit(None).cast("string")), answers)
     assert {r.category for r in results.collect()} == {"unknown"} and benchmark.summary(results).first().questions == 2
-    said = json.loads(sinks.results_json(results).first().value)
+    said = json.loads(sinks.report_json(results).first().value)
     assert said["num_questions"] == 2 and len(said["results"]) == 2
     sinks.write_results(results, f"file://{tmp_path}/results")
+    assert spark.read.json(f"file://{tmp_path}/results/results").count() == 2 and spark.read.json(f"file://{tmp_path}/results/report").first().num_questions == 2
     sinks.write_markdown(spark.createDataFrame([("d", "# x\n\ny")], "doc_id string, markdown string"), f"file://{tmp_path}/md")
-    assert [r.value for r in spark.read.text(f"file://{tmp_path}/md").collect()] == ["# x", "", "y"]
+    assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/md").collect()] == [("d", "# x\n\ny")]
     assert benchmark.sample_pairs(spark).count() == 3 and benchmark.summary(results.filter("false")).first().questions == 0
 
 

@@ -21,6 +21,10 @@ def brute(held, query, k):
     return sorted(rows, key=lambda x: (-round(x[1], 12), x[0]))[:k]
 
 
+def want_of(held):
+    return held.filter("row_id = 7").first().vec
+
+
 def test_top_k(held):
     q = held.filter("row_id = 7").first().vec
     for k in (1, 5, 100):
@@ -39,8 +43,12 @@ def test_batch(spark, held, monkeypatch):
     queries = held.filter("row_id % 9 = 0").select(F.col("row_id").alias("query_id"), "vec")
     want = sorted((q.query_id, n + 1, i) for q in queries.collect() for n, (i, _) in enumerate(brute(held, q.vec, 6)))
     assert sorted((r.query_id, r.rank, r.row_id) for r in retrieval.top_k_batch(held.repartition(5), queries, 6).collect()) == want
-    monkeypatch.setattr(retrieval, "QUERY_VALUES", 8)  # several passes
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)  # several blocks
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 3)
     assert sorted((r.query_id, r.rank, r.row_id) for r in retrieval.top_k_batch(held, queries, 6).collect()) == want
+    nulls = spark.createDataFrame([(90, None, "text", 1, "s", "no vector")], ROWS)
+    assert sorted((r.query_id, r.rank, r.row_id) for r in retrieval.top_k_batch(held.unionByName(nulls), queries.unionByName(nulls.select(F.col("row_id").alias("query_id"), "vec")), 6).collect()) == want
+    assert retrieval.top_k(held.unionByName(nulls), want_of(held), 50).filter("row_id = 90").count() == 0
     assert retrieval.top_k_batch(held, queries.filter("false"), 6).count() == 0
     assert retrieval.top_k_batch(held.filter("false"), queries, 6).count() == 0
 
@@ -64,6 +72,10 @@ def test_index_round_trip(spark, tmp_path):
     assert index.load(spark, path).count() == 1
     index.clear(spark, path)
     assert index.size(index.load(spark, path)).first().index_size == 0
+    index.append(chunks, path)
+    for _ in range(2):  # a write with a name replaces itself, and nothing else
+        index.write(chunks.withColumn("source", F.lit("c")), path, part="one")
+    assert index.load(spark, path).count() == 2 and index.load(spark, path).filter("source = 'c'").count() == 1 and "part" not in index.load(spark, path).columns
 
 
 def test_contexts_and_sources(spark):
