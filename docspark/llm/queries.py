@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import exact_dedup, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, warc
-from docspark.llm.common import doc_bucket, table
+from docspark.llm.common import doc_bucket, stash, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def read_whole(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """The records of archives just written; an error where they aren't as many."""
+    found = stash(warc.read(spark, manifest), "records")
+    written, whole = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.filter("record_type <> 'gap'")
+    if (n := whole.count()) != written:
+        gaps = found.filter("record_type = 'gap'").select("file", "start", "gap").limit(5).collect()
+        raise RuntimeError(f"{written} records written, {n} read; gaps: {gaps}")
+    return whole
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.read(spark, warc.write(table(spark, sf_dir, "pages"))).filter("record_type <> 'gap'")
+    found = read_whole(spark, warc.write(table(spark, sf_dir, "pages")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

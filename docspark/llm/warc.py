@@ -1,23 +1,24 @@
 """WARC archives: a writer that revisits repeated payloads, and a reader that salvages damaged files.
 
-Writing: payload digests are compared by a narrow shuffle of (page_id, digest); the pages' bodies only meet the small
-table of revisits. Each task writes gzip members (or plain records) to files of bounded size under a name of its own and
+Writing: payload digests are compared by a narrow shuffle of (page_id, digest); the pages' bodies only meet the table
+of revisits, and are not shuffled as long as Spark can broadcast it. Each task writes gzip members (or plain records) to files of bounded size under a name of its own and
 reports them; only reported files count, so what a lost or repeated task leaves behind is never read.
 
 Reading: a record is checked by its gzip trailer, its version line, its Content-Length, the blank lines after it and its
 block digest. After a failed check the reader looks for the next valid start (a gzip member that inflates to a version
-line, or a version line in plain files), goes on there, and logs the gap. Files are read as streams of blocks, through
-the store of their URI; memory is bounded by the longest record.
+line, or a version line in plain files), goes on there, and logs the gap. The search never goes back, and a length is
+checked against the bytes after the block before the block is read. Files are read in blocks, through the store of
+their URI; memory is bounded by the longest record.
 
-Defined cases: null html is an empty payload; an empty table writes nothing and reads as no rows; rows that repeat a
-page_id and its payload are one page stored twice, of the same type.
+Defined cases: null html is an empty payload, and a null page_id or url is left out of the record; an empty table writes
+nothing and reads as no rows; rows that repeat a page_id and its payload are one page stored twice, of the same type;
+urls and html of any length are stored and read whole; extra columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import re
 import uuid
 import zlib
@@ -96,114 +97,152 @@ def parse(data: bytes) -> Found:
     return Found(headers.get("warc-type", ""), 0, end + 4, headers, block)
 
 
-class Window:
-    """The unread bytes of a stream, filled as they are asked for."""
-
-    def __init__(self, stream):
-        self.stream, self.data, self.at, self.done = stream, bytearray(), 0, False
-
-    def fill(self, n: int) -> bool:
-        """Has at least n bytes at hand, unless the stream ends."""
-        while len(self.data) < n and not self.done:
-            got = self.stream.read(max(BLOCK, n - len(self.data)))
-            self.done = not got
-            self.data += got
-        return len(self.data) >= n
-
-    def drop(self, n: int) -> None:
-        del self.data[:n]
-        self.at += n
-
-
-def _member(window: Window, most: int) -> tuple[bytes, int]:
-    """The gzip member at the window's start, inflated, and its length; most bounds what it may inflate to."""
-    inflate, used, out = zlib.decompressobj(31), 0, []
-    total = 0
+class Source:
+    """Random access to a file's bytes, with one block of them at hand."""
+
+    def __init__(self, file):
+        self.file, self.size, self.first, self.held = file, file.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """The n bytes from `at` on, fewer at the end."""
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        if n > BLOCK:
+            return self.file.read_at(n, at)
+        self._hold(at, n)
+        return self.held[at - self.first : at - self.first + n]
+
+    def _hold(self, at: int, n: int) -> None:
+        if not self.first <= at <= at + n <= self.first + len(self.held):
+            self.first, self.held = at, self.file.read_at(min(2 * BLOCK, self.size - at), at)
+
+    def find(self, mark: bytes, at: int) -> int:
+        """Where mark is next found from `at` on, or the size."""
+        while at < self.size:
+            self._hold(at, min(len(mark), self.size - at))
+            found = self.held.find(mark, at - self.first)
+            if found >= 0:
+                return self.first + found
+            at = max(at + 1, self.first + len(self.held) - len(mark) + 1)
+            if self.first + len(self.held) >= self.size:
+                break
+        return self.size
+
+
+def _starts_well(source: Source, at: int) -> bool:
+    """Whether the gzip member at `at` begins with a version line, as far as its first bytes tell; most false marks end here."""
+    inflate, got = zlib.decompressobj(31), b""
+    try:
+        for n in (64, 1024):
+            got += inflate.decompress(source.get(at, n) if n == 64 else source.get(at + 64, n), 10 - len(got))
+            if len(got) >= 10:
+                break
+    except zlib.error:
+        return False
+    return len(got) < 10 or START.match(got) is not None
+
+
+def _member(source: Source, at: int, most: int) -> tuple[bytes, int]:
+    """The gzip member at `at`, inflated, and its length; `most` bounds what it may inflate to."""
+    inflate, used, out, total = zlib.decompressobj(31), 0, [], 0
     while not inflate.eof:
-        if not window.fill(used + 1):
+        part = source.get(at + used, INFLATE)
+        if not part:
             raise Broken("gzip member cut short")
-        part = bytes(window.data[used : used + INFLATE])
         try:
             got = inflate.decompress(part)
         except zlib.error as e:
             raise Broken(f"gzip: {e}") from None
         used += len(part) - len(inflate.unused_data)
+        if total < 10 <= total + len(got) and not START.match(b"".join([*out, got])):
+            raise Broken("no version line")
         out.append(got)
         total += len(got)
-        if len(out) == 1 and total >= 10 and not START.match(got):
-            raise Broken("no version line")
         if total > most:
             raise Broken("member inflates beyond the bound")
     return b"".join(out), used
 
 
-def _header(window: Window, most: int) -> int:
-    """The length of the header at the window's start, with its blank line; a line without a colon ends the search."""
-    window.fill(10)
-    if not START.match(window.data):
+def _header(source: Source, at: int) -> tuple[int, str]:
+    """Where the header at `at` ends, its blank line included, or where it goes wrong, and why."""
+    line = at + 10
+    while True:
+        end = source.find(b"\r\n", line)
+        if end == line:
+            return end + 2, ""
+        if end == source.size:
+            return end, "no end of header"
+        colon = source.find(b":", line) if end - line > BLOCK else line + source.get(line, end - line).find(b":")
+        if not line <= colon < end:
+            return line, "malformed header line"
+        line = end + 2
+
+
+def _plain(source: Source, at: int, most: int) -> tuple[bytes, int, int]:
+    """The plain record at `at` and its length, and from where on another plain record may start if this one is none.
+
+    Whatever start lies within a header that goes wrong, or ends in a block that does, goes wrong with it: lines are the same.
+    """
+    if not START.match(source.get(at, 10)):
         raise Broken("no version line")
-    line = seen = 10
-    while (end := window.data.find(b"\r\n", seen)) != line:
-        if end >= 0:
-            if window.data.find(b":", line, end) < 0:
-                raise Broken("malformed header line")
-            line = seen = end + 2
-            continue
-        n = len(window.data)
-        if n > most:
-            raise Broken("header beyond the bound")
-        if not window.fill(n + 1):
-            raise Broken("no end of header")
-        seen = max(line, n - 1)
-    return line + 2
-
-
-def _plain(window: Window, most: int) -> tuple[bytes, int]:
-    """The plain record at the window's start and its length."""
-    stop = _header(window, most)
-    size = re.search(rb"\r\ncontent-length:\s*(\d{1,18})\r\n", bytes(window.data[:stop]), re.I)
+    stop, reason = _header(source, at)
+    if reason:
+        raise Broken(reason, stop)
+    size = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", source.get(at, stop - at), re.I)
     if not size or int(size[1]) > most:
-        raise Broken("no content length" if not size else "length beyond the bound")
-    n = stop + 4 + int(size[1])
-    if not window.fill(n):
-        raise Broken("cut short")
-    return bytes(window.data[:n]), n
+        raise Broken("no content length" if not size else "length beyond the bound", stop)
+    end = stop + int(size[1])
+    if source.get(end, 4) != b"\r\n\r\n":  # looked at before the block is read
+        raise Broken("cut short" if end + 4 > source.size else "no blank lines after the block", stop)
+    return source.get(at, end + 4 - at), end + 4 - at, stop
 
 
-def salvage(stream, most: int = 1 << 30) -> Iterator[Found]:
-    """The records of a stream in order, gzip members and plain records alike, with the gaps between them."""
-    window, gap, reason = Window(stream), None, ""
-    while window.fill(1):
+def salvage(file, most: int = (1 << 31) + (1 << 27)) -> Iterator[Found]:
+    """The records of a file in order, gzip members and plain records alike, with the gaps between them.
+
+    file: a pyarrow file with random access. `most` lies beyond any text that Spark can hold. After a failed check the
+    search goes on from there, each kind of mark on its own, and never back.
+    """
+    source, at, gap, reason = Source(file), 0, None, ""
+    zipped = plain = -1  # the next marks of each kind, where known
+    while at < source.size:
+        after = at + 1
         try:
-            zipped = window.fill(3) and bytes(window.data[:3]) == MAGIC
-            data, n = (_member if zipped else _plain)(window, most)
+            if source.get(at, 3) == MAGIC:
+                data, n = _member(source, at, most)
+            else:
+                data, n, after = _plain(source, at, most)
             found = parse(data)
             if found.end != len(data):
                 raise Broken("bytes after the record")
         except Broken as e:
             if gap is None:
-                gap, reason = window.at, str(e)
-            # The next place that may start a record; a start may lie across what is at hand and what follows.
-            while True:
-                window.fill(BLOCK)
-                view = bytes(window.data)
-                marks = [m for m in (view.find(MAGIC, 1), getattr(START.search(view, 1), "start", lambda: -1)()) if m > 0]
-                if marks:
-                    window.drop(min(marks))
-                    break
-                if window.done:
-                    window.drop(len(view))
-                    break
-                window.drop(max(1, len(view) - 16))
+                gap, reason = at, str(e.args[0])
+            after = max(after, e.args[1] if len(e.args) > 1 else 0)
+            if zipped <= at:
+                zipped = source.find(MAGIC, at + 1)
+                while zipped < source.size and not _starts_well(source, zipped):
+                    zipped = source.find(MAGIC, zipped + 1)
+            if plain < after:
+                plain = _next_plain(source, after)
+            at = min(zipped, plain)
             continue
         if gap is not None:
-            yield Found("gap", gap, window.at, reason=reason)
+            yield Found("gap", gap, at, reason=reason)
             gap = None
-        found.start, found.end = window.at, window.at + n
-        window.drop(n)
+        found.start, found.end = at, at + n
+        at += n
         yield found
     if gap is not None:
-        yield Found("gap", gap, window.at, reason=reason)
+        yield Found("gap", gap, source.size, reason=reason)
+
+
+def _next_plain(source: Source, at: int) -> int:
+    at = source.find(b"WARC/", at)
+    while at < source.size and not START.match(source.get(at, 10)):
+        at = source.find(b"WARC/", at + 1)
+    return at
 
 
 # ------------------------------------------------------------ tables
@@ -288,8 +327,8 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = False) -> DataF
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path, compression=None, buffer_size=BLOCK) as stream:
-                    for x in salvage(stream):
+                with store.open_input_file(path) as file:
+                    for x in salvage(file):
                         rows.append((uri, x.start, x.end, *_row(x, payloads)))
                         held += len(x.block) * payloads
                         if len(rows) >= 2000 or held > 8 * BLOCK:
@@ -317,4 +356,4 @@ def _row(x: Found, payloads: bool) -> tuple:
 
 
 def read_bytes(data: bytes) -> list[Found]:
-    return list(salvage(io.BytesIO(data)))
+    return list(salvage(pa.BufferReader(data)))

@@ -1,12 +1,13 @@
 import hashlib
-import io
+import time
 import zlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docspark.llm import warc
+from docspark.llm import queries, warc
 
 SCHEMA = "page_id bigint, url string, html string, digest string, refers_to string, file string"
 
@@ -99,10 +100,45 @@ def test_url_longer_than_64_kb(spark, compress):
 def test_header_without_end_costs_no_other_record():
     whole = warc.record("response", "<urn:uuid:1>", b"body", "d", {"X-Page-Id": "1"})
     lost = warc.VERSION + b"\r\nWARC-Target-URI: " + b"u" * 3_000_000 + b"\r\n"
-    kinds = [r.kind for r in warc.salvage(io.BytesIO(whole + lost + whole + lost))]
+    kinds = [r.kind for r in warc.read_bytes(whole + lost + whole + lost)]
     assert kinds == ["response", "gap", "response", "gap"]
 
 
+def test_false_marks_cost_little():
+    whole = warc.record("response", "<urn:uuid:1>", b"body", "d", {"X-Page-Id": "1"})
+    n = 8_000_000
+    for junk in (b"\x1f\x8b\x08garbage, and then some more of it until the next mark comes\n", b"WARC/1.1\r\nA: b\r\n\r\n and text, and text", b"WARC/1.1\r\nx: ", b"a: WARC/1.1\r\n", b"WARC/"):
+        began = time.process_time()
+        found = warc.read_bytes(whole + junk * (n // len(junk)) + b"\r\n" + whole)
+        assert [r.kind for r in found] == ["response", "gap", "response"], junk
+        assert time.process_time() - began < 4, junk
+
+
+def test_damaged_length_reads_no_further():
+    whole = warc.record("response", "<urn:uuid:1>", b"body", "d", {"X-Page-Id": "1"})
+    hurt = whole.replace(b"Content-Length: 4", b"Content-Length: 2000000000")
+    assert [r.kind for r in warc.read_bytes(hurt + whole)] == ["gap", "response"]
+
+
+def test_sql(spark, tmp_path):
+    """The query, on a small table, against its own SQL."""
+    rows = [(k, f"http://h/{k}", h) for k, h in enumerate(["a" * 99, "a" * 99, "b" * 100, "b" * 100, None, "", "é" * 60, "é" * 60, "c" * 300_000, "<p>", "b" * 100])]
+    rows[3] = (3, "u" * 1_000_000, rows[3][2])
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(path)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+        want = db.sql(queries.OP7_SQL).fetchall()
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, queries.op7_warc(spark, str(tmp_path)).select(names).collect())) == sorted(want)
+
+
+def test_lost_records_are_noticed(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "read", lambda spark, files, f=warc.read: f(spark, files).filter("page_id <> 7"))
+    with pytest.raises(RuntimeError, match="records"):
+        queries.read_whole(spark, warc.write(spark.createDataFrame(pages, SCHEMA)))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert warc.read(spark, warc.write(none)).count() == 0
