@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from docspark.llm import quality_rules
+from docspark.llm import queries, quality_rules
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,6 +46,40 @@ def test_ratio_matches_brute_force(spark):
     assert got[1] > 0 > got[2] and got[3] == 0
 
 
+def plain_llr(texts, trusted, buckets, prior):
+    """The mean log ratio of each text, worked out with another library's hashes."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), seed=42))
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), seed=xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), seed=42)))
+    grams = []
+    for t in texts:
+        h = [word(w) for w in WORDS.findall(t or "")]
+        grams.append([(1, x % buckets) for x in h] + [(2, pair(b, a) % buckets) for a, b in zip(h, h[1:], strict=False)])
+    raw, good = Counter(g for x in grams for g in x), Counter(g for x, ok in zip(grams, trusted, strict=True) if ok for g in x)
+    total = {n: (sum(raw[n, b] + 0.5 for b in range(buckets)), sum(good[n, b] for b in range(buckets))) for n in (1, 2)}
+
+    def ratio(g):
+        n_raw, n_good = total[g[0]]
+        p = (raw[g] + 0.5) / n_raw
+        return math.log((good[g] + prior * p) / (n_good + prior) / p)
+
+    return [sum(map(ratio, x)) / max(1, len(x)) for x in grams]
+
+
+def test_query_matches_brute_force(spark, docs, labels, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    trusted = {r.doc_id for r in labels.collect() if r.doc_id is not None and r.quality == 1}
+    want = []
+    for r, llr in zip(rows, plain_llr([r[1] for r in rows], [r[0] in trusted for r in rows], 1 << 14, 5000.0), strict=True):
+        n, *_, again = base(r[1])
+        failed = n < 20 or 100 * again > 30 * n
+        want.append((repr(r[0]), failed, not failed and llr >= -0.11, llr))
+    got = sorted(((repr(r.doc_id), r.base_failed, r.kept, r.llr) for r in queries.op6_quality_rules(spark, str(tmp_path)).collect()))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=1e-5)
+
+
 def test_every_trusted_row_counts(spark):
     n = 20_500
     docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7, ' good') as text").unionByName(spark.createDataFrame([(n, "bad bad"), (None, "bad w1")], "doc_id bigint, text string"))
