@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructType
 
 from docspark.plans import workers
+from docspark.plans.shared import drop_stash, new_path, stash
 
 #: The separators between words: space and U+0009 to U+000D, as a Java regex class and as characters.
 SPACES = r"\x20\x09-\x0D"
@@ -29,36 +27,6 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/docspark-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, and outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stash(*tables: DataFrame) -> None:
-    """Removes the files behind stashed tables that nothing reads any more."""
-    for df in tables:
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for folder in {os.path.dirname(x) for x in df.inputFiles()}:
-            if "/docspark/" in folder:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
-
-
 #: What Python workers are started with: large arrays go back to the system as soon as they are freed, Arrow's as well.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 
@@ -88,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sent_whole(df: DataFrame, most: int, size: str = "count(*)"):
+    """df to be broadcast where its size, an aggregate, is at most `most`; else as it is, and joins shuffle."""
+    return F.broadcast(df) if (df.selectExpr(size).first()[0] or 0) <= most else df
+
+
 def doc_bucket(doc_id, n: int):
     """crc32 of the decimal doc_id, modulo n."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -146,6 +119,16 @@ def text_column(spark: SparkSession, kind: DataType, make: Callable[[], Callable
     return column
 
 
+def whole(df: DataFrame):
+    """All columns of df as one struct named whole, beside which no name of ours can meet one of theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole")
+
+
+def told_apart(df: DataFrame):
+    """A number from all of a row's columns (within `whole`) that can be hashed."""
+    return F.xxhash64(F.lit(0), *(f"whole.`{c}`" for c, t in df.dtypes if "map<" not in t and "variant" not in t))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

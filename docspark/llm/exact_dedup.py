@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import SPACES, stash
+from docspark.llm.common import SPACES, sent_whole, stash, told_apart, whole
 
 
 def normalised(text: Column) -> Column:
@@ -80,9 +80,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
     by_id = decided.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
     alone = F.col("doc_id").isNotNull() & (F.col("rows") == 1)
     touched = stash(by_id.filter(~alone | (F.col("kept") == 0)).select("doc_id", alone.alias("gone")), "touched")
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")  # so that no name of ours meets one of theirs
-    mine = docs.select(whole, F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    known = F.broadcast(touched) if touched.count() <= most_broadcast else touched
+    mine = docs.select(whole(docs), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    known = sent_whole(touched, most_broadcast)
     out = mine.join(known, mine["id"].eqNullSafe(known["doc_id"]), "left_anti").select("whole.*")
     unclear = touched.filter("not gone").drop("gone")
     if not unclear.limit(1).count():
@@ -90,6 +89,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
     kept = decided.filter("kept").join(unclear, decided["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi")
     here = mine.withColumn("sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
     here = here.join(kept, here["id"].eqNullSafe(kept["doc_id"]) & (F.col("sha") == kept["text_sha256"]), "left_semi")
-    order = F.struct(F.length(F.coalesce("text", F.lit(""))), F.xxhash64("text", *(f"whole.`{c}`" for c, t in docs.dtypes if "map<" not in t and "variant" not in t)))
+    order = F.struct(F.length(F.coalesce("text", F.lit(""))), told_apart(docs))
     once = here.groupBy("id", "sha").agg(F.max_by("whole", order).alias("whole"))  # copies of one id meet in each task first
     return out.unionByName(once.select("whole.*"))
