@@ -1,18 +1,24 @@
-"""Main text of web pages: page structure first, then a host suffix array against repeated boilerplate.
+"""Main text of web pages: a host suffix array against repeated boilerplate, then page structure.
 
-Parsing drops what the markup says is not the article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments), decodes references, and cuts text into blocks; an article or main element, where
-there is one, is the page. Then the token streams of a host's pages are laid end to end and their suffixes sorted by
-their first LONG tokens (prefix doubling). A run of suffixes with equal heads is a substring repeated across pages;
-it is boilerplate when at least `share` of the host's distinct pages have it, and there are at least `least` such
-pages. Pages with the same stream count as one, so copies of an article don't remove each other, and a passage that
-only some articles quote stays. Tokens covered by boilerplate go; the unique runs stay.
+The token streams of a host's whole pages, markup and text alike, are laid end to end and their suffixes sorted by
+their first LONG tokens (prefix doubling). A run of suffixes with equal heads is a substring repeated across pages. It
+is boilerplate when at least `share` of the host's distinct pages have it, and at least `least` pages; a longer repeat
+is covered by its heads. Words that boilerplate covers go, before anything is known of the page's structure; the unique
+runs stay. Pages with the same stream count as one, so copies of an article don't remove each other, and a passage
+that only some articles quote stays.
 
-A host with many pages is dealt into blocks of about `block` pages by a hash of page_id, each with a suffix array of its
-own, so no task holds a host; boilerplate that most pages have is in every block.
+What is left is parsed: what the markup says is not the article goes (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments), references are decoded, and text is cut into blocks; an article or
+main element, where there is one, is the page.
 
-Defined cases: null or empty html, and pages without text, give the empty text; a url without a host is a host of its
-own; rows that repeat a page are pages of their own with the same text; hosts below `least` distinct pages keep all.
+A host is dealt into blocks of about `block` pages and block_bytes by a hash of the page's content, each with a suffix
+array of its own, so no task holds a host. Blocks report the heads that at least half of `share` of their pages have;
+these are added up over the host before any is boilerplate. Pages themselves are only shuffled for that, and only those
+of hosts with `least` pages; removal and parsing go page by page, beside their host's boilerplate.
+
+Defined cases: null or empty html, and pages without text, give the empty text; urls without a host are those of one
+host; rows that repeat a page are pages of their own with the same text; hosts below `least` distinct pages keep all;
+pages of any length are handled whole; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -25,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import flat, span_hashes, stash, with_workers, word_spans
+from docspark.llm.common import IS_SPACE, flat, give_back, mix, sent_whole, slices, span_hashes, stash, with_workers
 
-LONG = 8
+LONG = 4
+#: So many hosts, or heads of all hosts, are broadcast at most; beyond it pages are shuffled to their host's.
+MOST_SENT = 2_000_000
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z) | <(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']*(?:"[^"]*"|'[^']*'))*[^>"']*)> | <(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)> | <[!?/][^>]*> | <[a-zA-Z/!?][^<>]*\Z""",
@@ -69,28 +77,29 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return tag not in PAGE and re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None
 
 
-def blocks_of(page: str | None) -> list[str]:
-    """The text blocks of a page's main part, in order."""
+def blocks_of(page: str | None, text: str | None = None) -> list[str]:
+    """The text blocks of a page's main part, in order; text: the page with what shall not be read blanked out."""
     if not page:
         return []
+    text = page if text is None else text
     found: dict[str, list[str]] = {"article": [], "main": [], "body": []}
     inside = {"article": 0, "main": 0}
     parts: list[str] = []
     skip, depth, at = "", 0, 0
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        block = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text:
+        if block:
             for k in ("article", "main"):
                 if inside[k]:
-                    found[k].append(text)
-            found["body"].append(text)
+                    found[k].append(block)
+            found["body"].append(block)
 
     while True:
         m = TAG.search(page, at)
         if not skip:
-            parts.append(page[at : m.start() if m else len(page)])
+            parts.append(text[at : m.start() if m else len(page)])
         if not m:
             break
         at = m.end()
@@ -151,77 +160,126 @@ def suffix_order(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]
     return order, rank
 
 
-def boilerplate(texts: pa.Array, share: float, least: int) -> list[str | None]:
-    """For each text of a host what is left of it, or None where that is all of it."""
-    out: list[str | None] = [None] * len(texts)
-    data, offs = flat(texts)
-    starts, ends, page = word_spans(data, offs)
-    if not len(starts):
-        return out
-    tokens = span_hashes(data, starts, ends)
-    first = np.searchsorted(page, np.arange(len(texts) + 1))
+def tokens_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of each token of html: runs without white space, cut before < and after >."""
+    inside = ~IS_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offs] = True
+    cut[:-1] |= data == 60
+    cut[1:] |= data == 62
+    starts = np.flatnonzero(inside & (cut[:-1] | np.append(True, ~inside[:-1])))
+    ends = np.flatnonzero(inside & (cut[1:] | np.append(~inside[1:], True))) + 1
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1, span_hashes(data, starts, ends)
+
+
+def head_hashes(tokens: np.ndarray) -> np.ndarray:
+    """A hash of the LONG tokens from each place on; the last places have none."""
+    out = np.zeros(max(0, len(tokens) - LONG + 1), np.uint64)
+    for j in range(LONG):
+        out = mix((out ^ tokens[j : len(out) + j]) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+def common_heads(pages: pa.Array, share: float) -> tuple[int, dict[int, int]]:
+    """How many distinct pages there are, and of each head that at least `share` of them have, how many have it."""
+    data, offs = flat(pages)
+    _, _, page, tokens = tokens_of(data, offs)
+    first = np.searchsorted(page, np.arange(len(pages) + 1))
     seen: dict[bytes, int] = {}
-    kind = np.array([seen.setdefault(tokens[a:b].tobytes(), len(seen)) for a, b in zip(first[:-1], first[1:], strict=True)])
-    n_kinds = len(seen) - (b"" in seen)
-    if n_kinds < least:
-        return out
-    # A page's last tokens cannot head a substring of this length; a mark of its own ends each page.
-    ends_at = np.flatnonzero(np.append(page[1:] != page[:-1], True))
+    kind = np.array([seen.setdefault(tokens[a:b].tobytes(), len(seen)) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+    n = len(seen) - (b"" in seen)
+    # A mark of its own ends each page, so that no head goes over it.
+    ends_at = np.flatnonzero(np.append(page[1:] != page[:-1], True))[: len(page)]
     stream = np.insert(tokens, ends_at + 1, np.arange(len(ends_at), dtype=np.uint64))
     owner = np.insert(kind[page], ends_at + 1, -1)
-    where = np.insert(np.arange(len(tokens)), ends_at + 1, -1)
     order, rank = suffix_order(stream, LONG)
-    sorted_rank, sorted_owner = rank[order], owner[order]
-    use = sorted_owner >= 0
-    pairs = np.unique(np.stack([sorted_rank[use], sorted_owner[use]], 1), axis=0)
-    pages_with = np.bincount(pairs[:, 0], minlength=len(stream))
-    heads = np.flatnonzero((pages_with[rank] >= max(least, share * n_kinds)) & (where >= 0))
-    heads = heads[heads + LONG <= len(stream)]
-    if not len(heads):
-        return out
-    covered = np.zeros(len(stream) + 1, np.int64)
-    np.add.at(covered, heads, 1)
-    np.add.at(covered, heads + LONG, -1)
-    gone = (np.cumsum(covered[:-1]) > 0)[where >= 0]
-    for p in np.unique(page[gone]).tolist():
-        text, at, kept = texts[p].as_py(), first[p], []
-        for block in text.split("\n\n"):
-            words = block.split()
-            left = [w for w, g in zip(words, gone[at : at + len(words)], strict=True) if not g]
-            at += len(words)
-            if left:
-                kept.append(block if len(left) == len(words) else " ".join(left))
-        out[p] = "\n\n".join(kept)
+    whole = order[np.isin(order, _without_marks(owner))]
+    pairs = np.unique(np.stack([rank[whole], owner[whole]], 1), axis=0)
+    ranks, pages_with = np.unique(pairs[:, 0], return_counts=True)
+    often = pages_with >= max(1.0, share * n)
+    place = np.zeros(len(stream), np.int64)
+    place[rank[whole]] = whole
+    heads = head_hashes(stream)[place[ranks[often]]] if often.any() else np.zeros(0, np.uint64)
+    return n, dict(zip(heads.view(np.int64).tolist(), pages_with[often].tolist(), strict=True))
+
+
+def _without_marks(owner: np.ndarray) -> np.ndarray:
+    """Where LONG tokens of one page begin."""
+    marks = np.cumsum(np.append(0, owner < 0))
+    at = np.arange(max(0, len(owner) - LONG + 1))
+    return at[marks[at + LONG] == marks[at]]
+
+
+def without(pages: list[str | None], data: np.ndarray, offs: np.ndarray, heads: list[np.ndarray | None]) -> list[str | None]:
+    """Each page with the tokens that heads cover blanked out, of the same length; None where there are none."""
+    starts, ends, row, hashes = tokens_of(data, offs)
+    first = np.searchsorted(row, np.arange(len(pages) + 1))
+    out: list[str | None] = [None] * len(pages)
+    for k, known in enumerate(heads):
+        a, b = first[k], first[k + 1]
+        if known is None or not len(known) or b - a < LONG:
+            continue
+        hit = np.flatnonzero(np.isin(head_hashes(hashes[a:b]), known))
+        if not len(hit):
+            continue
+        covered = np.zeros(b - a + 1, np.int64)
+        covered[hit] += 1
+        covered[hit + LONG] -= 1
+        gone = np.flatnonzero(np.cumsum(covered[:-1]) > 0) + a
+        raw, base = data[offs[k] : offs[k + 1]], offs[k]
+        blank = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(blank, starts[gone] - base, 1)
+        np.add.at(blank, ends[gone] - base, -1)
+        lead = (raw & 0xC0) != 0x80  # a character's first byte
+        chars = np.frombuffer(pages[k].encode("utf-32-le"), np.uint32).copy()
+        chars[np.cumsum(blank[:-1])[lead] > 0] = 32
+        out[k] = chars.tobytes().decode("utf-32-le")
     return out
 
 
-def _count_words_alike(text: str) -> str:
-    """Blocks hold Unicode spaces no more, but for the odd character that only one of the two splits takes: make it a space."""
-    return text.translate(ODD)
+def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes: int) -> DataFrame:
+    """(host, heads): the boilerplate of each host that has any."""
 
+    def report(table: pa.Table) -> pa.Table:
+        n, counts = common_heads(table.column("html").combine_chunks(), share / 2)
+        rows = [(None, n), *counts.items()]
+        host = table.column("host")[0].as_py()
+        return pa.table({"host": pa.array([host] * len(rows), pa.string()), "head": pa.array([h for h, _ in rows], pa.int64()), "pages": pa.array([c for _, c in rows], pa.int64())})
 
+    sizes = own.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).filter(F.col("pages") >= least)
+    sizes = stash(sizes, "hosts")
+    blocks = F.greatest(F.ceil(F.col("pages") / block), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("bigint")
+    many = own.join(sent_whole(sizes.select("host", blocks.alias("blocks")), MOST_SENT), "host")
+    dealt = many.select("host", "html", F.pmod(F.xxhash64("html"), "blocks").alias("salt")).repartition("host", "salt")  # by both, so that no host is one task
+    reports = dealt.groupBy("host", "salt").applyInArrow(report, "host string, head bigint, pages bigint")
+    sums = stash(reports.groupBy("host", "head").agg(F.sum("pages").alias("pages")), "heads")
+    whole = sums.filter("head is null").select("host", F.col("pages").alias("n")).filter(F.col("n") >= least)
+    common = sums.filter("head is not null").join(whole, "host").filter((F.col("pages") >= least) & (F.col("pages") >= share * F.col("n")))
+    return stash(common.groupBy("host").agg(F.sort_array(F.collect_set("head")).alias("heads")), "boilerplate")
+
+
+#: Characters that only one of Python's and this module's notions of white space takes.
 ODD = {c: " " for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85)}
 
 
-def extract(pages: DataFrame, share: float = 0.7, least: int = 10, block: int = 128) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.5, least: int = 10, block: int = 128, block_bytes: int = 4 << 20) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of pages (page_id, url, html)."""
 
     def parse(batches):
         for batch in batches:
-            texts = [_count_words_alike("\n\n".join(blocks_of(x.as_py()))) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["page_id", "url", "host", "text"])
-
-    def strip(table: pa.Table) -> pa.Table:
-        texts = pa.array(table.column("text").to_pylist(), pa.string())
-        left = boilerplate(texts, share, least)
-        final = [t if x is None else x for t, x in zip(texts.to_pylist(), left, strict=True)]
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(final, pa.string())})
+            heads = [np.array(x, np.int64).view(np.uint64) if x else None for x in batch.column(2).to_pylist()]
+            column, texts = batch.column(3), []
+            for at, data, offs in slices(column):
+                own = column.slice(at, len(offs) - 1).to_pylist()
+                known = heads[at : at + len(own)]
+                left = without(own, data, offs, known) if any(x is not None for x in known) else [None] * len(own)
+                texts += ["\n\n".join(blocks_of(page, text)).translate(ODD) for page, text in zip(own, left, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        give_back()
 
     with_workers(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    hosts = stash(own.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    parsed = own.mapInArrow(parse, "page_id bigint, url string, host string, text string").join(hosts, "host")
-    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("pages") / block).cast("bigint"))).drop("pages")
-    out = salted.groupBy("host", "salt").applyInArrow(strip, "page_id bigint, url string, text string")
+    known = own.join(sent_whole(hosts_of(own, share, least, block, block_bytes), MOST_SENT, "sum(size(heads) + 8)"), "host", "left")
+    out = known.select("page_id", "url", "heads", "html").mapInArrow(parse, "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

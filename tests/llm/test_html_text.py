@@ -1,7 +1,11 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docspark.llm import html_text
 
@@ -49,24 +53,64 @@ def test_suffix_order(tokens):
 NOTICE = "subscribe to our weekly letter for more stories like this one"
 
 
-def test_boilerplate_goes_and_articles_stay():
-    own = [" ".join(f"w{i}.{j}" for j in range(30)) for i in range(20)]
-    quote = "a passage that three of all these articles quote in full"
-    texts = [f"Title {i}\n\n{t}\n\n{NOTICE}" + (f"\n\n{quote}" if i < 3 else "") for i, t in enumerate(own)] + [f"Title 0\n\n{own[0]}\n\n{NOTICE}\n\n{quote}"] * 30
-    left = html_text.boilerplate(pa.array(texts), 0.7, 10)
-    for i, t in enumerate(own):
-        assert left[i] == f"Title {i}\n\n{t}" + (f"\n\n{quote}" if i < 3 else "")
-    assert left[25] == left[0]
-    assert html_text.boilerplate(pa.array(texts[:5]), 0.7, 10) == [None] * 5
-    assert html_text.boilerplate(pa.array([f"a{i} {NOTICE} b{i}" for i in range(12)]), 0.7, 10)[3] == "a3 b3"
+def split(page):
+    """The tokens of a page, by a plain regex."""
+    return [(m.start(), m.end(), m[0]) for m in re.finditer(r"<?[^\x20\x09-\x0D<>]*>|<?[^\x20\x09-\x0D<>]+|<", page)]
+
+
+def brute_heads(pages, share):
+    distinct = {tuple(t for *_, t in split(p)) for p in pages} - {()}
+    count = Counter(h for d in distinct for h in {d[i : i + 4] for i in range(len(d) - 3)})
+    return len(distinct), {h: n for h, n in count.items() if n >= max(1, share * len(distinct))}
+
+
+PIECES = ["<p>", "</p>", "a", "b ", " c", "\n", "é", "日本 ", "x>y", "<", ">", "<b x='1'>", " \u00a0", "&amp; "]
+ANY_PAGES = st.lists(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), min_size=1, max_size=8)
+
+
+def laid(pages):
+    return html_text.flat(pa.array(pages, pa.string()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(ANY_PAGES, st.sampled_from([0.3, 0.5, 1.0]))
+def test_heads_and_removal_match_brute_force(pages, share):
+    data, offs = laid(pages)
+    starts, ends, row, _ = html_text.tokens_of(data, offs)
+    raw = bytes(data)
+    assert [(int(r), raw[a:b].decode()) for a, b, r in zip(starts, ends, row, strict=True)] == [(k, t) for k, p in enumerate(pages) for *_, t in split(p)]
+    n, got = html_text.common_heads(pa.array(pages, pa.string()), share)
+    want_n, want = brute_heads(pages, share)
+    assert n == want_n and sorted(got.values()) == sorted(want.values())
+    left = html_text.without(pages, data, offs, [np.array(list(got), np.int64).view(np.uint64)] * len(pages))
+    for page, text in zip(pages, left, strict=True):
+        own, chars = split(page), list(page)
+        for i in range(len(own) - 3):
+            if tuple(t for *_, t in own[i : i + 4]) in want:
+                for a, b, _ in own[i : i + 4]:
+                    chars[a:b] = " " * (b - a)
+        assert (page if text is None else text) == "".join(chars)
+
+
+def test_markup_stays_where_its_text_goes():
+    assert html_text.blocks_of("<p>one two</p><nav>x</nav><p>three</p>", " " * 38) == []
+    page = "<div class='ad'>old words</div><p>new words</p>"
+    assert html_text.blocks_of(page, page.replace("<div class='ad'>", " " * 16)) == ["new words"]
 
 
 def test_operator(spark):
-    rows = [(i, f"http://H{i % 2}.example/{i}", f"<article><h1>T{i}</h1><p>x{i} y{i} z{i}</p><p>{NOTICE}</p></article>", "host", "t") for i in range(60)]
-    rows += [(60, None, "<p>q</p>", "h", "t"), (61, "http://h0.example/", None, "h", "t"), (None, "nonsense", "", None, None), (5, rows[5][1], rows[5][2], "h", "t")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, text string")
-    got = html_text.extract(df, block=32).collect()
-    assert len(got) == len(rows)
-    by = {r.page_id: r for r in got}
-    assert by[7].text == "T7\n\nx7 y7 z7" and by[7].n_chars == 12 and by[60].text == "q" and by[61].text == "" and by[None].n_chars == 0
+    quote = "a passage that three of all these articles quote in full"
+    page = lambda i: f"<article><h1>T{i}</h1><p>x{i} y{i} z{i}</p>" + (f"<p>{quote}</p>" if i % 20 == 1 else "") + f"<p>{NOTICE}</p></article>"
+    rows = [(i, f"http://H{i % 2}.example/{i}", page(i), "host", "t") for i in range(120)]
+    rows += [(120, None, "<p>q</p>", "h", "t"), (121, "http://h0.example/", None, "h", "t"), (None, "nonsense", "", None, None), (5, rows[5][1], rows[5][2], "h", "t")]
+    rows += [(200 + i, "http://h1.example/copy", page(1), "h", "t") for i in range(200)]  # copies of an article don't remove it
+    rows += [(500 + i, "http://few.example/", page(i), "h", "t") for i in range(9)]  # too few to tell
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, text string").withColumn("heads", F.lit(1)).withColumn("salt", F.lit(2))
+    for settings_ in ({}, {"block": 16}, {"block_bytes": 2000}):
+        got = html_text.extract(df, **settings_).collect()
+        assert len(got) == len(rows)
+        by = {r.page_id: r for r in got}
+        assert by[7].text == "T7\n\nx7 y7 z7" and by[7].n_chars == 12 and by[120].text == "q" and by[121].text == "" and by[None].n_chars == 0
+        assert by[1].text == by[399].text == f"T1\n\nx1 y1 z1\n\n{quote}" and by[21].text.endswith(quote)
+        assert by[503].text.endswith(NOTICE)
     assert html_text.extract(df.filter("false")).count() == 0
