@@ -9,7 +9,9 @@ rule. State is bounded by windows * max_tokens ids per partition, whatever the p
 Token ids are those of the byte-level BPE named by its file: the rank file of the same vocabulary encodes plain text,
 and a text that holds one of the special strings goes through the tokenizer itself, which treats them as it does.
 
-Defined cases: null text is empty, and a document always has its end id; repeated rows are documents of their own.
+Defined cases: null text is empty, and a document always has its end id; texts of any length are cut into pieces that
+together hold each id once; repeated rows are documents of their own; of windows with equal room the first opened is
+taken; an empty table gives an empty result; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

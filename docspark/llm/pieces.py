@@ -10,7 +10,9 @@ Runs of spaces merge by pieces of equal, lowest score, hence after everything el
 A symbol that is no piece falls back to its UTF-8 bytes. Supported are models like the public one: BPE with byte
 fallback, the identity normaliser, a dummy prefix, white space kept; others raise ValueError.
 
-Defined cases: null and empty text have no ids and decode to the empty text; texts are handled whole, of any length.
+Defined cases: null and empty text have no ids and decode to the empty text; texts are handled whole, of any length;
+of pairs of equal rank the leftmost merges first; repeated rows are rows of their own; an empty table gives an empty
+result; extra columns pass through, whatever their names, but for those that have the name of a result.
 """
 
 from __future__ import annotations

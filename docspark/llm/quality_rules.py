@@ -7,7 +7,10 @@ mean log ratio per n-gram; it is kept when that is at least `least`, and no base
 are told by 64-bit hashes within a document.
 
 Defined cases: null and empty text have no words and fail the base rule; without any labelled row the ratio is 0 for
-every n-gram, so base rules alone decide; long texts are handled whole (arrays of one long per word).
+every n-gram, so base rules alone decide; long texts are handled whole (arrays of one long per word); rows that repeat a
+doc_id count each, in the raw and, where the id is labelled good, in the trusted counts; a ratio of just `least` is
+kept, and equal texts get equal verdicts; an empty table gives an empty result; extra columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations

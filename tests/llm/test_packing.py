@@ -1,12 +1,15 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as files
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docspark.llm import packing
+from docspark.llm import packing, queries
 from docspark.llm.queries import tokenizer_files
 
 
@@ -54,6 +57,35 @@ def test_empty(empty):
     assert packing.pack(empty, **tokenizer_files()).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'aAé日1\u00a0\U0001f600"), st.characters(exclude_categories=["Cs"])), max_size=120))
+def test_both_encoders_agree_on_any_text(text):
+    whole = Tokenizer.from_file(files.path("byte_bpe_50k.json")) if not HELD else HELD[0]
+    HELD[:] = [whole]
+    assert packing.encode(text, **tokenizer_files()).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+HELD: list = []
+
+
+def test_query(spark, docs, rows, tmp_path):
+    """Every id of every document in just one piece, gapless sequences, against the tokenizer."""
+    docs.withColumn("part", F.lit(1)).withColumn("open", F.lit(2)).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    got = queries.op5_packing(spark, str(tmp_path)).collect()
+    want = Counter()
+    for r in rows:
+        ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want[r[0], len(ids)] += len(ids)
+    found = Counter()
+    for p in got:
+        found[p.doc_id, p.doc_tokens] += p.length
+    assert found == want
+    for s in {p.sequence_id for p in got}:
+        spans = sorted((p.offset, p.length) for p in got if p.sequence_id == s)
+        assert [a for a, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) <= 1024
+
+
 def test_very_long_runs():
     plain = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
     for text in ("a" + " " * 1_000_000 + "b", "\n" * 150_000, "x" * 200_000, "<|endoftext|>" * 3, "#$%" * 50_000):
