@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.plans.shared import new_path
 from docspark.streaming import ingest
 
 
@@ -23,7 +24,7 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of block types, read when the stream has ended."""
     name = f"type_counts_{uuid.uuid4().hex}"
-    query = ingest.type_counts(read_stream(spark, sf_dir, "documents")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query = ingest.type_counts(read_stream(spark, sf_dir, "documents")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
