@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docspark.llm import html_text
+from docspark.llm import html_text, queries
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="page-with-sidebar">
 <header><h1>Site</h1></header><nav class="x"><ul><li>Menu</li></ul></nav><!-- <p>hidden</p> --><div class="ad">Buy</div><div id="cookie-notice">We use cookies</div>
@@ -114,3 +115,33 @@ def test_operator(spark):
         assert by[1].text == by[399].text == f"T1\n\nx1 y1 z1\n\n{quote}" and by[21].text.endswith(quote)
         assert by[503].text.endswith(NOTICE)
     assert html_text.extract(df.filter("false")).count() == 0
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for host in range(4):
+        notice, menu = some(9), some(6)
+        for i in range(9 if host == 3 else 24):
+            own = f"<html><body><nav><ul><li>{menu}</li></ul></nav><article><h1>{some(4)}</h1><p>{some(20)} &amp; é</p>" + (f"<p>{notice}</p>" if i % 3 or host == 1 else "") + f"<p>{some(5)}\n {some(5)}</p></article><footer>{menu}</footer></body></html>"
+            rows.append((100 * host + i, f"https://h{host}.example/{i}?x#y", own))
+    rows += [(990, "https://h0.example/copy", rows[1][2]), (991, "https://h0.example/none", None), (992, None, rows[2][2])]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want, removed = {}, 0
+    for host in {(u or "").split("/")[2] if u else "" for _, u, _ in rows}:
+        here = [(k, u, p) for k, u, p in rows if ((u or "").split("/")[2] if u else "") == host]
+        n, heads = brute_heads([p for *_, p in here if p], 0)
+        common = {h for h, c in heads.items() if c >= max(10, 0.5 * n)}
+        for k, u, page in here:
+            own, chars = split(page or ""), list(page or "")
+            for i in range(len(own) - 3):
+                if tuple(t for *_, t in own[i : i + 4]) in common:
+                    for a, b, _ in own[i : i + 4]:
+                        chars[a:b] = " " * (b - a)
+            text = "\n\n".join(html_text.blocks_of(page, "".join(chars)))
+            removed += text != "\n\n".join(html_text.blocks_of(page))
+            want[k] = (u, text, len(text))
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op2_html_extraction(spark, str(tmp_path)).collect()}
+    assert got == want and removed > 40  # the notices that are in no element of their own go
