@@ -5,6 +5,7 @@ from __future__ import annotations
 from docspark.functions.metrics import STOP_WORDS
 from docspark.functions.text import DIGIT, SPACE, SPACE_CHARS
 from docspark.operators.charts import SUBTYPES
+from docspark.plans.benchmark import SAMPLE
 
 S = f"'{SPACE_CHARS}'"
 NL = "chr(10)"
@@ -227,6 +228,12 @@ ROUGE = PAIRS + rf""", seqs AS (
     round(2 * (CAST(best[len(r)] AS DOUBLE) / len(h)) * (CAST(best[len(r)] AS DOUBLE) / len(r)) / (CAST(best[len(r)] AS DOUBLE) / len(h) + CAST(best[len(r)] AS DOUBLE) / len(r)), 4) END AS rouge_l FROM common WHERE j = len(h)
 )"""
 
+METRICS = ", ".join([ROUGE, FAITH.removeprefix(PAIRS + ", "), BLEU.removeprefix(PAIRS + ", ")])
+# The sample questions in place of conversations.
+SAMPLES = "pairs AS (SELECT i AS conv_id, 0 AS turn, question, reference, category, question || ' ' || reference AS answer, reference AS context_used FROM (VALUES " + ", ".join(
+    f"({i}, " + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for i, row in enumerate(SAMPLE)
+) + ") t(i, question, reference, category))"
+
 # Vectors of hashed words as sparse rows: whole numbers, so that sums are exact.
 HASHED = lambda source, key, text: f"""SELECT {key} AS id, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % 384 AS b, sum(CASE WHEN substr(m, 9, 1) < '8' THEN 1 ELSE -1 END) AS v
   FROM (SELECT {key}, md5(unnest(list_filter(regexp_split_to_array(lower({text}), '{SPACE}+'), lambda x: x <> ''))) AS m FROM {source}) GROUP BY 1, 2"""
@@ -346,8 +353,30 @@ def oracle_sql() -> dict[str, str]:
         "visual_chunk": f"WITH RECURSIVE {union} SELECT page, text FROM every WHERE contains(lower(text), 'график') OR contains(lower(text), 'диаграмм') ORDER BY page NULLS FIRST, text LIMIT 1",
         "index_stats": "SELECT count(*) AS index_size, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim FROM embeddings",
         "faithfulness": f"WITH {FAITH} SELECT conv_id, turn, CAST(faithfulness AS DOUBLE) AS faithfulness FROM faith",
+        "kind_split": f"WITH {TWO} SELECT vec_id, CASE WHEN block_type = 'chart' THEN 1 ELSE 2 END AS branch FROM k",
+        "chart_analysis": f"""WITH {PROBS % 9}, b AS (SELECT vec_id, list_position(p, list_max(p)) AS place, list_max(p) AS m FROM p),
+          o AS (SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(replace(coalesce(text, ''), '. ', {NL}), {NL}), lambda x: trim(x, {S})), lambda x: length(x) > 2 OR regexp_matches(x, '^{DIGIT}+$')), {NL}), '') AS ocr FROM documents),
+          w AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(ocr, '[а-яА-ЯёЁa-zA-Z]{{3,}}') AS w FROM o)),
+          u AS (SELECT doc_id, min(i) AS i, min_by(w[i + 1], i) AS word FROM w GROUP BY doc_id, lower(w[i + 1])), k AS (SELECT doc_id, (list(word ORDER BY i))[1:8] AS words FROM u GROUP BY doc_id)
+          SELECT vec_id, CAST(vec_id % 7 AS INTEGER) AS page_num, ({KINDS})[place] AS chart_subtype, ({LABELS})[place] AS chart_subtype_ru, round(m, 4) AS confidence, substr(ocr, 1, 200) AS ocr_text,
+            ({LABELS})[place] || CASE WHEN vec_id % 2 = 0 THEN '. (BLIP: a chart)' ELSE '' END || CASE WHEN len(words) > 0 THEN '. Ключевые слова: ' || array_to_string(words, ', ') ELSE '' END || '.' AS gpt_description,
+            vec_id % 5 > 2 AS has_lines, length(trim(ocr, {S})) > 10 AS has_text, 'c' || vec_id || '.png' AS image_path FROM b JOIN o ON o.doc_id = vec_id LEFT JOIN k ON k.doc_id = vec_id""",
+        "ordered_blocks": f"""WITH {BLOCKS}, every AS (
+            SELECT doc_id, 0 AS branch, 0 AS later, block_no, page_num, block_type FROM blocks
+            UNION ALL SELECT vec_id % 50, CASE WHEN label % 2 = 0 THEN 1 ELSE 2 END, vec_id % 7 + 1, vec_id, CAST(vec_id % 7 + 1 AS INTEGER), CASE WHEN label % 2 = 0 THEN 'chart' ELSE 'image' END FROM embeddings)
+          SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY branch, later, block_no) - 1 AS INTEGER) AS block_no, page_num, block_type FROM every""",
+        "index_cycle": f"WITH {VECS} SELECT CASE WHEN row_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, 'c' || row_id AS chunk_id, type, page, section, round(sqrt(list_inner_product(v, v)), 6) AS length FROM units",
+        "index_cleared": "SELECT 'odd' AS source, 'c' || vec_id AS chunk_id FROM embeddings WHERE vec_id % 2 = 1",
+        "top_sources": f"WITH {BATCH} SELECT query_id, rank, chunk_id, substr(text, 1, 100) AS text_preview FROM hits WHERE rank <= 3",
+        "ingest_stats": f"""WITH RECURSIVE {chunks} SELECT (SELECT count(*) FROM pieces WHERE length(text) >= 50) AS index_size, 384 AS embedding_dim, false AS llm_available, 'gpt-oss-20b' AS llm_model,
+          (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT block_type || '=' || count(*) AS t FROM blocks GROUP BY block_type)) AS blocks""",
+        "markdown_saved": f"WITH {MARKDOWN} SELECT doc_id, markdown FROM markdowns",
+        "results_saved": f"""WITH RECURSIVE {METRICS} SELECT conv_id, turn, CAST(bleu AS DOUBLE) AS bleu, CAST(rouge_l AS DOUBLE) AS rouge_l, CAST(faithfulness AS DOUBLE) AS faithfulness
+          FROM bleus JOIN rouges USING (conv_id, turn) JOIN faith USING (conv_id, turn)""",
+        "sample_bench": f"""WITH RECURSIVE {METRICS.replace(PAIRS, SAMPLES)} SELECT question, reference, substr(answer, 1, 200) AS answer, category, 'echo' AS model, CAST(bleu AS DOUBLE) AS bleu, CAST(rouge_l AS DOUBLE) AS rouge_l, CAST(faithfulness AS DOUBLE) AS faithfulness
+          FROM pairs JOIN bleus USING (conv_id, turn) JOIN rouges USING (conv_id, turn) JOIN faith USING (conv_id, turn)""",
         "rouge_l": f"WITH RECURSIVE {ROUGE} SELECT conv_id, turn, CAST(rouge_l AS DOUBLE) AS rouge_l FROM rouges",
-        "bench_summary": f"""WITH RECURSIVE {ROUGE}, {FAITH.removeprefix(PAIRS + ", ")}, {BLEU.removeprefix(PAIRS + ", ")}
+        "bench_summary": f"""WITH RECURSIVE {METRICS}
           SELECT count(*) AS questions, round(avg(CAST(bleu AS DOUBLE)), 4) AS avg_bleu, round(avg(CAST(rouge_l AS DOUBLE)), 4) AS avg_rouge_l, round(avg(CAST(faithfulness AS DOUBLE)), 4) AS avg_faithfulness
           FROM bleus JOIN rouges USING (conv_id, turn) JOIN faith USING (conv_id, turn)""",
         "rag_answers": answered,

@@ -9,8 +9,8 @@ from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
 from docspark.operators import charts, chunking, generation, images, index, layout, markdown, retrieval
-from docspark.plans import benchmark, shared
-from docspark.sources import backends
+from docspark.plans import benchmark, pipeline, shared
+from docspark.sources import backends, sinks
 
 ITEM_MARKS = ["• ", "- ", "1. ", "2) ", "– ", "0.52 ", "", "► "]
 
@@ -172,6 +172,12 @@ def image_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.with_boxes(e, infos, pages).select("vec_id", "bbox")
 
 
+def kind_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts, and whatever is no chart, as two branches of one plan."""
+    drawn, other = images.split_kinds(zero_shot_2class(spark, sf_dir))
+    return drawn.select("vec_id", F.lit(1).alias("branch")).unionByName(other.select("vec_id", F.lit(2).alias("branch")))
+
+
 # ------------------------------------------------------------ charts
 
 
@@ -229,6 +235,33 @@ def fallback_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", charts.fallback_description(label, caption, F.col("text")).alias("description"))
 
 
+def chart_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole analyses: kinds from embeddings, recognised text from documents of the same id."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.replace(text_of(F.col("text")), F.lit(". "), F.lit("\n")).alias("raw_ocr"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 9), lambda x: x.cast("double") * 10).alias("logits"))
+    rows = e.join(texts, "vec_id").withColumns(
+        {
+            "blip_caption": F.when(F.col("vec_id") % 2 == 0, "a chart").otherwise(""),
+            "num_lines": (F.col("vec_id") % 5).cast("int"),
+            "page_num": (F.col("vec_id") % 7).cast("int"),
+            "image_path": F.concat(F.lit("c"), F.col("vec_id").cast("string"), F.lit(".png")),
+            "dominant_colors": F.array().cast("array<string>"),
+            "num_color_segments": F.lit(0),
+        }
+    )
+    c = charts.chart_struct(charts.analyse(rows)).select("vec_id", "chart.*")
+    return c.select("vec_id", "page_num", "chart_subtype", "chart_subtype_ru", F.round("confidence", 4).alias("confidence"), "ocr_text", "gpt_description", "has_lines", "has_text", "image_path")
+
+
+def ordered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's text blocks, then its charts, then its other images, with one number."""
+    kinds = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("block_no"), (F.col("vec_id") % 7 + 1).cast("int").alias("page_num"), "label")
+    kind = lambda test, name, branch: kinds.filter(test).select("doc_id", "block_no", "page_num", F.lit(name).alias("block_type"), F.lit(branch).alias("branch"))
+    text = blocks(spark, sf_dir).select("doc_id", "block_no", "page_num", "block_type")
+    every = pipeline.ordered_union(text, kind("label % 2 = 0", "chart", 1), kind("label % 2 = 1", "image", 2))
+    return every.select("doc_id", F.col("block_no").cast("int").alias("block_no"), "page_num", "block_type")
+
+
 # ------------------------------------------------------------ index and retrieval
 
 
@@ -325,6 +358,56 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.size(held(spark, sf_dir))
 
 
+def chunks_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index rows as chunks of two sources."""
+    chunk = F.concat(F.lit("c"), F.col("row_id").cast("string"))
+    return held(spark, sf_dir).select(F.when(F.col("row_id") % 2 == 0, "even").otherwise("odd").alias("source"), chunk.alias("chunk_id"), chunk.alias("text"), "type", "page", "section", "vec")
+
+
+def index_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index saved, appended to and loaded again."""
+    rows, path = chunks_held(spark, sf_dir), shared.new_path(spark, "index")
+    index.write(rows.filter("source = 'even'"), path)
+    index.append(rows.filter("source = 'odd'"), path, 64)
+    return index.load(spark, path).select("source", "chunk_id", "type", "page", "section", F.round(norm(F.col("vec")), 6).alias("length"))
+
+
+def index_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index cleared, and one source appended after that."""
+    rows, path = chunks_held(spark, sf_dir), shared.new_path(spark, "index")
+    index.write(rows, path)
+    index.clear(spark, path)
+    index.append(rows.filter("source = 'odd'"), path)
+    return index.load(spark, path).select("source", "chunk_id")
+
+
+def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top_sources(hits(spark, sf_dir)).select("query_id", "rank", "chunk_id", "text_preview")
+
+
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of blocks and of the index after documents have been taken in."""
+    made = pipeline.Pipeline(spark, shared.new_path(spark, "index")).ingest(blocks(spark, sf_dir))
+    counts = F.array_join(F.array_sort(F.transform(F.map_entries("blocks"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return made.select("index_size", "embedding_dim", "llm_available", "llm_model", counts.alias("blocks"))
+
+
+# ------------------------------------------------------------ saved results
+
+
+def markdown_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark, "markdown")
+    sinks.write_markdown(built(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def results_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark, "results")
+    rows = benchmark.evaluate(exchanges(spark, sf_dir)).select("conv_id", "turn", "bleu", "rouge_l", "faithfulness")
+    sinks.write_results(rows, path)
+    return spark.read.schema(rows.schema).json(f"{path}/results")
+
+
 # ------------------------------------------------------------ metrics
 
 
@@ -351,6 +434,13 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.summary(benchmark.evaluate(exchanges(spark, sf_dir)))
 
 
+def sample_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample questions, answered by stand-ins: the question itself, with the reference as context."""
+    pairs = benchmark.sample_pairs(spark)
+    said = pairs.select("query_id", F.concat_ws(" ", "question", "reference").alias("answer"), F.lit("echo").alias("model"), F.col("reference").alias("context_used"))
+    return benchmark.run(pairs, said)
+
+
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of `benchmark` over all documents: blocks, Markdown, chunks, hashed embeddings, top-k, context, answer."""
     made = chunking.chunk_markdown(markdown.build(blocks(spark, sf_dir)))
@@ -369,7 +459,7 @@ QUERIES = [
     block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections,
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
-    fallback_desc, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, context_join, context_plain, context_numbered, source_projection, stub_answer,
+    fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, context_join, context_plain, context_numbered, source_projection, stub_answer,
     prompt_render, visual_chunk, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 

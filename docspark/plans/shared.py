@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
+    for paths in _open[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that operators have left in the shared folder within the block, when it ends. A lazy result
+    that still reads them has to be written within the block, to a path from outside."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -34,8 +59,6 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def drop_stash(*tables: DataFrame) -> None:
     """Removes the files behind stashed tables that nothing reads any more."""
     for df in tables:
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in {os.path.dirname(x) for x in df.inputFiles()}:
             if "/docspark/" in folder:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                _remove(df.sparkSession, folder)

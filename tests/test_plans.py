@@ -1,4 +1,6 @@
 import json
+from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from docspark.operators import layout
-from docspark.plans import benchmark, oracles, pipeline
+from docspark.plans import benchmark, oracles, pipeline, shared
 from docspark.plans import queries as core
 from docspark.plans.workers import with_workers
 from docspark.sources import backends, sinks
@@ -108,3 +110,26 @@ def test_plans_push_down(spark):
     assert "ReadSchema: struct<text:string>" in plan
     top = core.queries()["topk_single"](spark, SF)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in top and "Exchange" not in top
+
+
+def test_scratch_tables_go(spark):
+    root = Path(shared.shared_dir(spark).removeprefix("file://")) / "docspark"
+    kept = shared.stash(spark.range(3), "kept")
+    with shared.scratch(spark):
+        gone = shared.stash(spark.range(4), "gone")
+        assert gone.count() == 4 and len(list(root.glob("gone-*"))) == 1
+        with pytest.raises(ZeroDivisionError), shared.scratch(spark):
+            shared.stash(spark.range(5), "inner")
+            1 / 0  # noqa: B018
+        assert not list(root.glob("inner-*")) and gone.count() == 4
+    assert not list(root.glob("gone-*")) and kept.count() == 3
+    shared.drop_stash(kept)
+    assert not list(root.glob("kept-*"))
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster():
+    class Session:
+        conf, sparkContext = {}, SimpleNamespace(master="spark://host:7077")  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
