@@ -11,7 +11,8 @@ checked against the bytes after the block before the block is read. Files are re
 their URI; memory is bounded by the longest record.
 
 Defined cases: null html is an empty payload, and a null page_id or url is left out of the record; an empty table writes
-nothing and reads as no rows; rows that repeat a page_id and its payload are one page stored twice, of the same type;
+nothing and reads as no rows; rows that repeat a page_id and its payload are one page stored twice, of the same type; of
+equal payloads the smallest page_id is the response, and rows without a page_id are responses always;
 urls and html of any length are stored and read whole; extra columns, whatever their names, are not stored.
 """
 
