@@ -56,6 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Narrow rows, ids and numbers, are written in files of so many at least, where there are as many.
+FILE_ROWS = 50_000
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of narrow rows, about `rows` in all, by as many tasks as files of FILE_ROWS need; never more tasks than it has."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def sent_whole(df: DataFrame, most: int, size: str = "count(*)"):
     """df to be broadcast where its size, an aggregate, is at most `most`; else as it is, and joins shuffle."""
     return F.broadcast(df) if (df.selectExpr(size).first()[0] or 0) <= most else df

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from docspark.llm.common import map_texts, text_blocks, text_column
+from docspark.llm.common import map_texts, stash, text_blocks, text_column
 
 MARK = " "
 LONGEST = 12
@@ -257,18 +257,34 @@ def train(texts: list[str], langs: list[str], ranks: str, rounds: int = 4, prior
     return model
 
 
+def _below(n, wanted: int):
+    """The 64-bit number below which four times `wanted` of n hashes lie, on average."""
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted) / F.greatest(n, F.lit(1)))
+    return F.when(share < 1, ((share * 2 - 1) * F.lit(float(1 << 63))).cast("bigint")).otherwise(F.lit((1 << 63) - 1))
+
+
 def sample(docs: DataFrame, rows: int, each: int = 150) -> tuple[list[str], list[str]]:
     """Texts and langs of labelled rows: the `rows` of the lowest hashes of doc_id over all, and the `each` of every lang.
 
-    Only ids are ranked, in each task first; rows that repeat a doc_id and lang are one, the text of the lowest hash."""
+    Only ids are ranked, and only those whose hash lies below where about four times as many rows do as are wanted; should
+    fewer than wanted be there, all are ranked. So no task gets rows of all others, nor a language's. Rows that repeat a
+    doc_id and lang are one, the text of the lowest hash."""
     usable = docs.filter("doc_id is not null and text is not null and lang is not null")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    over_all = usable.select("doc_id", "lang").orderBy(*order, "lang").limit(rows)
-    ranked = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("salt"))
-    for group in (("lang", "salt"), ("lang",)):  # the salt first, so that no language is one task
-        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= each).drop("place")
-    ranked = ranked.drop("salt")
-    ids = over_all.unionByName(ranked).distinct()
+    sizes = stash(usable.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = usable.select("doc_id", "lang").filter(F.xxhash64("doc_id") <= _below(F.lit(total), rows))
+    if total > 4 * rows and first.count() < rows:
+        first = usable.select("doc_id", "lang")
+    over_all = first.orderBy(*order, "lang").limit(rows)
+    below = _below(F.col("n"), each)
+    near = usable.select("doc_id", "lang").join(F.broadcast(sizes.select("lang", below.alias("below"))), "lang").filter(F.xxhash64("doc_id") <= F.col("below"))
+    near = stash(near.select("doc_id", "lang").distinct(), "near")
+    enough = sizes.filter(F.col("n") > 4 * each).join(near.groupBy("lang").count(), "lang", "left")
+    if enough.filter(F.coalesce("count", F.lit(0)) < each).limit(1).count():  # few ids that repeat often
+        near = usable.select("doc_id", "lang").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ids = over_all.unionByName(near.withColumn("place", place).filter(F.col("place") <= each).drop("place")).distinct()
     texts = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     one = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     got = sorted(one.select("t.h", "lang", "doc_id", "t.text").collect())  # at most rows + each * languages

@@ -137,6 +137,20 @@ def test_sample_has_every_language(spark):
     assert language_id.train(texts, langs, RANKS).langs == ["de", "en"]
 
 
+def test_sample_is_the_lowest_hashes(spark):
+    """Of every lang, whatever its size, and where one id has most of its rows."""
+    rows = spark.range(5000).selectExpr("id as doc_id", "concat('t', id) as text", "if(id % 50 = 0, 'de', 'en') as lang")
+    hot = spark.range(3000).selectExpr("if(id < 2990, 7000, 8000 + id) as doc_id", "'t' as text", "'fr' as lang")
+    docs = rows.unionByName(hot)
+    order = {r.doc_id: (r.h, r.doc_id) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    by_lang = {}
+    for r in docs.select("doc_id", "lang").distinct().collect():
+        by_lang.setdefault(r.lang, []).append(r.doc_id)
+    want = {k: sorted(v, key=order.get)[:9] for k, v in by_lang.items()}
+    texts, langs = language_id.sample(docs, 0, 9)
+    assert {k: sorted(t for t, lang in zip(texts, langs, strict=True) if lang == k) for k in by_lang} == {k: sorted("t" if k == "fr" else f"t{i}" for i in v) for k, v in want.items()}
+
+
 def test_numerals_are_no_letters():
     scorer = language_id.Scorer(model())
     assert scorer(["²½ Ⅷ", "12", None, "", "_", "² a"])[:5] == [("und", 0.0)] * 5
