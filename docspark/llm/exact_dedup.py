@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import SPACES, sent_whole, stash, told_apart, whole
+from docspark.llm.common import SPACES, in_files, sent_whole, stash, told_apart, whole
 
 
 def normalised(text: Column) -> Column:
@@ -76,10 +76,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
     most_broadcast of them and by a shuffle beyond that. Rows whose doc_id is null or repeated are told by their text as
     well; of those that are equal in both one stays.
     """
-    decided = stash(decide(docs, doc_id, text).select("doc_id", "kept", "text_sha256"), "decided")
+    n = docs.count()
+    decided = stash(in_files(decide(docs, doc_id, text).select("doc_id", "kept", "text_sha256"), n), "decided")
     by_id = decided.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
     alone = F.col("doc_id").isNotNull() & (F.col("rows") == 1)
-    touched = stash(by_id.filter(~alone | (F.col("kept") == 0)).select("doc_id", alone.alias("gone")), "touched")
+    touched = stash(in_files(by_id.filter(~alone | (F.col("kept") == 0)).select("doc_id", alone.alias("gone")), n), "touched")
     mine = docs.select(whole(docs), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     known = sent_whole(touched, most_broadcast)
     out = mine.join(known, mine["id"].eqNullSafe(known["doc_id"]), "left_anti").select("whole.*")
