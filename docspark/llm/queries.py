@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact_dedup, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, warc
+from docspark.llm import exact_dedup, filtering_lloyd, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, voronoi_join, warc
 from docspark.llm.common import doc_bucket, stash, table
 
 
@@ -89,8 +89,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.map_ids(docs, files.path("piece_bpe_32k.model"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", pieces.digests)
 
 
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_join.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering_lloyd.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = [
+    op1_ngram_join, op2_html_extraction, op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op7_warc, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece,
+    op12_topk_search, op13_vector_codes,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op7_warc, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP9_SQL = r"""
@@ -133,5 +147,58 @@ FROM g
 """
 
 
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.r, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON q.r <> x.r WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round as tables of its own: assignments p, and entries b."""
+    with_parts = f"""
+v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, r AS e, x AS b FROM x WHERE r < {entries}
+)"""
+    assigned = """
+p{k} AS MATERIALIZED (
+  SELECT r, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT r, p, x, e, list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{k} USING (p)
+  ) GROUP BY r, p, x
+)"""
+    moved = """
+m{k} AS MATERIALIZED (
+  SELECT p, e, list(floor_sum ORDER BY j) AS b FROM (
+    SELECT p, e, j, (CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::BIGINT AS floor_sum
+    FROM (SELECT p, e, j, sum(x[j])::HUGEINT AS s, count(*) AS n FROM p{k}, (SELECT unnest(range(1, len(x) + 1)) AS j FROM (SELECT x FROM x LIMIT 1)) GROUP BY p, e, j)
+  ) GROUP BY p, e
+), b{n} AS MATERIALIZED (
+  SELECT p, e, coalesce(m{k}.b, b{k}.b) AS b FROM b{k} LEFT JOIN m{k} USING (p, e)
+)"""
+    steps = [with_parts]
+    for k in range(rounds):
+        steps += [assigned.format(k=k), moved.format(k=k, n=k + 1)]
+    return (
+        "WITH "
+        + ",".join([*steps, assigned.format(k=rounds)])
+        + f""", coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM p{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (r)
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op12_topk_search": OP12_SQL, "op13_vector_codes": _op13_sql()}
