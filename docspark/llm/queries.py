@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import exact_dedup, filtering_lloyd, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, voronoi_join, warc
+from docspark.llm import conversation_repair, exact_dedup, filtering_lloyd, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, sharding, voronoi_join, warc
 from docspark.llm.common import doc_bucket, stash, table
 
 
@@ -89,6 +89,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.map_ids(docs, files.path("piece_bpe_32k.model"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", pieces.digests)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(rows).withColumnRenamed("id", "conv_id")
+
+
 def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_join.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -99,7 +104,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     op1_ngram_join, op2_html_extraction, op3_sharding, op4_language_id, op5_packing, op6_quality_rules, op7_warc, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece,
-    op12_topk_search, op13_vector_codes,
+    op11_conversation_repair, op12_topk_search, op13_vector_codes,
 ]
 
 
@@ -147,6 +152,62 @@ FROM g
 """
 
 
+#: crc32 bit by bit; a row for each state, the cheapest edits as text.
+OP11_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k
+  FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(list_transform(range(octet_length(k)), lambda i: ord(k[i + 1:i + 1]::VARCHAR)::UBIGINT), lambda crc, b:
+    list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, o: xor(x >> 1, (x & 1) * 3988292384::UBIGINT)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS what
+  FROM c
+), d AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM d
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, role[1] AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM n
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au'), false) AS bad
+  FROM o
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id
+), lead AS (
+  SELECT * FROM (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (2, 2, 'II'), (3, 3, ''), (3, 2, 'I'), (3, 3, 'II')) t(p, m, lead)
+), edits AS (
+  SELECT * FROM (VALUES (0, 's', 'K', 1), (0, 'u', 'K', 2), (1, 'u', 'K', 2), (2, 'a', 'K', 3), (3, 'u', 'K', 2),
+                        (0, '*', 'R', 2), (1, '*', 'R', 2), (2, '*', 'R', 3), (3, '*', 'R', 2), (0, '*', 'D', 0), (1, '*', 'D', 1), (2, '*', 'D', 2), (3, '*', 'D', 3)) t(m, role, edit, q)
+), ways AS (
+  SELECT f.conv_id, f.i, l.p, e.q, 5 * length(l.lead) + CASE e.edit WHEN 'K' THEN 0 WHEN 'R' THEN 1 ELSE 2 END + CASE WHEN fault = 'truncated' AND e.edit <> 'D' THEN 5 ELSE 0 END AS cost, l.lead || e.edit AS edits
+  FROM f JOIN edits e ON e.role IN ('*', f.r) AND (e.edit = 'D' OR fault NOT IN ('blank', 'duplicate')) JOIN lead l ON l.m = e.m
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit FROM g
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, w.q, min(b.cost + w.cost), arg_min(b.audit || w.edits, (b.cost + w.cost, b.audit || w.edits))
+  FROM best b JOIN ways w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i + 1 AND w.p = b.q GROUP BY b.conv_id, b.i, w.q
+), ended AS (
+  SELECT b.conv_id, arg_min((b.cost + 5 * e.n)::BIGINT, (b.cost + 5 * e.n, b.audit || repeat('I', e.n))) AS cost, arg_min(b.audit || repeat('I', e.n), (b.cost + 5 * e.n, b.audit || repeat('I', e.n))) AS audit
+  FROM best b JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND g.n = b.i JOIN (VALUES (0, 0), (1, 2), (2, 1), (3, 0)) e(q, n) ON e.q = b.q GROUP BY b.conv_id
+), letters AS (
+  SELECT conv_id, audit[k] AS edit, k, length(replace(audit[1:k], 'I', '')) AS i FROM ended, range(1, length(audit) + 1) t(k)
+), placed AS (
+  SELECT l.conv_id, l.k, l.edit, f.role, f.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.k) - max(CASE WHEN edit = 'K' AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS n
+  FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.edit <> 'I' WHERE edit <> 'D'
+), said AS (
+  SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN n % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS whole FROM placed GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
 OP12_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
@@ -201,4 +262,4 @@ FROM coded JOIN v USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op12_topk_search": OP12_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op1_ngram_join": OP1_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_topk_search": OP12_SQL, "op13_vector_codes": _op13_sql()}
