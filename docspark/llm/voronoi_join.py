@@ -8,7 +8,7 @@ with x in the cell of pivot c', for every query q of pivot c,
 
 The (k + 1)-th largest lower bound over all rows is a score that every query of the group reaches k times without its own
 row, so a row is sent to just the groups where its upper bound is at least that. There blocks of queries meet blocks
-of rows as exact integer products. Ties are sent as well, so the result is exact whatever the pivots are; they are
+of rows as exact integer products. Groups are salted by blocks of rows where there are fewer than tasks. Ties are sent as well, so the result is exact whatever the pivots are; they are
 fitted on at most `sample` rows, and at most `most_pivots` of them and of their squared summaries are known to the driver.
 Rows travel packed, 2 bytes a number where that holds them. A hot group is two sides of an equi-join on its pivot, whose
 large partitions Spark splits (skew join); no block holds more than ROWS rows or QUERIES queries.
@@ -135,19 +135,10 @@ def _grouped(asked: DataFrame, pivots: np.ndarray, width: int) -> tuple[DataFram
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(pivots)
-        radius, low, high = np.full(m, -1.0), np.full((m, m), np.inf), np.full((m, m), -np.inf)
         for batch in batches:
             for row in batch.to_pylist():
-                x = _parts(row, width)[3].astype(np.float64)
-                near, away, dots = _nearest(x, pivots)
-                np.maximum.at(radius, near, away)
-                over = dots - (pivots @ pivots.T)[near]
-                np.minimum.at(low, near, over)
-                np.maximum.at(high, near, over)
-        found = np.flatnonzero(radius >= 0)
-        yield pa.RecordBatch.from_pydict(
-            {"grp": np.repeat(found, m).astype(np.int32), "pos": np.tile(np.arange(m, dtype=np.int32), len(found)), "radius": np.repeat(radius[found], m), "low": low[found].ravel(), "high": high[found].ravel()}
-        )
+                found, radius, low, high = summarised(_parts(row, width)[3].astype(np.float64), pivots)
+                yield pa.RecordBatch.from_pydict({"grp": np.repeat(found, m).astype(np.int32), "pos": np.tile(np.arange(m, dtype=np.int32), len(found)), "radius": np.repeat(radius, m), "low": low.ravel(), "high": high.ravel()})
 
     known = asked.mapInArrow(summaries, "grp int, pos int, radius double, low double, high double").groupBy("grp", "pos").agg(F.max("radius").alias("radius"), F.min("low").alias("low"), F.max("high").alias("high"))
     return asked.mapInArrow(rows, BLOCK), known
@@ -168,17 +159,34 @@ def _regrouped(rows: DataFrame, width: int) -> DataFrame:
     return rows.repartition("grp").mapInArrow(run, BLOCK)
 
 
+def summarised(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups that have a query, radius, low, high) of queries."""
+    m = len(pivots)
+    near, away, dots = _nearest(x, pivots)
+    radius, low, high = np.full(m, -1.0), np.full((m, m), np.inf), np.full((m, m), -np.inf)
+    over = dots - (pivots @ pivots.T)[near]
+    np.maximum.at(radius, near, away)
+    np.minimum.at(low, near, over)
+    np.maximum.at(high, near, over)
+    found = np.flatnonzero(radius >= 0)
+    return found, radius[found], low[found], high[found]
+
+
 class Bounds:
     """Of any score between a row and the queries of each group that has any."""
 
-    def __init__(self, pivots: np.ndarray, summaries: list):
-        self.pivots, self.groups = pivots, np.array(sorted({r.grp for r in summaries}), np.int64)
-        at = {int(g): k for k, g in enumerate(self.groups)}
-        n, m = len(self.groups), len(pivots)
-        self.radius, self.low, self.high = np.zeros(n), np.zeros((n, m)), np.zeros((n, m))
+    def __init__(self, pivots: np.ndarray, groups: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.groups, self.radius, self.low, self.high = pivots, groups, radius, low, high
+
+    @classmethod
+    def gathered(cls, pivots: np.ndarray, summaries: list) -> Bounds:
+        groups = np.array(sorted({r.grp for r in summaries}), np.int64)
+        at, shape = {int(g): k for k, g in enumerate(groups)}, (len(groups), len(pivots))
+        out = cls(pivots, groups, np.zeros(len(groups)), np.zeros(shape), np.zeros(shape))
         for r in summaries:
             k = at[r.grp]
-            self.radius[k], self.low[k, r.pos], self.high[k, r.pos] = r.radius, r.low, r.high
+            out.radius[k], out.low[k, r.pos], out.high[k, r.pos] = r.radius, r.low, r.high
+        return out
 
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper), rows by groups, with room for what floating point rounds away."""
@@ -188,6 +196,26 @@ class Bounds:
         return base + self.low[:, near].T - span - room, base + self.high[:, near].T + span + room
 
 
+def choose_pivots(sample: np.ndarray, k: int, queries: int, most: int) -> np.ndarray:
+    """Pivots in the number of which rows move and meet queries at the least cost, as far as the sample tells.
+
+    More groups tell rows and queries apart more finely, but a row goes to each group that may need it. Where vectors
+    have no structure every group needs every row, and few groups are best. To move a row costs about as much as 16 products.
+    """
+    x, best, m = sample.astype(np.float64), None, 1
+    while m <= max(1, min(most, queries, len(sample))):
+        pivots = fit_pivots(sample, m)
+        bounds = Bounds(pivots, *summarised(x, pivots))
+        lower, upper = bounds.of(x)
+        needed = (upper >= -np.sort(-lower, axis=0)[min(k, len(x) - 1)]).mean(0)
+        asked = np.bincount(_nearest(x, pivots)[0], minlength=m)[bounds.groups] / len(x)
+        cost = 16 * needed.sum() + queries * (needed * asked).sum()
+        if best is None or cost < best[0]:
+            best = cost, pivots
+        m *= 4
+    return best[1]
+
+
 def _reached(blocks: DataFrame, bounds: Bounds, k: int, width: int) -> dict[int, float]:
     """For each group a score that all its queries reach k times without their own row; absent where rows are too few."""
 
@@ -235,7 +263,7 @@ def _solved(met: DataFrame, k: int, width: int) -> DataFrame:
                 qno, qids, qknown, wanted = _parts({c: row[f"q_{c}"] for c in ("rno", "ids", "known", "vectors")}, width)
                 scores = products(vectors, wanted)
                 scores = np.where(rno[:, None] == qno, np.iinfo(np.int64).min, scores)
-                n = min(k + 1, len(rno))
+                n = min(k, len(rno))
                 least = np.partition(scores, len(rno) - n, axis=0)[len(rno) - n]
                 at, query = np.nonzero((scores >= least) & (rno[:, None] != qno))
                 order = np.lexsort((rno[at], ids[at], ~known[at], -scores[at, query], query))
@@ -254,8 +282,8 @@ def _solved(met: DataFrame, k: int, width: int) -> DataFrame:
 def knn_join(vectors: DataFrame, asks: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", vec: str = "embedding", sample: int = 4096, most_pivots: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `asks` holds, the k other rows of the highest inner product.
 
-    Components count as floor(scale * x). sample bounds the rows that pivots are fitted on; there are about as many
-    pivots as the square root of the number of queries, at most most_pivots.
+    Components count as floor(scale * x). sample bounds the rows that pivots are fitted on; there are at most most_pivots,
+    as many as make the search cheapest on the sample.
     """
     with_workers(vectors.sparkSession)
     rows = vectors.select(F.monotonically_increasing_id().alias("rno"), F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.coalesce(asks, F.lit(False)).alias("asked"), as_doubles(vec).alias("vec"))
@@ -269,12 +297,15 @@ def knn_join(vectors: DataFrame, asks: Column, k: int = 5, scale: int = 256, vec
     fitted_on = max(1, min(sample, (1 << 23) // width))
     chosen = rows.filter("vec is not null").select("vec").orderBy(F.xxhash64("id", "vec")).limit(fitted_on).toArrow().column("vec").combine_chunks()
     _, some = whole_numbers(chosen, scale, width)
-    pivots = fit_pivots(some, max(1, min(most_pivots, round(counted[1] ** 0.5)))) if len(some) else np.zeros((1, width))
+    pivots = choose_pivots(some, k, counted[1], most_pivots)
     queries, known = _grouped(held.filter("grp = 1"), pivots, width)
-    bounds = Bounds(pivots, known.collect())  # at most most_pivots squared rows
+    bounds = Bounds.gathered(pivots, known.collect())  # at most most_pivots squared rows
     least = _reached(held, bounds, k, width)
     reached = np.array([least.get(int(g), -np.inf) for g in bounds.groups])
     asked = _regrouped(queries, width).select(F.col("grp"), *(F.col(c).alias(f"q_{c}") for c in ("rno", "ids", "known", "vectors")))
-    near = _solved(_sent(held, bounds, reached, width).join(asked, "grp").drop("grp"), k, width)
+    salts = max(1, -(-int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(bounds.groups)))  # few groups still fill all tasks
+    sent = _sent(held, bounds, reached, width).withColumn("salt", F.pmod(F.xxhash64("rno"), F.lit(salts)).cast("int"))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    near = _solved(sent.join(asked, ["grp", "salt"]).drop("grp", "salt"), k, width)
     order = Window.partitionBy("qno").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rno")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -81,7 +81,16 @@ def test_rows_go_to_few_groups(spark):
         voronoi_join.knn_join(df, F.col("vec_id") % 50 == 0).count()
     finally:
         voronoi_join._sent = plain
-    assert sent[0] < 4000 * 3  # 9 groups, 12 clusters; all rows to all groups would be 36000
+    assert sent[0] < 4000 * 3  # 12 clusters, and a group or more of each; all rows to all groups would be 48000 at least
+
+
+def test_few_groups_where_nothing_can_be_told_apart():
+    rng = np.random.default_rng(5)
+    sphere = rng.normal(size=(1000, 64))
+    sphere = np.floor(256 * sphere / np.linalg.norm(sphere, axis=1, keepdims=True)).astype(np.int64)
+    assert len(voronoi_join.choose_pivots(sphere, 5, 1000, 256)) == 1
+    apart = np.array([np.floor(np.array(v) * 256) for _, v in clustered(1000, 16, 3, 0.05)]).astype(np.int64)
+    assert len(voronoi_join.choose_pivots(apart, 5, 1000, 256)) >= 12
 
 
 def test_numbers_survive_packing():
