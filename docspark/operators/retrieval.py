@@ -21,10 +21,14 @@ def top_k(index: DataFrame, query: list[float], k: int, key: str = "row_id", fil
     """The k rows of the highest inner product with one query, ties by key.
 
     With a filter, it is applied to the best 3k, so fewer than k may be left. One TakeOrderedAndProject; no shuffle of rows.
+    The query counts over its length, the index's vectors as they are. Rows without a vector, with a null or
+    non-finite component or of another dimension than the query are left out.
     """
     length = float(np.linalg.norm(query)) or 1.0
-    scored = index.filter("vec is not null").withColumn("score", dot(F.col("vec"), F.array(*[F.lit(float(x) / length) for x in query])))
-    best = scored.orderBy(F.desc("score"), key).limit(3 * k if filter_type is not None else k)
+    # Rows without a score come last and go after the limit: asked before it, the vector would be worked out once more.
+    score = dot(F.col("vec"), F.array(*[F.lit(float(x) / length) for x in query]))
+    scored = index.withColumn("score", score).withColumn("score", F.when(F.abs("score") < float("inf"), F.col("score")))
+    best = scored.orderBy(F.desc("score"), key).limit(3 * k if filter_type is not None else k).filter("score is not null")
     return best.filter(filter_type).orderBy(F.desc("score"), key).limit(k) if filter_type is not None else best
 
 
@@ -34,16 +38,19 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str = "row_id
     Queries are packed into blocks, and rows of the index into blocks; every block of queries meets every block of rows
     as one matrix product, which passes on the k best of each query. So neither queries nor pairs of queries and rows
     are ever rows of the driver, and the plan holds block pairs only. Scores count to 12 decimals, so that equal ones
-    tie whatever their block. Rows and queries without a vector are left out.
+    tie whatever their block. Queries count over their length, the index's vectors as they are. Rows and queries without a
+    vector, or with a null or non-finite component, are left out, and those of different dimensions don't meet.
     """
-    blocks_of = lambda df, name, rows: df.filter("vec is not null").select(name, "vec").mapInPandas(_packer(name, rows), "keys binary, dim int, matrix binary")
-    asked = blocks_of(queries, query_key, QUERY_BLOCK).select(F.col("keys").alias("asked"), F.col("matrix").alias("asked_matrix"))
-    rows = blocks_of(index, key, ROW_BLOCK)
+    blocks_of = lambda df, name, rows, unit: df.select(name, "vec").mapInPandas(_packer(name, rows, unit), "keys binary, dim int, matrix binary")
+    asked = blocks_of(queries, query_key, QUERY_BLOCK, True).select(F.col("keys").alias("asked"), F.col("dim").alias("asked_dim"), F.col("matrix").alias("asked_matrix"))
+    rows = blocks_of(index, key, ROW_BLOCK, False)
     met = rows.join(asked, F.lit(True))  # a stated set of queries against all rows, in blocks
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for keys, dim, matrix, names, wanted in frame.itertuples(index=False):
+            for keys, dim, matrix, names, asked_dim, wanted in frame.itertuples(index=False):
+                if dim != asked_dim:
+                    continue
                 names, own = np.frombuffer(names, np.int64), np.frombuffer(keys, np.int64)
                 scores = np.round(np.frombuffer(matrix).reshape(-1, dim) @ np.frombuffer(wanted).reshape(-1, dim).T, 12)
                 n = min(k, len(own))
@@ -52,34 +59,35 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str = "row_id
                 found = pd.DataFrame({query_key: names[query], key: own[row], "score": scores[row, query]})
                 yield found.sort_values([query_key, "score", key], ascending=[True, False, True]).groupby(query_key, sort=False).head(k)
 
-    near = met.select("keys", "dim", "matrix", "asked", "asked_matrix").mapInPandas(best, f"{query_key} bigint, {key} bigint, score double")
+    near = met.select("keys", "dim", "matrix", "asked", "asked_dim", "asked_matrix").mapInPandas(best, f"{query_key} bigint, {key} bigint, score double")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, "rank", key, "score")
 
 
-def _packer(name: str, rows: int):
-    """(name, vec) to blocks of at most `rows` keys and unit vectors."""
+def _packer(name: str, rows: int, unit: bool):
+    """(name, vec) to blocks of at most `rows` keys and vectors of one dimension, over their lengths where unit is set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[int] = []
-        vecs: list[np.ndarray] = []
+        held: dict[int, list] = {}
 
-        def block() -> pd.DataFrame:
-            matrix = np.stack(vecs).astype(np.float64)
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            out = pd.DataFrame({"keys": [np.array(keys, np.int64).tobytes()], "dim": [matrix.shape[1]], "matrix": [(matrix / np.where(length == 0, 1, length)).tobytes()]})
-            keys.clear()
-            vecs.clear()
-            return out
+        def block(dim: int) -> pd.DataFrame:
+            keys, vecs = zip(*held.pop(dim), strict=True)
+            matrix = np.stack(vecs)
+            if unit:
+                length = np.linalg.norm(matrix, axis=1, keepdims=True)
+                matrix = matrix / np.where(length == 0, 1, length)
+            return pd.DataFrame({"keys": [np.array(keys, np.int64).tobytes()], "dim": [dim], "matrix": [matrix.tobytes()]})
 
         for frame in frames:
             for one, vec in zip(frame[name].tolist(), frame["vec"], strict=True):
-                keys.append(one)
-                vecs.append(vec)
-                if len(keys) == rows:
-                    yield block()
-        if keys:
-            yield block()
+                vec = None if vec is None else np.asarray(vec, np.float64)
+                if vec is None or not len(vec) or not np.isfinite(vec).all():
+                    continue
+                held.setdefault(len(vec), []).append((one, vec))
+                if len(held[len(vec)]) == rows:
+                    yield block(len(vec))
+        for dim in list(held):
+            yield block(dim)
 
     return run
 

@@ -343,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
         ), kept AS (
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank FROM placed WHERE place <= 30 AND type = 'image_caption'
         ) SELECT query_id, rank, row_id, type, round(score, 4) AS score FROM kept WHERE rank <= 10""",
+        "topk_pruned": f"WITH {BATCH} SELECT query_id, rank, row_id, round(score, 4) AS score FROM best",
         "topk_batch": f"WITH {BATCH} SELECT query_id, rank, row_id, round(score, 4) AS score FROM best",
         "context_join": f"WITH {LABELLED} SELECT query_id, context FROM contexts",
         "context_plain": f"WITH {PLAIN} SELECT query_id, context FROM contexts",

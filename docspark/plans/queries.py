@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
-from docspark.operators import charts, chunking, generation, images, index, layout, markdown, retrieval
+from docspark.operators import charts, chunking, clustered, generation, images, index, layout, markdown, retrieval
 from docspark.plans import benchmark, pipeline, shared
 from docspark.sources import backends, sinks
 
@@ -275,7 +275,7 @@ def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of the embeddings; texts are documents of the same id."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), "label")
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), "label")
     kind = F.when(F.col("row_id") % 4 == 0, "image_caption").otherwise("text")
     return index.normalised(e).withColumns({"type": kind, "page": (F.col("row_id") % 5).cast("int"), "section": F.when(F.col("label") == 0, "").otherwise(F.concat(F.lit("S"), F.col("label").cast("string")))})
 
@@ -303,6 +303,12 @@ def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 5).withColumn("score", F.round("score", 4))
 
 
+def topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of topk_batch over a clustered index, which leaves out what can't be among the best."""
+    best, _ = clustered.top_k(clustered.build(held(spark, sf_dir)), asked(spark, sf_dir), 5)
+    return best.withColumn("score", F.round("score", 4))
+
+
 def topk_filtered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered search for every query: the best 3 k of each, of them the k best of the type."""
     best = retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 30).withColumnRenamed("rank", "place")
@@ -459,7 +465,7 @@ QUERIES = [
     block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections,
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
-    fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, context_join, context_plain, context_numbered, source_projection, stub_answer,
+    fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
     prompt_render, visual_chunk, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 

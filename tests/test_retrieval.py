@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import metrics
-from docspark.operators import generation, index, retrieval
+from docspark.operators import clustered, generation, index, retrieval
 
 ROWS = "row_id bigint, vec array<double>, type string, page int, section string, text string"
 
@@ -53,6 +53,56 @@ def test_batch(spark, held, monkeypatch):
     assert retrieval.top_k_batch(held.filter("false"), queries, 6).count() == 0
 
 
+def test_single_and_batch_agree(spark):
+    """Index vectors as they are, queries over their length; what has no score is left out of both."""
+    rows = [(1, [10.0, 10.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0, None]), (5, [1.0, 2.0, 3.0]), (6, []), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [0.0, 0.0])]
+    index_ = spark.createDataFrame(rows, "row_id bigint, vec array<double>")
+    one = [(r.row_id, r.score) for r in retrieval.top_k(index_, [2.0, 0.0], 9).collect()]
+    assert one == [(1, 10.0), (2, 1.0), (9, 0.0)]
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, None), (2, [1.0, None]), (3, [0.0, 0.0, 1.0])], "query_id bigint, vec array<double>")
+    got = sorted(map(tuple, retrieval.top_k_batch(index_, asked, 9).collect()))
+    assert got == [(0, 1, 1, 10.0), (0, 2, 2, 1.0), (0, 3, 9, 0.0), (3, 1, 5, 3.0)]
+
+
+def test_vectors_are_normalised_once(spark):
+    """No filter asks for the normalised vector, which would be worked out for it once more."""
+    raw = spark.createDataFrame([(1, [3.0, 4.0])], "row_id bigint, vec array<double>")
+    for df in (retrieval.top_k(index.normalised(raw), [1.0, 0.0], 1), retrieval.top_k_batch(index.normalised(raw), raw.withColumnRenamed("row_id", "query_id"), 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("SQRT(") == 1 and not [x for x in plan.split("\n") if "Filter" in x and "transform" in x], plan
+
+
+def clustered_rows(n, d, spread, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, d))
+    x = centres[np.arange(n) % 20] + spread * rng.normal(size=(n, d))
+    return [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize(("spread", "lists"), [(0.1, 32), (2.0, 8), (0.3, 1), (0.3, 500)])
+def test_clustered_equals_batch(spark, spread, lists):
+    rows = clustered_rows(3000, 12, spread)
+    rows += [(5000, rows[4][1]), (5001, rows[4][1]), (5002, None), (5003, [1.0, None] * 6), (5004, [float("nan")] * 12), (5005, [1.0, 2.0])]  # ties, and what takes no part
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<double>").repartition(3)
+    asked = df.filter("row_id % 25 = 0 or row_id in (4, 5001)").select(F.col("row_id").alias("query_id"), F.transform("vec", lambda x: x * 3).alias("vec"))
+    best, work = clustered.top_k(clustered.build(df, lists=lists), asked, 7)
+    want = retrieval.top_k_batch(df.filter("row_id <> 5005"), asked.filter("query_id <> 5005"), 7)
+    near = lambda found: sorted((r.query_id, r["rank"], r.row_id, round(r.score, 9)) for r in found.collect())
+    assert near(best) == near(want)
+    assert work["finished"] <= work["met"] <= work["all"] == 3002 * asked.filter("vec is not null and query_id < 5002").count()
+    if spread == 0.1:
+        assert work["met"] < work["all"] / 3
+
+
+def test_clustered_without_rows(spark):
+    none = spark.createDataFrame([], "row_id bigint, vec array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "row_id bigint, vec array<double>")
+    asked = some.withColumnRenamed("row_id", "query_id")
+    assert clustered.top_k(clustered.build(none), asked, 3)[0].count() == 0
+    assert clustered.top_k(clustered.build(some), asked.filter("false"), 3)[0].count() == 0
+    assert [tuple(r) for r in clustered.top_k(clustered.build(some), asked, 3)[0].collect()] == [(1, 1, 1, 1.0)]
+
+
 def test_normalised(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "i int, vec array<double>")
     assert [r.vec for r in index.normalised(df).orderBy("i").collect()] == [[0.6, 0.8], [0.0, 0.0]]
