@@ -287,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT query_id, b.text AS question, '[LLM API недоступен — показываю найденный контекст]' || {NL} || {NL} || 'Вопрос: ' || b.text || {NL} || {NL} || 'Найденные фрагменты:' || {NL} || context AS answer,
         'stub' AS model, substr(context, 1, 200) || '...' AS context_used FROM told JOIN benchmark b ON b.item_id = query_id"""
     stub = f"'[LLM API недоступен — показываю найденный контекст]' || {NL} || {NL} || 'Вопрос: Q' || query_id || {NL} || {NL} || 'Найденные фрагменты:' || {NL} || context"
-    return {
+    found = {
         "block_classify": f"WITH {BLOCKS} SELECT doc_id, block_no, page_num, block_type FROM blocks",
         "block_type_counts": f"WITH {BLOCKS} SELECT block_type, count(*) AS n FROM blocks GROUP BY block_type",
         "stream_type_counts": f"WITH {BLOCKS} SELECT block_type, count(*) AS n FROM blocks GROUP BY block_type",
@@ -302,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "markdown_build": f"WITH {MARKDOWN} SELECT doc_id, markdown FROM markdowns",
         "sections": f"WITH {SECTIONS} SELECT doc_id, section_no, title, body, page, type FROM sections",
         "chunk_sections": f"WITH {CHUNKS} SELECT doc_id, section_no, chunk_no, s.title AS section, s.page, s.type, p.text FROM pieces p JOIN sections s USING (doc_id, section_no) WHERE length(p.text) >= 50".replace("RECURSIVE_MARK ", "").replace("WITH ", "WITH RECURSIVE ", 1),
+        "sections_long": f"WITH {SECTIONS} SELECT doc_id, section_no, title, page, type, CAST(length(body) AS BIGINT) AS length FROM sections",
         "chunk_simple": f"WITH RECURSIVE {SIMPLE} SELECT doc_id, chunk_no, text FROM simple",
         "chunk_stats": f"WITH RECURSIVE {SIMPLE} SELECT count(*) AS n, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, round(avg(length(text)), 4) AS mean FROM simple",
         "chunk_histogram": f"""WITH RECURSIVE {SIMPLE}, ends AS (SELECT min(length(text)) AS lo, max(length(text)) AS hi FROM simple)
@@ -383,3 +384,5 @@ def oracle_sql() -> dict[str, str]:
         "rag_answers": answered,
         "bleu2": f"WITH {BLEU} SELECT conv_id, turn, CAST(bleu AS DOUBLE) AS bleu FROM bleus",
     }
+    # Other ways to the same rows.
+    return found | {"chunk_long": found["chunk_sections"], "stream_dedup_number": found["dedup_limit_number"]}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
-from docspark.operators import charts, chunking, clustered, generation, images, index, layout, markdown, retrieval
+from docspark.operators import charts, chunking, clustered, generation, images, index, layout, long_documents, markdown, retrieval
 from docspark.plans import benchmark, pipeline, shared
 from docspark.sources import backends, sinks
 
@@ -86,6 +86,17 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_markdown(built(spark, sf_dir)).select("doc_id", "section_no", "chunk_no", "section", "page", "type", "text")
 
 
+def sections_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections, worked out over buckets of blocks and not from a row for each document."""
+    return long_documents.sections(blocks(spark, sf_dir))
+
+
+def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of chunk_sections over buckets of blocks; sections beyond 4000 characters are packed over buckets as well."""
+    made = long_documents.chunk_blocks(blocks(spark, sf_dir), whole=4000)
+    return made.select("doc_id", "section_no", "chunk_no", "section", "page", "type", "text")
+
+
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.replace(text_of(F.col("text")), F.lit("\n"), F.lit("\n\n")).alias("text"))
 
@@ -462,7 +473,7 @@ def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections,
+    block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections, sections_long, chunk_long,
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
     fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
