@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -167,28 +168,11 @@ def map_texts(df: DataFrame, fields: str, make, text: str = "text") -> DataFrame
     return made.select(*(F.col(f"`{c}`") for c in others), *(F.col(f"`{found}`.{c}").alias(c) for c in extra.names))
 
 
-def _table(seed: int, n: int = 256) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-BYTE_HASH = _table(11)
 BASE = np.uint64(0x9E3779B97F4A7C17)
-BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse, to the powers 0 to n - 1, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        if n > 4 * SLICE_BYTES:  # one very long text: not worth keeping
-            return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, b)]) for b in (BASE, BASE_INV))
-        m = max(n, SLICE_BYTES + 1)
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(m - 1, b)]) for b in (BASE, BASE_INV)]
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -213,12 +197,28 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+#: Spans beyond so many bytes are hashed one by one.
+LONG_SPAN = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by differences of one running polynomial sum."""
-    up, down = powers(max(1, len(data)))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_HASH[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[np.minimum(starts, max(0, len(data) - 1))] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans: eight bytes at a time, each mixed in by a bijection, so that no arithmetic relation of
+    two spans makes them equal; long ones by BLAKE2."""
+    n = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(n.astype(np.uint64) + BASE)
+    at, begin = np.flatnonzero((n > 0) & (n <= LONG_SPAN)), 0
+    while len(at):
+        lane = eights[starts[at] + begin] & _MASKS[np.minimum(n[at] - begin, 8)]
+        h[at] = mix(h[at] ^ lane) + BASE
+        begin += 8
+        at = at[n[at] > begin]
+    for i in np.flatnonzero(n > LONG_SPAN):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
