@@ -8,13 +8,15 @@ runs stay. Pages with the same stream count as one, so copies of an article don'
 that only some articles quote stays.
 
 What is left is parsed: what the markup says is not the article goes (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments), references are decoded, and text is cut into blocks; an article or
-main element, where there is one, is the page.
+adverts, forms, scripts, styles, reader comments), references are decoded, and text is cut into blocks. An article or
+main element is the page where it holds a quarter of the text at least; one within a dropped element stays dropped.
 
-A host is dealt into blocks of about `block` pages and block_bytes by a hash of the page's content, each with a suffix
-array of its own, so no task holds a host. Blocks report the heads that at least half of `share` of their pages have;
-these are added up over the host before any is boilerplate. Pages themselves are only shuffled for that, and only those
-of hosts with `least` pages; removal and parsing go page by page, beside their host's boilerplate.
+A host is dealt into blocks of about `block` pages and block_bytes by a hash of its pages' token streams, so equal streams
+share a block and count once; each block has a suffix array of its own, so no task holds a host. A head that a share of a
+host's pages has is one that a share of some block's pages has, so blocks name the candidates, and those of hosts with
+several blocks are then counted over all of the host's distinct pages: no result hangs on the size of a block. Pages are
+only shuffled for the arrays, and only those of hosts with `least` pages; removal and parsing go page by page, beside
+their host's boilerplate. Tags are found in one pass, in time that follows the page's length whatever is left unclosed.
 
 Defined cases: null or empty html, and pages without text, give the empty text; urls without a host are those of one
 host; rows that repeat a page are pages of their own with the same text; hosts below `least` distinct pages keep all;
@@ -23,8 +25,10 @@ pages of any length are handled whole; extra columns, whatever their names, are
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,9 @@ LONG = 4
 #: So many hosts, or heads of all hosts, are broadcast at most; beyond it pages are shuffled to their host's.
 MOST_SENT = 2_000_000
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']*(?:"[^"]*"|'[^']*'))*[^>"']*)> | <(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)> | <[!?/][^>]*> | <[a-zA-Z/!?][^<>]*\Z""",
-    re.S | re.X,
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z0-9]+")
 
 #: Elements whose content is never text, up to their own end tag whatever stands between.
@@ -56,6 +58,10 @@ BLOCK = frozenset(
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar footer notice notices cookie cookies consent gdpr alert disclaimer comment comments commentlist discussion disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager masthead copyright widget widgets skip hidden".split()
 )
+#: Words that may stand beside a hint in a class of several words, joined by hyphens or underscores.
+BESIDE = frozenset(
+    "site main page post entry top bottom left right primary secondary global header footer box list item items bar slot unit wrap wrapper container block section area inner outer content link links button buttons form letter policy text title panel module group set row col column head body foot id 1 2 3 4 5".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 PAGE = frozenset("html body article main".split())
 COMMENTS = frozenset("comment comments commentlist replies".split())
@@ -69,14 +75,95 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            words = set(WORD.findall(value))
-            if words & COMMENTS or tag not in PAGE and (words & HINTS or "header" in words and not in_article):
-                return True
+            for one in value.split():
+                words = set(WORD.findall(one))
+                if words & COMMENTS or tag not in PAGE and (words & HINTS and words <= HINTS | BESIDE or "header" in words and not in_article):
+                    return True
         elif tag not in PAGE and (name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
             return True
     return tag not in PAGE and re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None
 
 
+class Tags:
+    """The tags of a page from front to back, in time that follows its length whatever is left unclosed: where a search
+    has found nothing up to a place, the next one from before that place doesn't look again."""
+
+    def __init__(self, page: str):
+        self.page, self.known, self.failed = page, {}, set()
+
+    def find(self, what: str | re.Pattern, at: int) -> int:
+        """Where `what` is next, from `at` on; -1 if nowhere."""
+        begin, end = self.known.get(what, (1, 0))
+        if begin <= at and (at <= end or end < 0):
+            return end
+        if isinstance(what, str):
+            end = self.page.find(what, at)
+        else:
+            m = what.search(self.page, at)
+            end = m.start() if m else -1
+        self.known[what] = at, end
+        return end
+
+    def _end(self, at: int) -> int:
+        """Where the tag's own > is, outside quotes; -1 if it has none."""
+        passed = []
+        while at not in self.failed:
+            passed.append(at)
+            at = self.find(SPECIAL, at)
+            if at < 0 or self.page[at] == ">":
+                break
+            at = self.find(self.page[at], at + 1) + 1
+            if not at:
+                break
+        else:
+            at = 0
+        if at <= 0:
+            self.failed.update(passed)
+            return -1
+        return at
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, closing, name, attributes) of the next tag; the name is empty for comments and declarations."""
+        page = self.page
+        while (at := self.find("<", at)) >= 0:
+            if self.find(">", at) < 0:  # nothing ends any more: a comment goes on to the end, or the page ends within a tag
+                comment, last = page.find("<!--", at), page.rfind("<", at)
+                at = comment if comment >= 0 else last
+                return (at, len(page), "", "", "") if comment >= 0 or NAME.match(page, at) or page[at + 1 : at + 2] in ("!", "?", "/") else None
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", "", ""
+            m = NAME.match(page, at)
+            if m:
+                end = self._end(m.end())
+                if end < 0:
+                    end = self.find(">", m.end())
+                if end >= 0:
+                    return at, end + 1, m[1], m[2], page[m.end() : end]
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = self.find(">", at + 1)
+                if end >= 0:
+                    return at, end + 1, "", "", ""
+            if page[at + 1 : at + 2] and (m or page[at + 1] in "!?/") and self.find("<", at + 1) < 0:
+                return at, len(page), "", "", ""  # the page ends within a tag
+            at += 1
+        return None
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup; the page's end without one."""
+        begin = self.find(_closing(tag), at)
+        end = self.find(">", begin) if begin >= 0 else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+    def closes(self, tag: str, at: int) -> bool:
+        return self.find(_closing(tag), at) >= 0
+
+
+@lru_cache(256)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s>])", re.I)
+
+
 def blocks_of(page: str | None, text: str | None = None) -> list[str]:
     """The text blocks of a page's main part, in order; text: the page with what shall not be read blanked out."""
     if not page:
@@ -85,7 +172,7 @@ def blocks_of(page: str | None, text: str | None = None) -> list[str]:
     found: dict[str, list[str]] = {"article": [], "main": [], "body": []}
     inside = {"article": 0, "main": 0}
     parts: list[str] = []
-    skip, depth, at = "", 0, 0
+    skip, depth, at, tags = "", 0, 0, Tags(page)
 
     def flush() -> None:
         block = " ".join(html.unescape("".join(parts)).split())
@@ -97,25 +184,23 @@ def blocks_of(page: str | None, text: str | None = None) -> list[str]:
             found["body"].append(block)
 
     while True:
-        m = TAG.search(page, at)
+        found_tag = tags.next(at)
         if not skip:
-            parts.append(text[at : m.start() if m else len(page)])
-        if not m:
+            parts.append(text[at : found_tag[0] if found_tag else len(page)])
+        if not found_tag:
             break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, closing, tag, attributes = found_tag
         if not tag:
             continue
         tag = tag.lower()
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = tags.after_raw(tag, at)
             continue
         if skip:
             if closing:
                 depth -= tag == skip
-            elif tag in ("article", "main") and skip not in ("article", "main") or tag == "body" or skip == "p" and tag in BLOCK:
+            elif tag in ("article", "main") and skip not in ("article", "main") and not (skip in DROP and tags.closes(skip, at)) or tag == "body" or skip == "p" and tag in BLOCK:
                 depth = 0  # the dropped element was never closed
             elif tag == skip and tag not in VOID and not attributes.endswith("/"):
                 depth += 1
@@ -139,7 +224,10 @@ def blocks_of(page: str | None, text: str | None = None) -> list[str]:
             elif tag in inside:
                 inside[tag] += 1
     flush()
-    return found["article"] or found["main"] or found["body"]
+    for k in ("article", "main"):  # a short one among much else is a teaser
+        if 4 * sum(map(len, found[k])) >= sum(map(len, found["body"])):
+            return found[k] or found["body"]
+    return found["body"]
 
 
 # ------------------------------------------------------------ the host's suffix array
@@ -180,13 +268,18 @@ def head_hashes(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def streams_of(page: np.ndarray, tokens: np.ndarray, n: int) -> list[bytes]:
+    """A digest of each of n pages' tokens; empty for a page without any."""
+    first = np.searchsorted(page, np.arange(n + 1))
+    return [hashlib.blake2b(tokens[a:b].tobytes(), digest_size=8).digest() if b > a else b"" for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def common_heads(pages: pa.Array, share: float) -> tuple[int, dict[int, int]]:
     """How many distinct pages there are, and of each head that at least `share` of them have, how many have it."""
     data, offs = flat(pages)
     _, _, page, tokens = tokens_of(data, offs)
-    first = np.searchsorted(page, np.arange(len(pages) + 1))
     seen: dict[bytes, int] = {}
-    kind = np.array([seen.setdefault(tokens[a:b].tobytes(), len(seen)) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+    kind = np.array([seen.setdefault(x, len(seen)) for x in streams_of(page, tokens, len(pages))], np.int64)
     n = len(seen) - (b"" in seen)
     # A mark of its own ends each page, so that no head goes over it.
     ends_at = np.flatnonzero(np.append(page[1:] != page[:-1], True))[: len(page)]
@@ -237,24 +330,63 @@ def without(pages: list[str | None], data: np.ndarray, offs: np.ndarray, heads:
     return out
 
 
+def _once(host: pa.Array, html: pa.Array, seen: set) -> list[tuple[int, int, np.ndarray]]:
+    """(row, stream, heads) of the pages whose host and stream are not in seen, which gets them."""
+    out = []
+    for at, data, offs in slices(html):
+        _, _, page, tokens = tokens_of(data, offs)
+        first = np.searchsorted(page, np.arange(len(offs)))
+        for k, stream in enumerate(streams_of(page, tokens, len(offs) - 1)):
+            key = (host[at + k].as_py(), stream)
+            if stream and key not in seen:
+                seen.add(key)
+                out.append((at + k, int.from_bytes(stream, "little", signed=True), np.unique(head_hashes(tokens[first[k] : first[k + 1]])).view(np.int64)))
+    return out
+
+
 def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes: int) -> DataFrame:
     """(host, heads): the boilerplate of each host that has any."""
 
+    def deal(batches):
+        seen: set = set()  # of a task's pages, 8 bytes each; copies of a page leave it once
+        for batch in batches:
+            rows = _once(batch.column(0), batch.column(1), seen)
+            if rows:
+                salts = np.array([s for _, s, _ in rows]) % batch.column(2).to_numpy()[[r for r, _, _ in rows]]
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array([r for r, _, _ in rows])).columns, pa.array(salts)], names=["host", "html", "salt"])
+        give_back()
+
     def report(table: pa.Table) -> pa.Table:
-        n, counts = common_heads(table.column("html").combine_chunks(), share / 2)
+        n, counts = common_heads(table.column("html").combine_chunks(), share)
         rows = [(None, n), *counts.items()]
         host = table.column("host")[0].as_py()
         return pa.table({"host": pa.array([host] * len(rows), pa.string()), "head": pa.array([h for h, _ in rows], pa.int64()), "pages": pa.array([c for _, c in rows], pa.int64())})
 
+    def counted(batches):
+        seen: set = set()
+        for batch in batches:
+            wanted = batch.column(2)
+            rows = [(r, s, np.intersect1d(heads, wanted[r].values.to_numpy(), True)) for r, s, heads in _once(batch.column(0), batch.column(1), seen)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in rows], pa.int64())), pa.array([s for _, s, _ in rows], pa.int64()), pa.array([h for _, _, h in rows], pa.list_(pa.int64()))], names=["host", "stream", "heads"])
+        give_back()
+
     sizes = own.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).filter(F.col("pages") >= least)
-    sizes = stash(sizes, "hosts")
     blocks = F.greatest(F.ceil(F.col("pages") / block), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("bigint")
-    many = own.join(sent_whole(sizes.select("host", blocks.alias("blocks")), MOST_SENT), "host")
-    dealt = many.select("host", "html", F.pmod(F.xxhash64("html"), "blocks").alias("salt")).repartition("host", "salt")  # by both, so that no host is one task
-    reports = dealt.groupBy("host", "salt").applyInArrow(report, "host string, head bigint, pages bigint")
-    sums = stash(reports.groupBy("host", "head").agg(F.sum("pages").alias("pages")), "heads")
+    sizes = stash(sizes.select("host", blocks.alias("blocks")), "hosts")
+    many = own.join(sent_whole(sizes, MOST_SENT), "host")
+    dealt = many.select("host", "html", "blocks").mapInArrow(deal, "host string, html string, salt bigint").repartition("host", "salt")  # by both, so that no host is one task
+    sums = stash(dealt.groupBy("host", "salt").applyInArrow(report, "host string, head bigint, pages bigint").groupBy("host", "head").agg(F.sum("pages").alias("pages")), "heads")
     whole = sums.filter("head is null").select("host", F.col("pages").alias("n")).filter(F.col("n") >= least)
-    common = sums.filter("head is not null").join(whole, "host").filter((F.col("pages") >= least) & (F.col("pages") >= share * F.col("n")))
+    # What a share of a host's pages has, a share of some block's pages has: no other head can be common. In a host of
+    # one block that count is the host's; for others the heads that remain are counted over all pages.
+    several = sizes.filter("blocks > 1").select("host")
+    named = sums.filter("head is not null")
+    open_ = stash(named.join(several, "host", "left_semi").groupBy("host").agg(F.collect_set("head").alias("heads")), "candidates")
+    asked = own.join(sent_whole(open_, MOST_SENT, "sum(size(heads) + 8)"), "host").select("host", "html", "heads")
+    each = asked.mapInArrow(counted, "host string, stream bigint, heads array<bigint>").groupBy("host", "stream").agg(F.first("heads").alias("heads"))
+    over = each.select("host", F.explode("heads").alias("head")).groupBy("host", "head").agg(F.count("*").alias("pages"))
+    counts = named.join(several, "host", "left_anti").select("host", "head", "pages").unionByName(over)
+    common = counts.join(whole, "host").filter((F.col("pages") >= least) & (F.col("pages") >= share * F.col("n")))
     return stash(common.groupBy("host").agg(F.sort_array(F.collect_set("head")).alias("heads")), "boilerplate")
 
 

@@ -1,3 +1,5 @@
+import pytest
+import time
 import random
 import re
 from collections import Counter
@@ -145,3 +147,59 @@ def test_query_matches_brute_force(spark, tmp_path):
             want[k] = (u, text, len(text))
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op2_html_extraction(spark, str(tmp_path)).collect()}
     assert got == want and removed > 40  # the notices that are in no element of their own go
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a b="c" ', "< <a", "<a ", "</script ", "<script>x</script ", "<!-- ", """<a ">" '""", '</a x="', '<div class="'])
+def test_malformed_pages_take_time_in_proportion(unit):
+    """Work is counted by searches that look at the page, not by the clock."""
+    seen = []
+    for n in (2000, 8000):
+        tags, looked, at = html_text.Tags(unit * n), 0, 0
+        plain = tags.find
+
+        def find(what, begin):
+            nonlocal looked
+            known = tags.known.get(what)
+            end = plain(what, begin)
+            if tags.known[what] != known:
+                looked += (end if end >= 0 else len(tags.page)) - begin
+            return end
+
+        tags.find = find
+        while (tag := tags.next(at)) is not None and tag[1] < len(tags.page):
+            at = tag[1]
+        seen.append(looked)
+    assert seen[1] <= 5 * seen[0] + 1000
+
+
+def test_long_attributes_take_time_in_proportion():
+    began = time.monotonic()
+    assert html_text.blocks_of("<p " + "a" * 3_000_000 + ">said</p>") == ["said"]
+    assert time.monotonic() - began < 20
+
+
+def test_elements_that_are_not_the_article():
+    blocks = html_text.blocks_of
+    text = "The main text, which is a good deal longer than what the teaser says."
+    assert blocks(f"<aside><article>teaser</article></aside><p>{text}</p>") == [text]
+    assert blocks(f"<article>teaser</article><p>{text} {text}</p>") == ["teaser", f"{text} {text}"]
+    assert blocks(f"<aside>menu <article><p>{text}</p></article>") == [text]  # the aside was never closed
+    for name in ("related-work", "share-price", "hidden-print", "commentary"):
+        assert blocks(f'<div class="{name}"><p>{text}</p></div>') == [text], name
+    for name in ("site-footer", "comment-list", "nav-bar", "cookie_banner", "box share-buttons", "ad"):
+        assert blocks(f'<div class="{name}"><p>said</p></div><p>{text}</p>') == [text], name
+
+
+def test_results_do_not_hang_on_blocks(spark):
+    """Copies that differ in white space count once; a notice on half of the pages goes whatever the blocks are."""
+    rng = random.Random(3)
+    own = lambda i, n=30: " ".join(f"w{i}x{rng.randint(0, 9999)}" for _ in range(n))
+    article = own("copy")
+    notice = "please note that this offer of ours ends today and not later"
+    rows = [(i, "http://copies/", "<p>" + article.replace(" ", " " * (1 + i % 7), 1 + i % 5) + "</p>") for i in range(150)] + [(i, "http://copies/", f"<p>{own(i)}</p>") for i in range(150, 160)]
+    rows += [(i, "http://notices/", f"<p>{notice}</p><p>{own(i)}</p>" if i % 100 < 51 else f"<p>{own(i)}</p>") for i in range(200, 300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {b: {r.page_id: r.text for r in html_text.extract(pages, block=b).collect()} for b in (8, 128, 1 << 30)}
+    assert found[8] == found[128] == found[1 << 30]
+    assert all(found[8][i].split() == article.split() for i in range(150))
+    assert not [i for i in range(200, 300) if "offer" in found[8][i]] and all(found[8][i] for i in range(200, 300))
