@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from docspark.llm.common import drop_stash, new_path, stash, with_workers
 
 VERSION = b"WARC/1.1"
+#: What a file says of itself, in a first record that readers pass over.
+INFO = b"software: docspark\r\nformat: WARC File Format 1.1\r\n"
 #: A payload smaller than this is always stored.
 LEAST = 100
 BLOCK = 1 << 20
@@ -250,19 +252,26 @@ def _next_plain(source: Source, at: int) -> int:
 
 
 def payload_digests(pages: DataFrame) -> DataFrame:
-    """(page_id, n, digest) of each page's payload."""
+    """(page_id, url, n, digest) of each page's payload."""
     body = F.coalesce("html", F.lit("")).cast("binary")
-    return pages.select("page_id", F.octet_length(body).cast("bigint").alias("n"), F.sha2(body, 256).alias("digest"))
+    return pages.select("page_id", "url", F.octet_length(body).cast("bigint").alias("n"), F.sha2(body, 256).alias("digest"))
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to): pages whose payload a page of a smaller id has, of at least LEAST bytes.
+    """(page_id, digest, refers_to, refers_url): pages whose payload a page of a smaller id has, of at least LEAST bytes.
 
     A group is reduced to its smallest id map-side first; the join back to its members is one that Spark may split.
     """
     rows = stash(payload_digests(pages).filter((F.col("n") >= LEAST) & F.col("page_id").isNotNull()), "payloads")
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last")
-    return rows.join(first.drop("last"), "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = rows.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).filter("first.page_id < last")
+    first = first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    return rows.drop("url").join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to", "refers_url").distinct()
+
+
+def record_id(page: int | None, digest: str) -> str:
+    """The id of a page's record, the same whichever task writes it; at random for a page without id."""
+    own = uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page}:{digest}")
+    return f"<urn:uuid:{own}>"
 
 
 def write(pages: DataFrame, path: str | None = None, compress: bool = True, file_bytes: int = 64 << 20) -> DataFrame:
@@ -271,13 +280,19 @@ def write(pages: DataFrame, path: str | None = None, compress: bool = True, file
     root = path or new_path(spark, "warc")
     again = stash(revisits(pages), "revisits")
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    rows = own.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = own.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to", "refers_url")
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
         out, name, count, size = None, "", 0, 0
 
+        def pressed(data):
+            if not compress:
+                return data
+            squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+            return squeeze.compress(data) + squeeze.flush()
+
         def close():
             nonlocal out
             out.close()
@@ -285,20 +300,19 @@ def write(pages: DataFrame, path: str | None = None, compress: bool = True, file
             return pa.RecordBatch.from_pydict({"file": [name], "records": [count], "bytes": [size]})
 
         for batch in batches:
-            for page, url, html, digest, refers in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for page, url, html, digest, refers, refers_url in zip(*(batch.column(k) for k in range(6)), strict=True):
                 body, page, url = html.as_py().encode(), page.as_py(), url.as_py()
                 kind = "revisit" if refers.is_valid else "response"
                 fields = {} if page is None else {"X-Page-Id": str(page)}
                 fields |= {"WARC-Target-URI": url} if url is not None else {}
                 if kind == "revisit":
-                    fields |= {"WARC-Refers-To": f"<urn:page:{refers.as_py()}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                data = record(kind, f"<urn:uuid:{uuid.uuid4()}>", body, digest.as_py(), fields)
-                if compress:
-                    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = squeeze.compress(data) + squeeze.flush()
+                    fields |= {"WARC-Refers-To": record_id(refers.as_py(), digest.as_py()), "X-Refers-To-Page-Id": str(refers.as_py()), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                    fields |= {"WARC-Refers-To-Target-URI": refers_url.as_py()} if refers_url.is_valid else {}
+                data = pressed(record(kind, record_id(page, digest.as_py()), body, digest.as_py(), fields))
                 if out is None:
                     name, count, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * compress, 0, 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    out.write(pressed(record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", INFO, hashlib.sha256(INFO).hexdigest(), {"Content-Type": "application/warc-fields", "WARC-Filename": name})))
                 out.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= file_bytes:
@@ -330,6 +344,8 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = False) -> DataF
                 store, path = fs.FileSystem.from_uri(uri)
                 with store.open_input_file(path) as file:
                     for x in salvage(file):
+                        if x.kind == "warcinfo":
+                            continue
                         rows.append((uri, x.start, x.end, *_row(x, payloads)))
                         held += len(x.block) * payloads
                         if len(rows) >= 2000 or held > 8 * BLOCK:
@@ -352,8 +368,8 @@ def _row(x: Found, payloads: bool) -> tuple:
         size, digest = number(h.get("x-payload-length")), h.get("warc-payload-digest", "").removeprefix("sha256:")
     else:
         size, digest = len(x.block), hashlib.sha256(x.block).hexdigest()
-    refers = re.fullmatch(r"<urn:page:(-?\d+)>", h.get("warc-refers-to", ""))
-    return (x.kind, number(h.get("x-page-id")), h.get("warc-target-uri"), size, digest, int(refers[1]) if refers else None, x.block if payloads else None, None)
+    refers = number(h.get("x-refers-to-page-id"))
+    return (x.kind, number(h.get("x-page-id")), h.get("warc-target-uri"), size, digest, refers, x.block if payloads else None, None)
 
 
 def read_bytes(data: bytes) -> list[Found]:

@@ -142,3 +142,24 @@ def test_lost_records_are_noticed(spark, pages, monkeypatch):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert warc.read(spark, warc.write(none)).count() == 0
+
+
+def test_every_revisit_names_its_record(spark, tmp_path):
+    """WARC-Refers-To is the id of a record in the archives, of the same payload and url, whichever task wrote it."""
+    body = "<p>" + "same text " * 20 + "</p>"
+    rows = [(i, f"http://h/{i}", body if i % 3 else f"<p>{'own %d ' % i * 30}</p>") for i in range(1, 60)] + [(None, "http://none/", body), (70, None, body)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    found = [{}, {}]
+    for k in range(2):
+        files = [r.file.removeprefix("file://") for r in warc.write(pages, f"file://{tmp_path}/{k}").collect()]
+        records = [x for f in files for x in warc.read_bytes(open(f, "rb").read())]
+        assert sum(x.kind == "warcinfo" for x in records) == len(files) and not [x for x in records if x.kind == "gap"]
+        held = {x.headers["warc-record-id"]: x for x in records if x.kind == "response"}
+        again = [x for x in records if x.kind == "revisit"]
+        assert len(again) == 40
+        for x in again:
+            first = held[x.headers["warc-refers-to"]]
+            assert first.headers["warc-payload-digest"] == x.headers["warc-payload-digest"] and first.headers["x-page-id"] == x.headers["x-refers-to-page-id"] == "1"
+            assert first.headers["warc-target-uri"] == x.headers["warc-refers-to-target-uri"]
+        found[k] = {x.headers["x-page-id"]: i for i, x in held.items() if "x-page-id" in x.headers}
+    assert found[0] == found[1]
