@@ -1,8 +1,9 @@
 """Quality rules: repetition counts, and a hashed n-gram likelihood ratio between trusted and raw text.
 
 Everything is columns over one row's arrays, and no document meets another one. The trusted multinomial comes from all
-documents labelled good, the raw one from all documents, both over `buckets` hashed word unigrams and as many bigrams;
-texts meet their labels by one shuffle on doc_id, and beyond it only bucket counts travel. A document's score is its
+documents labelled good, the raw one from all documents, both over `buckets` hashed word unigrams and as many bigrams.
+Ids labelled good are broadcast where there are at most `most_broadcast`, so texts stay where they are; beyond that texts
+meet their labels by one shuffle on doc_id, in which rows without id are one key. Else only bucket counts travel. A document's score is its
 mean log ratio per n-gram; it is kept when that is at least `least`, and no base rule failed. Equal windows
 are told by 64-bit hashes within a document.
 
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import SPACE_CHARS, SPACES
+from docspark.llm.common import SPACE_CHARS, SPACES, sent_whole
 
 WINDOW = 8
 
@@ -78,10 +79,10 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
     return F.concat(single, F.transform(after, lambda h, i: (F.pmod(F.xxhash64(h, F.get(hashes, i)), F.lit(buckets)) + buckets).cast("int")))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, prior: float = 5_000.0) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, prior: float = 5_000.0, most_broadcast: int = 2_000_000) -> list[float]:
     """For each bucket the log of its trusted over its raw probability; the trusted counts are smoothed by `prior` raw n-grams."""
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
-    dealt = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left")  # texts pass unsorted
+    dealt = docs.select("doc_id", "text").join(sent_whole(trusted, most_broadcast), "doc_id", "left")
     hashed = dealt.select(F.coalesce("good", F.lit(0)).alias("good"), F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     marked = hashed.select("good", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
     counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # at most 2 * buckets rows
