@@ -24,9 +24,14 @@ def numbered(images: DataFrame, most: int | None = None) -> DataFrame:
     return out.filter(F.col("image_no") <= most) if most else out
 
 
+def kept(images: DataFrame, **sizes: int) -> DataFrame:
+    """Size filter and dedup: what an extraction keeps, without numbers."""
+    return first_occurrences(images.filter(valid_size(F.col("width"), F.col("height"), **sizes)))
+
+
 def extract(images: DataFrame, most: int | None = None, **sizes: int) -> DataFrame:
     """Size filter, dedup, numbering, bound: the rows an extraction keeps."""
-    return numbered(first_occurrences(images.filter(valid_size(F.col("width"), F.col("height"), **sizes))), most)
+    return numbered(kept(images, **sizes), most)
 
 
 def png_name(doc: Column, page: Column, number: Column) -> Column:

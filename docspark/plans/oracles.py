@@ -353,6 +353,9 @@ def oracle_sql() -> dict[str, str]:
         "stub_answer": f"WITH {LABELLED} SELECT query_id, {stub} AS answer, 'stub' AS model, substr(context, 1, 200) || '...' AS context_used, 0 AS total_tokens FROM contexts",
         "prompt_render": f"WITH {LABELLED} SELECT query_id, 'Контекст из документа:' || {NL} || context || {NL} || {NL} || '---' || {NL} || {NL} || 'Вопрос: Q' || query_id || {NL} || {NL} || 'Ответ:' AS prompt FROM contexts",
         "visual_chunk": f"WITH RECURSIVE {union} SELECT page, text FROM every WHERE contains(lower(text), 'график') OR contains(lower(text), 'диаграмм') ORDER BY page NULLS FIRST, text LIMIT 1",
+        "visual_chunks": r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}{9,}')) AS word FROM benchmark),
+          f AS (SELECT word, min(doc_id) AS doc_id FROM (SELECT DISTINCT word FROM w) JOIN documents ON contains(lower(coalesce(text, '')), word) GROUP BY word)
+          SELECT item_id, min(doc_id) AS doc_id FROM w JOIN f USING (word) GROUP BY item_id""",
         "index_stats": "SELECT count(*) AS index_size, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim FROM embeddings",
         "faithfulness": f"WITH {FAITH} SELECT conv_id, turn, CAST(faithfulness AS DOUBLE) AS faithfulness FROM faith",
         "kind_split": f"WITH {TWO} SELECT vec_id, CASE WHEN block_type = 'chart' THEN 1 ELSE 2 END AS branch FROM k",

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators import charts, chunking, generation, images, index, layout, markdown, retrieval
+from docspark.plans.shared import stash
 from docspark.sources import backends
 
 
-
 def image_blocks(found: DataFrame, endpoint: generation.Endpoint | None = None) -> DataFrame:
     """Blocks of images (doc_id, page_num, idx, png, image_path): charts with their analysis, then other images.
 
@@ -20,7 +20,7 @@ def image_blocks(found: DataFrame, endpoint: generation.Endpoint | None = None)
     Order is by branch: charts follow all text, and other images follow charts.
     """
     kinds = charts.chart_or_image(found.withColumn("logits", backends.image_logits(F.col("png"), charts.CHART_PROMPTS + charts.IMAGE_PROMPTS)))
-    drawn, other = images.split_kinds(kinds)
+    drawn, other = images.split_kinds(stash(kinds, "kinds"))  # read by both branches
     read = drawn.withColumn("logits", backends.image_logits(F.col("png"), list(charts.SUBTYPES))).withColumn("raw_ocr", backends.ocr_text(F.col("png"))).withColumn("blip_caption", backends.caption(F.col("png"))).withColumn("num_lines", backends.line_count(F.col("png")))
     coloured = read.withColumn("clusters", backends.pixel_clusters(F.col("png"))).withColumn("colours", charts.dominant_of(F.col("clusters")))
     analysed = charts.analyse(coloured).withColumns({c: F.col(f"colours.{c}") for c in ("dominant_colors", "num_color_segments")}).drop("clusters", "colours", "png", "logits")
@@ -72,13 +72,13 @@ class Pipeline:
         doc = F.col("source").alias("doc_id")
         text = layout.parse_blocks(backends.pdf_blocks(files)).select(doc, "block_no", "page_num", "block_type", "text")
         if not process_images:
-            return self.ingest(ordered_union(text))
+            return self.ingest(stash(ordered_union(text), "blocks"))
         found = images.extract(backends.pdf_images(files).withColumnRenamed("source", "doc_id"), most_images)
-        named = found.withColumn("image_path", images.png_name(F.col("doc_id"), F.col("page_num"), F.col("image_no")))
+        named = stash(found, "images").withColumn("image_path", images.png_name(F.col("doc_id"), F.col("page_num"), F.col("image_no")))
         if image_dir:
             named = named.withColumn("image_path", F.concat(F.lit(image_dir.rstrip("/") + "/"), "image_path"))
             backends.save_images(named.select(F.col("image_path").alias("name"), "png"), image_dir).count()
-        return self.ingest(ordered_union(text, image_blocks(named, self.endpoint)))
+        return self.ingest(stash(ordered_union(text, image_blocks(named, self.endpoint)), "blocks"))  # for chunks and counts
 
     def query(self, questions: DataFrame, k: int | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame]:
         """questions (query_id, question) to (answers, sources)."""

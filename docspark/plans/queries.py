@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
-from docspark.operators import charts, chunking, clustered, generation, images, index, layout, long_documents, markdown, retrieval
+from docspark.operators import charts, chunking, clustered, generation, images, index, layout, long_documents, markdown, patterns, retrieval
 from docspark.plans import benchmark, pipeline, shared
 from docspark.sources import backends, sinks
 
@@ -172,7 +172,7 @@ def dedup_limit_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.summary(images.extract(pictures(spark, sf_dir)))
+    return images.summary(images.kept(pictures(spark, sf_dir)))
 
 
 def image_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +371,14 @@ def visual_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.first_visual(rows, ["график", "ДИАГРАММ"], "page", "text").select("page", "text")
 
 
+def visual_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item of `benchmark` the first document, by id, that holds any of its words of nine letters or more."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower(text_of(F.col("text"))), F.lit(r"\p{L}{9,}"), F.lit(0))).alias("words"))
+    words = items.select("item_id", F.explode("words").alias("word"))
+    found = patterns.first_holding(table(spark, sf_dir, "documents"), words, "doc_id")
+    return found.select("item_id", "doc_id")
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.size(held(spark, sf_dir))
 
@@ -477,7 +485,7 @@ QUERIES = [
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
     fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
-    prompt_render, visual_chunk, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
+    prompt_render, visual_chunk, visual_chunks, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 
 

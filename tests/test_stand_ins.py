@@ -156,3 +156,15 @@ def test_markdown_files(own, tmp_path):
     docs = own.createDataFrame([("a/b.pdf", "# x\n\ny"), ("c", None)], "doc_id string, markdown string")
     assert sinks.export_markdown(docs, f"file://{tmp_path}/md").count() == 2
     assert (tmp_path / "md" / "b.pdf.md").read_text() == "# x\n\ny" and (tmp_path / "md" / "c.md").read_text() == ""
+
+
+def test_ingest_parses_and_classifies_once(own, pdf, tmp_path):
+    """Each page is read once for text and once for images, and each image that is kept is classified once."""
+    env, log = own.sparkContext.environment, tmp_path / "calls"
+    env["STAND_IN_LOG"] = str(log)
+    try:
+        pipeline.Pipeline(own, f"file://{tmp_path}/index").ingest_pdfs(f"file://{pdf}", image_dir=f"file://{tmp_path}/images").collect()
+    finally:
+        del env["STAND_IN_LOG"]
+    calls = log.read_text().split()
+    assert {c: calls.count(c) for c in set(calls)} == {"text": 2, "images": 2, "kinds": 2, "subtypes": 1}
