@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,8 @@ LONG = 4
 MOST_SENT = 2_000_000
 
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A whole tag as most are; it holds no other < or >, so a match never looks beyond the next tag.
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\s++[a-zA-Z_:-]++="[^"<>]*+")*+\s*+/?)>""")
 SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z0-9]+")
@@ -126,6 +129,9 @@ class Tags:
         """(begin, end, closing, name, attributes) of the next tag; the name is empty for comments and declarations."""
         page = self.page
         while (at := self.find("<", at)) >= 0:
+            m = PLAIN.match(page, at)
+            if m:
+                return at, m.end(), m[1], m[2], m[3]
             if self.find(">", at) < 0:  # nothing ends any more: a comment goes on to the end, or the page ends within a tag
                 comment, last = page.find("<!--", at), page.rfind("<", at)
                 at = comment if comment >= 0 else last
@@ -330,9 +336,8 @@ def without(pages: list[str | None], data: np.ndarray, offs: np.ndarray, heads:
     return out
 
 
-def _once(host: pa.Array, html: pa.Array, seen: set) -> list[tuple[int, int, np.ndarray]]:
-    """(row, stream, heads) of the pages whose host and stream are not in seen, which gets them."""
-    out = []
+def _once(host: pa.Array, html: pa.Array, seen: set) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, stream, tokens) of the pages whose host and stream are not in seen, which gets them."""
     for at, data, offs in slices(html):
         _, _, page, tokens = tokens_of(data, offs)
         first = np.searchsorted(page, np.arange(len(offs)))
@@ -340,8 +345,7 @@ def _once(host: pa.Array, html: pa.Array, seen: set) -> list[tuple[int, int, np.
             key = (host[at + k].as_py(), stream)
             if stream and key not in seen:
                 seen.add(key)
-                out.append((at + k, int.from_bytes(stream, "little", signed=True), np.unique(head_hashes(tokens[first[k] : first[k + 1]])).view(np.int64)))
-    return out
+                yield at + k, int.from_bytes(stream, "little", signed=True), tokens[first[k] : first[k + 1]]
 
 
 def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes: int) -> DataFrame:
@@ -350,7 +354,7 @@ def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes:
     def deal(batches):
         seen: set = set()  # of a task's pages, 8 bytes each; copies of a page leave it once
         for batch in batches:
-            rows = _once(batch.column(0), batch.column(1), seen)
+            rows = list(_once(batch.column(0), batch.column(1), seen))
             if rows:
                 salts = np.array([s for _, s, _ in rows]) % batch.column(2).to_numpy()[[r for r, _, _ in rows]]
                 yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array([r for r, _, _ in rows])).columns, pa.array(salts)], names=["host", "html", "salt"])
@@ -365,8 +369,12 @@ def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes:
     def counted(batches):
         seen: set = set()
         for batch in batches:
-            wanted = batch.column(2)
-            rows = [(r, s, np.intersect1d(heads, wanted[r].values.to_numpy(), True)) for r, s, heads in _once(batch.column(0), batch.column(1), seen)]
+            offs, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            rows = []
+            for r, s, tokens in _once(batch.column(0), batch.column(1), seen):
+                wanted, heads = values[offs[r] : offs[r + 1]], head_hashes(tokens).view(np.int64)
+                at = np.minimum(np.searchsorted(wanted, heads), len(wanted) - 1)
+                rows.append((r, s, wanted[np.unique(at[wanted[at] == heads])]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in rows], pa.int64())), pa.array([s for _, s, _ in rows], pa.int64()), pa.array([h for _, _, h in rows], pa.list_(pa.int64()))], names=["host", "stream", "heads"])
         give_back()
 
@@ -381,7 +389,7 @@ def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes:
     # one block that count is the host's; for others the heads that remain are counted over all pages.
     several = sizes.filter("blocks > 1").select("host")
     named = sums.filter("head is not null")
-    open_ = stash(named.join(several, "host", "left_semi").groupBy("host").agg(F.collect_set("head").alias("heads")), "candidates")
+    open_ = stash(named.join(several, "host", "left_semi").groupBy("host").agg(F.sort_array(F.collect_set("head")).alias("heads")), "candidates")
     asked = own.join(sent_whole(open_, MOST_SENT, "sum(size(heads) + 8)"), "host").select("host", "html", "heads")
     each = asked.mapInArrow(counted, "host string, stream bigint, heads array<bigint>").groupBy("host", "stream").agg(F.first("heads").alias("heads"))
     over = each.select("host", F.explode("heads").alias("head")).groupBy("host", "head").agg(F.count("*").alias("pages"))
