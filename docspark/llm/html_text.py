@@ -274,10 +274,11 @@ def head_hashes(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def streams_of(page: np.ndarray, tokens: np.ndarray, n: int) -> list[bytes]:
-    """A digest of each of n pages' tokens; empty for a page without any."""
-    first = np.searchsorted(page, np.arange(n + 1))
-    return [hashlib.blake2b(tokens[a:b].tobytes(), digest_size=8).digest() if b > a else b"" for a, b in zip(first[:-1], first[1:], strict=True)]
+def stream_of(page: bytes) -> bytes:
+    """A digest of a page's tokens, without cutting them: one space stands for white space between two, none where < or >
+    cuts anyway; empty for a page without any."""
+    plain = b" ".join(page.split()).replace(b" <", b"<").replace(b"> ", b">")
+    return hashlib.blake2b(plain, digest_size=8).digest() if plain else b""
 
 
 def common_heads(pages: pa.Array, share: float) -> tuple[int, dict[int, int]]:
@@ -285,7 +286,7 @@ def common_heads(pages: pa.Array, share: float) -> tuple[int, dict[int, int]]:
     data, offs = flat(pages)
     _, _, page, tokens = tokens_of(data, offs)
     seen: dict[bytes, int] = {}
-    kind = np.array([seen.setdefault(x, len(seen)) for x in streams_of(page, tokens, len(pages))], np.int64)
+    kind = np.array([seen.setdefault(stream_of(data[a:b].tobytes()), len(seen)) for a, b in zip(offs[:-1], offs[1:], strict=True)], np.int64)
     n = len(seen) - (b"" in seen)
     # A mark of its own ends each page, so that no head goes over it.
     ends_at = np.flatnonzero(np.append(page[1:] != page[:-1], True))[: len(page)]
@@ -336,16 +337,17 @@ def without(pages: list[str | None], data: np.ndarray, offs: np.ndarray, heads:
     return out
 
 
-def _once(host: pa.Array, html: pa.Array, seen: set) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, stream, tokens) of the pages whose host and stream are not in seen, which gets them."""
-    for at, data, offs in slices(html):
-        _, _, page, tokens = tokens_of(data, offs)
-        first = np.searchsorted(page, np.arange(len(offs)))
-        for k, stream in enumerate(streams_of(page, tokens, len(offs) - 1)):
-            key = (host[at + k].as_py(), stream)
-            if stream and key not in seen:
-                seen.add(key)
-                yield at + k, int.from_bytes(stream, "little", signed=True), tokens[first[k] : first[k + 1]]
+def _once(host: pa.Array, html: pa.Array, seen: set) -> tuple[pa.Array, np.ndarray]:
+    """(rows, streams) of the pages whose host and stream are not in seen, which gets them."""
+    data, offs = flat(html)
+    rows, streams = [], []
+    for k, (name, a, b) in enumerate(zip(host.to_pylist(), offs[:-1], offs[1:], strict=True)):
+        stream = stream_of(data[a:b].tobytes())
+        if stream and (name, stream) not in seen:
+            seen.add((name, stream))
+            rows.append(k)
+            streams.append(int.from_bytes(stream, "little", signed=True))
+    return pa.array(rows, pa.int64()), np.array(streams, np.int64)
 
 
 def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes: int) -> DataFrame:
@@ -354,10 +356,9 @@ def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes:
     def deal(batches):
         seen: set = set()  # of a task's pages, 8 bytes each; copies of a page leave it once
         for batch in batches:
-            rows = list(_once(batch.column(0), batch.column(1), seen))
-            if rows:
-                salts = np.array([s for _, s, _ in rows]) % batch.column(2).to_numpy()[[r for r, _, _ in rows]]
-                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array([r for r, _, _ in rows])).columns, pa.array(salts)], names=["host", "html", "salt"])
+            rows, streams = _once(batch.column(0), batch.column(1), seen)
+            own = batch.take(rows)
+            yield pa.RecordBatch.from_arrays([*own.columns[:2], pa.array(streams % own.column(2).to_numpy())], names=["host", "html", "salt"])
         give_back()
 
     def report(table: pa.Table) -> pa.Table:
@@ -369,13 +370,18 @@ def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes:
     def counted(batches):
         seen: set = set()
         for batch in batches:
-            offs, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            rows = []
-            for r, s, tokens in _once(batch.column(0), batch.column(1), seen):
-                wanted, heads = values[offs[r] : offs[r + 1]], head_hashes(tokens).view(np.int64)
-                at = np.minimum(np.searchsorted(wanted, heads), len(wanted) - 1)
-                rows.append((r, s, wanted[np.unique(at[wanted[at] == heads])]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in rows], pa.int64())), pa.array([s for _, s, _ in rows], pa.int64()), pa.array([h for _, _, h in rows], pa.list_(pa.int64()))], names=["host", "stream", "heads"])
+            rows, streams = _once(batch.column(0), batch.column(1), seen)
+            own, found = batch.take(rows), []
+            begin, values = own.column(2).offsets.to_numpy(), own.column(2).values.to_numpy()
+            for at, data, offs in slices(own.column(1)):
+                _, _, page, tokens = tokens_of(data, offs)
+                first = np.searchsorted(page, np.arange(len(offs)))
+                for k in range(len(offs) - 1):
+                    wanted = values[begin[at + k] : begin[at + k + 1]]
+                    heads = head_hashes(tokens[first[k] : first[k + 1]]).view(np.int64)
+                    near = np.minimum(np.searchsorted(wanted, heads), len(wanted) - 1)
+                    found.append(wanted[np.unique(near[wanted[near] == heads])])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(streams), pa.array(found, pa.list_(pa.int64()))], names=["host", "stream", "heads"])
         give_back()
 
     sizes = own.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).filter(F.col("pages") >= least)
