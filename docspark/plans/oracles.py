@@ -356,6 +356,13 @@ def oracle_sql() -> dict[str, str]:
         "visual_chunks": r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}{9,}')) AS word FROM benchmark),
           f AS (SELECT word, min(doc_id) AS doc_id FROM (SELECT DISTINCT word FROM w) JOIN documents ON contains(lower(coalesce(text, '')), word) GROUP BY word)
           SELECT item_id, min(doc_id) AS doc_id FROM w JOIN f USING (word) GROUP BY item_id""",
+        "near_words": r"""WITH t AS (SELECT row_number() OVER () AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+          b AS (SELECT id, i, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 32768 AS b FROM (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM t)),
+          l AS (SELECT b, unnest([lead(b, 1) OVER o, lead(b, 2) OVER o, lead(b, 3) OVER o, lead(b, 4) OVER o]) AS c FROM b WINDOW o AS (PARTITION BY id ORDER BY i)),
+          p AS (SELECT word, context, count(*) AS n FROM (SELECT b AS word, c AS context FROM l WHERE c IS NOT NULL UNION ALL SELECT c, b FROM l WHERE c IS NOT NULL) GROUP BY ALL),
+          o AS (SELECT word, CAST(sum(n) AS DOUBLE) AS own FROM p GROUP BY word), e AS (SELECT sum(pow(own, 0.75)) AS powers FROM o),
+          w AS (SELECT p.word, n, ln(n * powers / (a.own * pow(c.own, 0.75))) AS weight FROM p JOIN o a ON a.word = p.word JOIN o c ON c.word = p.context, e)
+          SELECT CAST(word AS INTEGER) AS word, count(*) AS contexts, CAST(sum(n) AS BIGINT) AS n, round(sum(weight), 4) AS weight FROM w WHERE weight > 0 GROUP BY word""",
         "index_stats": "SELECT count(*) AS index_size, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim FROM embeddings",
         "faithfulness": f"WITH {FAITH} SELECT conv_id, turn, CAST(faithfulness AS DOUBLE) AS faithfulness FROM faith",
         "kind_split": f"WITH {TWO} SELECT vec_id, CASE WHEN block_type = 'chart' THEN 1 ELSE 2 END AS branch FROM k",

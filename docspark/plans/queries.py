@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
-from docspark.operators import charts, chunking, clustered, generation, images, index, layout, long_documents, markdown, patterns, retrieval
+from docspark.operators import charts, chunking, clustered, generation, images, index, layout, learned_vectors, long_documents, markdown, patterns, retrieval
 from docspark.plans import benchmark, pipeline, shared
 from docspark.sources import backends, sinks
 
@@ -379,6 +379,13 @@ def visual_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "doc_id")
 
 
+def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What vectors are learned from: for every bucket of words its neighbours, how often they meet, and their mutual information."""
+    pairs = shared.stash(learned_vectors.near_words(table(spark, sf_dir, "documents"), 1 << 15), "pairs")  # read twice
+    found = learned_vectors.weighed(pairs)
+    return found.groupBy("word").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.size(held(spark, sf_dir))
 
@@ -485,7 +492,7 @@ QUERIES = [
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
     fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
-    prompt_render, visual_chunk, visual_chunks, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
+    prompt_render, visual_chunk, visual_chunks, near_words, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 
 
