@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Iterator
+import threading
+import time
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.text import strip
+from docspark.operators import prompt_ledger
+
 # The texts of prompts and stubs.
 SYSTEM_PROMPT = """Ты — интеллектуальный ассистент для анализа документов. 
 Отвечай ТОЛЬКО на основе предоставленного контекста.
@@ -81,6 +88,10 @@ class Endpoint:
     top_p: float = 0.1
     temperature: float = 0.6
     timeout: float = 60.0
+    #: Calls that a task has under way together, further tries of a call, and the wait before the first of them in seconds.
+    concurrency: int = 8
+    retries: int = 3
+    backoff: float = 0.25
 
     @property
     def usable(self) -> bool:
@@ -98,64 +109,93 @@ class Endpoint:
         except Exception:
             return False
 
+    def body(self, before: list[dict], prompt: str) -> dict:
+        own = {"model": self.model, "max_tokens": self.max_tokens, "top_p": self.top_p, "temperature": self.temperature}
+        return own | {"messages": [*before, {"role": "user", "content": prompt}]}
+
+    def send(self, session, before: list[dict], prompt: str) -> str | None:
+        """What the endpoint says to one prompt, as JSON text; None after a refusal, or after the last try.
+
+        Tries again after 429, 5xx and broken connections, each time after twice the wait, or as long as the endpoint asks
+        for. Calls carry the prompt's hash as an idempotency key, since a task may run again.
+        """
+        import requests
+
+        headers = {"Accept": "application/json", "Content-Type": "application/json", "Authorization": self.key, "Idempotency-Key": hashlib.sha256(prompt.encode()).hexdigest()}
+        for tried in range(self.retries + 1):
+            wait = self.backoff * 2**tried
+            try:
+                got = session.post(self.url, headers=headers, data=json.dumps(self.body(before, prompt)), timeout=self.timeout)
+                if got.status_code == 200:
+                    return got.text
+                if got.status_code != 429 and got.status_code < 500:
+                    return None
+                asked = got.headers.get("Retry-After", "")
+                wait = max(wait, float(asked)) if asked.isdigit() else wait
+            except requests.RequestException:
+                pass
+            if tried < self.retries:
+                time.sleep(min(wait, self.timeout))
+        return None
+
+    def send_all(self, before: list[dict], prompts: list[str | None]) -> list[str | None]:
+        """What is said to each prompt, with at most `concurrency` calls under way; nothing is said to null."""
+        import requests
+
+        own = threading.local()
 
-def answers(asked: DataFrame, endpoint: Endpoint | None = None) -> DataFrame:
+        def one(prompt: str | None) -> str | None:
+            if prompt is None:
+                return None
+            if not hasattr(own, "session"):
+                own.session = requests.Session()
+            return self.send(own.session, before, prompt)
+
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            return list(pool.map(one, prompts))
+
+
+def answers(asked: DataFrame, endpoint: Endpoint | None = None, ledger: str | None = None) -> DataFrame:
     """asked (…, question, context) with answers; a failed call gives the stub of its row."""
     if endpoint is None or not endpoint.usable:
         return stub_answers(asked)
     ready = stub_answers(asked).withColumn("__prompt", user_prompt(F.col("context"), F.col("question")))
+    said = _said(ready, endpoint, [{"role": "system", "content": SYSTEM_PROMPT}], ledger)
+    answer, used = _part("$.choices[0].message.content"), ("prompt_tokens", "completion_tokens", "total_tokens")
+    usage = F.struct(*(F.coalesce(_part(f"$.usage.{k}").try_cast("int"), F.lit(0)).alias(k) for k in used))
+    told = {"answer": answer, "model": F.lit(endpoint.model), "usage": usage}
+    return said.withColumns({k: F.when(answer.isNotNull(), c).otherwise(F.col(k)) for k, c in told.items()}).drop("__said")
 
-    def put(row: dict, said: dict) -> None:
-        usage = said.get("usage", {})
-        row |= {"answer": said["choices"][0]["message"]["content"], "model": endpoint.model}
-        row["usage"] = {k: usage.get(k, 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
-
-    return _each_sent(ready, endpoint, [{"role": "system", "content": SYSTEM_PROMPT}], put)
 
-
-def describe_charts(analysed: DataFrame, endpoint: Endpoint | None = None) -> DataFrame:
+def describe_charts(analysed: DataFrame, endpoint: Endpoint | None = None, ledger: str | None = None) -> DataFrame:
     """analysed (…, chart_subtype_ru, blip_caption, ocr_text, gpt_description) with descriptions by the endpoint; without
     one, or after a failed call, the description stays as it is."""
     if endpoint is None or not endpoint.usable:
         return analysed
     ready = analysed.withColumn("__prompt", chart_prompt(F.col("chart_subtype_ru"), F.col("blip_caption"), F.col("ocr_text")))
+    text = F.nullif(strip(_part("$.choices[0].message.content")), F.lit(""))
+    return _said(ready, endpoint, [], ledger).withColumn("gpt_description", F.coalesce(text, "gpt_description")).drop("__said")
 
-    def put(row: dict, said: dict) -> None:
-        text = (said["choices"][0]["message"]["content"] or "").strip()
-        row["gpt_description"] = text or row["gpt_description"]
 
-    return _each_sent(ready, endpoint, [], put)
+def _part(path: str) -> Column:
+    return F.get_json_object("__said", path)
 
 
-def _each_sent(ready: DataFrame, endpoint: Endpoint, before: list[dict], put: Callable[[dict, dict], None]) -> DataFrame:
-    """Sends each row's __prompt, and puts what is said into the row; a row whose call fails stays as it is.
+def _said(ready: DataFrame, endpoint: Endpoint, before: list[dict], ledger: str | None) -> DataFrame:
+    """ready with __said, what the endpoint says to __prompt, in the place of __prompt; null after a failed call.
 
-    A task may run again, so calls carry the prompt's hash as an idempotency key.
+    Without a ledger each row's prompt is sent where the row is, whenever the result is worked out. With one the prompts
+    are sent now, equal ones once, and only those to which the ledger holds no answer.
     """
-    schema = ready.drop("__prompt").schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+    if ledger:
+        return prompt_ledger.answered(ready, endpoint, before, ledger)
 
-        import requests
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = endpoint.send_all(before, batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string())], names=[*batch.schema.names[:-1], "__said"])
 
-        with requests.Session() as session:
-            for frame in frames:
-                rows = frame.to_dict("records")
-                for row in rows:
-                    prompt = row.pop("__prompt")
-                    body = {"model": endpoint.model, "max_tokens": endpoint.max_tokens, "top_p": endpoint.top_p, "temperature": endpoint.temperature}
-                    body["messages"] = [*before, {"role": "user", "content": prompt}]
-                    headers = {"Accept": "application/json", "Content-Type": "application/json", "Authorization": endpoint.key, "Idempotency-Key": hashlib.sha256(prompt.encode()).hexdigest()}
-                    try:
-                        got = session.post(endpoint.url, headers=headers, data=json.dumps(body), timeout=endpoint.timeout)
-                        if got.status_code == 200:
-                            put(row, got.json())
-                    except Exception:  # the row keeps what it has
-                        continue
-                yield pd.DataFrame(rows, columns=schema.names)
-
-    return ready.mapInPandas(run, schema)
+    return ready.mapInArrow(run, ready.drop("__prompt").schema.add("__said", "string"))
 
 
 def no_index(questions: DataFrame) -> DataFrame:

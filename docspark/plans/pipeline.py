@@ -12,7 +12,7 @@ from docspark.plans.shared import stash
 from docspark.sources import backends
 
 
-def image_blocks(found: DataFrame, endpoint: generation.Endpoint | None = None) -> DataFrame:
+def image_blocks(found: DataFrame, endpoint: generation.Endpoint | None = None, ledger: str | None = None) -> DataFrame:
     """Blocks of images (doc_id, page_num, idx, png, image_path): charts with their analysis, then other images.
 
     With an endpoint that can be used charts are described by it.
@@ -24,7 +24,7 @@ def image_blocks(found: DataFrame, endpoint: generation.Endpoint | None = None)
     read = drawn.withColumn("logits", backends.image_logits(F.col("png"), list(charts.SUBTYPES))).withColumn("raw_ocr", backends.ocr_text(F.col("png"))).withColumn("blip_caption", backends.caption(F.col("png"))).withColumn("num_lines", backends.line_count(F.col("png")))
     coloured = read.withColumn("clusters", backends.pixel_clusters(F.col("png"))).withColumn("colours", charts.dominant_of(F.col("clusters")))
     analysed = charts.analyse(coloured).withColumns({c: F.col(f"colours.{c}") for c in ("dominant_colors", "num_color_segments")}).drop("clusters", "colours", "png", "logits")
-    analysed = generation.describe_charts(analysed, endpoint)
+    analysed = generation.describe_charts(analysed, endpoint, ledger)
     chart = charts.chart_struct(analysed).select("doc_id", F.col("idx").alias("block_no"), "page_num", F.lit("chart").alias("block_type"), chunking.chart_text(F.struct("chart_subtype_ru", "page_num", "gpt_description", "ocr_text")).alias("text"), "chart", F.lit(1).alias("branch"))
     photo = other.select("doc_id", F.col("idx").alias("block_no"), "page_num", F.lit("image").alias("block_type"), F.lit(None).cast("string").alias("text"), F.struct("image_path", F.lit(None).cast("string").alias("path"), backends.ocr_text(F.col("png")).alias("ocr_text")).alias("image"), F.lit(2).alias("branch"))
     return chart.unionByName(photo, allowMissingColumns=True)
@@ -53,6 +53,7 @@ class Pipeline:
     overlap: int = 100
     least: int = 50
     endpoint: generation.Endpoint = field(default_factory=generation.Endpoint)
+    ledger: str | None = None  # a folder for what the endpoint has said
 
     def chunks(self, blocks: DataFrame) -> DataFrame:
         """Blocks to embedded chunks."""
@@ -78,7 +79,7 @@ class Pipeline:
         if image_dir:
             named = named.withColumn("image_path", F.concat(F.lit(image_dir.rstrip("/") + "/"), "image_path"))
             backends.save_images(named.select(F.col("image_path").alias("name"), "png"), image_dir).count()
-        return self.ingest(stash(ordered_union(text, image_blocks(named, self.endpoint)), "blocks"))  # for chunks and counts
+        return self.ingest(stash(ordered_union(text, image_blocks(named, self.endpoint, self.ledger)), "blocks"))  # for chunks and counts
 
     def query(self, questions: DataFrame, k: int | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame]:
         """questions (query_id, question) to (answers, sources)."""
@@ -94,7 +95,7 @@ class Pipeline:
         hits = best.join(held.drop("vec"), "row_id")
         part = retrieval.fragment(F.col("rank"), F.col("text"), F.col("page"), F.col("section"), F.col("type"))
         context = retrieval.contexts(hits, questions, part)
-        return generation.answers(questions.join(context, "query_id"), self.endpoint), retrieval.sources(hits)
+        return generation.answers(questions.join(context, "query_id"), self.endpoint, self.ledger), retrieval.sources(hits)
 
     def get_stats(self) -> DataFrame:
         """One row about the index and the endpoint."""
