@@ -287,6 +287,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT query_id, b.text AS question, '[LLM API недоступен — показываю найденный контекст]' || {NL} || {NL} || 'Вопрос: ' || b.text || {NL} || {NL} || 'Найденные фрагменты:' || {NL} || context AS answer,
         'stub' AS model, substr(context, 1, 200) || '...' AS context_used FROM told JOIN benchmark b ON b.item_id = query_id"""
     stub = f"'[LLM API недоступен — показываю найденный контекст]' || {NL} || {NL} || 'Вопрос: Q' || query_id || {NL} || {NL} || 'Найденные фрагменты:' || {NL} || context"
+    far = "(r - x.r) * (r - x.r) + (g - x.g) * (g - x.g) + (b - x.b) * (b - x.b)"
+    draw = lambda step: f"-ln((CAST(CAST('0x' || substr(md5({step} || ':' || r || ':' || g || ':' || b), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0)"
     found = {
         "block_classify": f"WITH {BLOCKS} SELECT doc_id, block_no, page_num, block_type FROM blocks",
         "block_type_counts": f"WITH {BLOCKS} SELECT block_type, count(*) AS n FROM blocks GROUP BY block_type",
@@ -325,6 +327,21 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT *, n / sum(n) OVER (PARTITION BY image_no) AS share FROM c), k AS (SELECT *, {COLOR} || ' (#' || printf('%02x%02x%02x', r, g, b) || ', ' || CAST(round_even(share * 100, 0) AS INTEGER) || '%)' AS t FROM s
             WHERE share >= 0.05 AND NOT (r > 230 AND g > 230 AND b > 230) AND NOT (r < 25 AND g < 25 AND b < 25))
           SELECT image_no, array_to_string((list(t ORDER BY n DESC, cluster))[1:5], '; ') AS dominant_colors, CAST(count(*) AS INTEGER) AS num_color_segments FROM k GROUP BY image_no""",
+        "colour_groups": f"""WITH RECURSIVE {COLOURS}, c AS (SELECT image_no, r, g, b, count(*) AS n FROM colours WHERE image_no IS NOT NULL GROUP BY ALL),
+          seeds AS (
+            SELECT 1 AS step, image_no, [{{'r': CAST(won.r AS DOUBLE), 'g': CAST(won.g AS DOUBLE), 'b': CAST(won.b AS DOUBLE)}}] AS centres FROM (SELECT image_no, min({{'race': {draw("0")} / n, 'r': r, 'g': g, 'b': b}}) AS won FROM c GROUP BY image_no)
+            UNION ALL SELECT step + 1, image_no, list_append(centres, {{'r': CAST(won.r AS DOUBLE), 'g': CAST(won.g AS DOUBLE), 'b': CAST(won.b AS DOUBLE)}})
+            FROM (SELECT step, image_no, centres, min({{'race': {draw("step")} / (n * far), 'r': r, 'g': g, 'b': b}}) AS won
+              FROM (SELECT s.*, r, g, b, n, list_min(list_transform(centres, lambda x: {far})) AS far FROM seeds s JOIN c USING (image_no) WHERE step < 5) WHERE far > 0 GROUP BY step, image_no, centres)
+          ), rounds AS (
+            SELECT 0 AS step, image_no, arg_max(centres, step) AS centres FROM seeds GROUP BY image_no
+            UNION ALL SELECT step + 1, image_no, list_transform(centres, lambda x, i: coalesce(list_filter(means, lambda m: m.i = i)[1].c, x))
+            FROM (SELECT step, image_no, centres, list({{'i': i, 'c': {{'r': r, 'g': g, 'b': b}}}}) AS means FROM (
+              SELECT step, image_no, centres, i, sum(r * n) / sum(n) AS r, sum(g * n) / sum(n) AS g, sum(b * n) / sum(n) AS b
+              FROM (SELECT s.*, r, g, b, n, list_transform(centres, lambda x: {far}) AS d, list_position(d, list_min(d)) AS i FROM rounds s JOIN c USING (image_no) WHERE step < 20) GROUP BY step, image_no, centres, i) GROUP BY step, image_no, centres)
+          ), last AS (SELECT image_no, r, g, b, n, list_transform(centres, lambda x: {far}) AS d, list_position(d, list_min(d)) AS i FROM rounds JOIN c USING (image_no) WHERE step = 20)
+          SELECT image_no, CAST(i - 1 AS INTEGER) AS cluster, CAST(trunc(sum(r * n) / sum(n)) AS INTEGER) AS r, CAST(trunc(sum(g * n) / sum(n)) AS INTEGER) AS g, CAST(trunc(sum(b * n) / sum(n)) AS INTEGER) AS b, CAST(sum(n) AS BIGINT) AS n
+          FROM last GROUP BY image_no, i""",
         "ocr_lines": f"""WITH c AS (SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(replace(coalesce(text, ''), ' ', {NL}), {NL}), lambda x: trim(x, {S})), lambda x: length(x) > 2 OR regexp_matches(x, '^{DIGIT}+$')), {NL}), '') AS ocr_text FROM documents)
           SELECT doc_id, ocr_text, length(trim(ocr_text, {S})) > 10 AS has_text FROM c""",
         "ocr_boxes": f"""WITH w AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations), b AS (

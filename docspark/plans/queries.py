@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import metrics
 from docspark.functions.text import keywords, text_of
 from docspark.functions.vectors import norm
-from docspark.operators import charts, chunking, clustered, generation, images, index, layout, learned_vectors, long_documents, markdown, patterns, retrieval
+from docspark.operators import charts, chunking, clustered, colour_clusters, generation, images, index, layout, learned_vectors, long_documents, markdown, patterns, retrieval
 from docspark.plans import benchmark, pipeline, shared
 from docspark.sources import backends, sinks
 
@@ -223,6 +223,11 @@ def dominant_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_no", F.array_join("dominant_colors", "; ").alias("dominant_colors"), "num_color_segments")
 
 
+def colour_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of all images clustered together: five seeds and twenty rounds each."""
+    return colour_clusters.clusters(colours(spark, sf_dir), "image_no")
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.replace(text_of(F.col("text")), F.lit(" "), F.lit("\n"))
     return table(spark, sf_dir, "documents").select("doc_id", charts.clean_ocr(broken).alias("ocr_text"), charts.has_text(charts.clean_ocr(broken)).alias("has_text"))
@@ -490,7 +495,7 @@ def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections, sections_long, chunk_long,
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
-    image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, ocr_lines, ocr_boxes, keyword_list,
+    image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, colour_groups, ocr_lines, ocr_boxes, keyword_list,
     fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
     prompt_render, visual_chunk, visual_chunks, near_words, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
