@@ -412,4 +412,5 @@ def oracle_sql() -> dict[str, str]:
         "bleu2": f"WITH {BLEU} SELECT conv_id, turn, CAST(bleu AS DOUBLE) AS bleu FROM bleus",
     }
     # Other ways to the same rows.
-    return found | {"chunk_long": found["chunk_sections"], "stream_dedup_number": found["dedup_limit_number"]}
+    as_text = {f"{x}_sql": found[x] for x in ("block_classify", "chunk_sections", "faithfulness")}
+    return found | as_text | {"chunk_long": found["chunk_sections"], "stream_dedup_number": found["dedup_limit_number"]}

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import metrics
-from docspark.functions.text import keywords, text_of
+from docspark.functions.text import SPACE_CHARS, keywords, text_of
 from docspark.functions.vectors import norm
 from docspark.operators import charts, chunking, clustered, colour_clusters, generation, images, index, layout, learned_vectors, long_documents, markdown, patterns, retrieval
-from docspark.plans import benchmark, pipeline, shared
+from docspark.plans import benchmark, pipeline, shared, sql_functions
 from docspark.sources import backends, sinks
 
 ITEM_MARKS = ["• ", "- ", "1. ", "2) ", "– ", "0.52 ", "", "► "]
@@ -459,6 +459,19 @@ def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchanges(spark, sf_dir).select("conv_id", "turn", metrics.faithfulness(F.col("answer"), F.col("context_used")).alias("faithfulness"))
 
 
+def block_classify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As SQL text over the session's functions; so are the next two."""
+    return sql_functions.register(spark).sql(sql_functions.BLOCKS, documents=table(spark, sf_dir, "documents"))
+
+
+def chunk_sections_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_functions.register(spark).sql(sql_functions.CHUNKS, markdowns=built(spark, sf_dir), spaces=SPACE_CHARS)
+
+
+def faithfulness_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_functions.register(spark).sql(sql_functions.FAITHFULNESS, exchanges=exchanges(spark, sf_dir))
+
+
 def bleu2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchanges(spark, sf_dir).select("conv_id", "turn", metrics.bleu(F.col("reference"), F.col("answer")).alias("bleu"))
 
@@ -497,7 +510,7 @@ QUERIES = [
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, colour_groups, ocr_lines, ocr_boxes, keyword_list,
     fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
-    prompt_render, visual_chunk, visual_chunks, near_words, index_stats, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
+    prompt_render, visual_chunk, visual_chunks, near_words, index_stats, block_classify_sql, chunk_sections_sql, faithfulness_sql, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 
 
