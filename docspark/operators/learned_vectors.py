@@ -13,11 +13,11 @@ zero vector. Repeated rows count as often as they stand there. Other columns are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +29,17 @@ from docspark.plans.shared import drop_stash, stash
 HELD = 1 << 22
 
 
-def buckets(text: Column, words: int) -> Column:
-    """array<int>: the bucket of each word of a text, in order."""
-    found = F.regexp_extract_all(F.lower(text_of(text)), F.lit(WORD), F.lit(0))
-    return F.transform(found, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % words).cast("array<int>")
+def words_of(text: Column) -> Column:
+    """array<string>: the words of a text in lower case, in order."""
+    return F.regexp_extract_all(F.lower(text_of(text)), F.lit(WORD), F.lit(0))
+
+
+def buckets(column: pa.ListArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words of a batch, and where each text's begin and end; each distinct word is hashed once."""
+    flat = column.flatten().dictionary_encode()
+    hashed = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4]) % words for w in flat.dictionary.to_pylist()], np.int64)  # noqa: S324
+    offs = column.offsets.to_numpy()
+    return hashed[flat.indices.to_numpy()], offs - offs[0]
 
 
 def near_words(docs: DataFrame, words: int, reach: int = 4, text: str = "text") -> DataFrame:
@@ -46,25 +53,28 @@ def near_words(docs: DataFrame, words: int, reach: int = 4, text: str = "text")
         held, size = [], 0
         for batch in batches:
             column = batch.column(0)
-            word = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            own = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-            step = HELD // (2 * reach)
+            word, offs = buckets(column, words)
+            own = np.repeat(np.arange(len(column)), np.diff(offs))
+            step = HELD // reach
             for at in range(0, len(word), step):  # a very long text is counted in parts as well
                 part, rows = word[at : at + step + reach], own[at : at + step + reach]
                 for d in range(1, reach + 1):
                     m = max(0, min(step, len(part) - d))
                     same = rows[:m] == rows[d : d + m]
                     a, b = part[:m][same], part[d : d + m][same]
-                    held += [a * words + b, b * words + a]
-                    size += 2 * len(a)
+                    held.append(np.minimum(a, b) * words + np.maximum(a, b))
+                    size += len(a)
                 if size >= HELD:
                     yield counted(held)
                     held, size = [], 0
         if size:
             yield counted(held)
 
-    parts = docs.select(buckets(F.col(text), words).alias("b")).mapInArrow(run, "word int, context int, n bigint")
-    return parts.groupBy("word", "context").agg(F.sum("n").alias("n"))
+    parts = docs.select(words_of(F.col(text)).alias("b")).mapInArrow(run, "word int, context int, n bigint")
+    once = parts.groupBy("word", "context").agg(F.sum("n").alias("n"))  # the lower bucket first
+    pair = lambda a, b, n: F.struct(F.col(a).alias("word"), F.col(b).alias("context"), n.alias("n"))
+    both = F.array(pair("word", "context", F.col("n")), pair("context", "word", F.col("n")))
+    return once.select(F.inline(F.when(F.col("word") == F.col("context"), F.array(pair("word", "word", F.col("n") * 2))).otherwise(both)))
 
 
 def weighed(pairs: DataFrame, power: float = 0.75) -> DataFrame:
@@ -153,9 +163,12 @@ def embed(df: DataFrame, model: Model, text: str = "text", name: str = "vec") ->
     """df with the unit vectors of its texts; the model goes to all tasks once."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = held.value
         for part in parts:
-            yield pd.Series(list(held.value.of(part.tolist())))
+            word, offs = buckets(part, len(own.weights))
+            made = own.of([word[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)])
+            yield pa.array(list(made), pa.list_(pa.float64()))
 
-    return df.withColumn(name, run(buckets(F.col(text), len(model.weights))))
+    return df.withColumn(name, run(words_of(F.col(text))))
