@@ -27,6 +27,11 @@ from docspark.plans.shared import drop_stash, stash
 
 #: Pairs that a task holds before it counts them and passes the counts on.
 HELD = 1 << 22
+#: The least number of places that pairs are dealt to, and about how many pairs a place has at most.
+PLACES, SPAN = 1 << 10, 1 << 20
+BLOCK_NAMES = ["place", "wide", "size", "steps", "n"]
+BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+BLOCKS = "place int, wide int, size int, steps binary, n binary"
 
 
 def words_of(text: Column) -> Column:
@@ -42,12 +47,39 @@ def buckets(column: pa.ListArray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed[flat.indices.to_numpy()], offs - offs[0]
 
 
-def near_words(docs: DataFrame, words: int, reach: int = 4, text: str = "text") -> DataFrame:
-    """(word, context, n): how often two buckets stand at most `reach` words apart in a text, from either side."""
+def _places(words: int) -> tuple[int, int]:
+    """How many places pairs are dealt to by their number, and how many numbers a place has at most (SPAN, about)."""
+    places = max(PLACES, -(-words * words // SPAN))
+    return places, -(-words * words // places)
+
+
+def _packed(place: int, values: np.ndarray, n: np.ndarray) -> tuple:
+    """Ascending numbers as steps from one to the next, and counts, each in as few bytes as the largest needs."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    steps, n = (x.astype(np.min_scalar_type(x.max())) for x in (steps, n))
+    return place, steps.itemsize, n.itemsize, steps.tobytes(), n.tobytes()
+
+
+def _unpacked(wide: int, size: int, steps: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(steps, f"u{wide}"), dtype=np.int64), np.frombuffer(n, f"u{size}").astype(np.int64)
 
-    def counted(codes: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((code // words).astype(np.int32)), pa.array((code % words).astype(np.int32)), pa.array(n)], names=["word", "context", "n"])
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
+
+
+def pair_blocks(docs: DataFrame, words: int, reach: int = 4, text: str = "text") -> DataFrame:
+    """How often two buckets stand at most `reach` words apart in a text: a packed row for each place, each pair once,
+    the lower bucket first. Tasks count before they pass on; a place adds up in an array of at most about SPAN counts,
+    whatever the corpus."""
+    places, span = _places(words)
+    kind = np.uint32 if places * span < 1 << 32 else np.uint64
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        ends = np.searchsorted(code, np.arange(places + 1, dtype=np.uint64) * np.uint64(span))
+        filled = np.flatnonzero(np.diff(ends))
+        return _batch([_packed(p, code[ends[p] : ends[p + 1]] - kind(p * span), n[ends[p] : ends[p + 1]]) for p in filled.tolist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -62,7 +94,8 @@ def near_words(docs: DataFrame, words: int, reach: int = 4, text: str = "text")
                     m = max(0, min(step, len(part) - d))
                     same = rows[:m] == rows[d : d + m]
                     a, b = part[:m][same], part[d : d + m][same]
-                    held.append(np.minimum(a, b) * words + np.maximum(a, b))
+                    value, place = np.divmod(np.minimum(a, b) * words + np.maximum(a, b), places)
+                    held.append((place * span + value).astype(kind))
                     size += len(a)
                 if size >= HELD:
                     yield counted(held)
@@ -70,22 +103,113 @@ def near_words(docs: DataFrame, words: int, reach: int = 4, text: str = "text")
         if size:
             yield counted(held)
 
-    parts = docs.select(words_of(F.col(text)).alias("b")).mapInArrow(run, "word int, context int, n bigint")
-    once = parts.groupBy("word", "context").agg(F.sum("n").alias("n"))  # the lower bucket first
-    pair = lambda a, b, n: F.struct(F.col(a).alias("word"), F.col(b).alias("context"), n.alias("n"))
-    both = F.array(pair("word", "context", F.col("n")), pair("context", "word", F.col("n")))
-    return once.select(F.inline(F.when(F.col("word") == F.col("context"), F.array(pair("word", "word", F.col("n") * 2))).otherwise(both)))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, at = np.zeros(span, np.int64), None
+        for batch in batches:
+            for place, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at not in (None, place):
+                    yield whole(at, sums)
+                    sums[:] = 0
+                values, n = _unpacked(*packed)
+                sums[values] += n  # a row has a number once
+                at = place
+        if at is not None:
+            yield whole(at, sums)
+
+    def whole(place: int, sums: np.ndarray) -> pa.RecordBatch:
+        values = np.flatnonzero(sums)
+        return _batch([_packed(place, values, sums[values])])
+
+    parts = docs.select(words_of(F.col(text)).alias("b")).mapInArrow(run, BLOCKS)
+    return parts.repartition("place").sortWithinPartitions("place").mapInArrow(merged, BLOCKS)
+
+
+def _pairs_of(row: tuple, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, n) of a packed row, both directions of each pair; a bucket beside itself counts twice."""
+    place, *packed = row
+    values, n = _unpacked(*packed)
+    low, high = np.divmod(values * _places(words)[0] + place, words)
+    two = low != high
+    return np.concatenate([low, high[two]]), np.concatenate([high, low[two]]), np.concatenate([np.where(two, n, 2 * n), n[two]])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def near_words(docs: DataFrame, words: int, reach: int = 4, text: str = "text") -> DataFrame:
+    """(word, context, n): how often two buckets stand at most `reach` words apart in a text, from either side."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            word, context, n = _pairs_of(row, words)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(context, pa.int32()), pa.array(n)], names=["word", "context", "n"])
+
+    return pair_blocks(docs, words, reach, text).mapInArrow(run, "word int, context int, n bigint")
+
+
+def totals(blocks: DataFrame, words: int) -> np.ndarray:
+    """How many pairs each bucket is in: one number a bucket, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(words, np.int64)
+        for row in _rows(batches):
+            word, _, n = _pairs_of(row, words)
+            np.add.at(own, word, n)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at])], names=["word", "n"])
+
+    out = np.zeros(words, np.int64)
+    for word, n in blocks.mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n")).collect():
+        out[word] = n
+    return out
+
+
+class _Weights:
+    """Positive mutual information of a packed row's pairs; contexts' counts are raised to `power`."""
+
+    def __init__(self, own: np.ndarray, power: float):
+        self.own = own.astype(np.float64)
+        self.other = self.own**power
+        self.powers = self.other.sum()
+
+    def of(self, row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, context, n, weight) of those above 0."""
+        word, context, n = _pairs_of(row, len(self.own))
+        weight = np.log(n * self.powers / (self.own[word] * self.other[context]))
+        up = weight > 0
+        return word[up], context[up], n[up], weight[up]
+
+
+def weighed(blocks: DataFrame, own: np.ndarray, power: float = 0.75) -> DataFrame:
+    """(word, context, weight) of pairs whose positive mutual information is above 0."""
+    held = blocks.sparkSession.sparkContext.broadcast(_Weights(own, power))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            word, context, _, weight = held.value.of(row)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(context, pa.int32()), pa.array(weight.astype(np.float32))], names=["word", "context", "weight"])
+
+    return blocks.mapInArrow(run, "word int, context int, weight float")
+
+
+def neighbourhoods(blocks: DataFrame, own: np.ndarray, power: float = 0.75) -> DataFrame:
+    """(word, contexts, n, weight): for each bucket its contexts of positive mutual information, how often they meet, and its sum."""
+    held, words = blocks.sparkSession.sparkContext.broadcast(_Weights(own, power)), len(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, met, sums = np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(words)
+        for row in _rows(batches):
+            word, _, n, weight = held.value.of(row)
+            contexts += np.bincount(word, minlength=words)
+            np.add.at(met, word, n)
+            sums += np.bincount(word, weights=weight, minlength=words)
+        at = np.flatnonzero(contexts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(contexts[at]), pa.array(met[at]), pa.array(sums[at])], names=["word", "contexts", "n", "weight"])
 
-def weighed(pairs: DataFrame, power: float = 0.75) -> DataFrame:
-    """(word, context, n, weight) of pairs whose positive mutual information is above 0; contexts' counts are raised to `power`."""
-    totals = pairs.groupBy("word").agg(F.sum("n").alias("own"))  # as many rows as there are buckets, at most
-    every = totals.agg(F.sum("own").cast("double").alias("all"), F.sum(F.pow("own", F.lit(power))).alias("powers"))
-    own = totals.join(F.broadcast(every), F.lit(True))  # one row
-    other = totals.select(F.col("word").alias("context"), F.pow("own", F.lit(power)).alias("other"))
-    met = pairs.join(F.broadcast(own), "word").join(F.broadcast(other), "context")
-    weight = F.log(F.col("n") * F.col("powers") / (F.col("own") * F.col("other")))
-    return met.select("word", "context", "n", weight.alias("weight")).filter("weight > 0")
+    parts = blocks.mapInArrow(run, "word int, contexts bigint, n bigint, weight double")
+    return parts.groupBy("word").agg(F.sum("contexts").alias("contexts"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -115,14 +239,12 @@ def fit(docs: DataFrame, dim: int = 384, words: int = 1 << 15, rounds: int = 2,
     rest. Directions whose value isn't above 0 are zero. The same rows, parameters and seed give the same
     model: each bucket's row of the matrix is in order, so its product doesn't hang on partitions.
     """
-    pairs = stash(near_words(docs, words, reach, text), "pairs")
-    entry = F.struct("context", F.col("weight").cast("float").alias("weight"))
+    pairs = stash(pair_blocks(docs, words, reach, text), "pairs")
+    seen = totals(pairs, words).astype(np.float64)
+    entry = F.struct("context", "weight")
     # A bucket meets each other bucket once, so a row has at most `words` entries.
-    lines = weighed(pairs).groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("line"))
+    lines = weighed(pairs, seen).groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("line"))
     matrix = stash(lines.select("word", F.col("line.context").alias("context"), F.col("line.weight").alias("weight")), "matrix")
-    seen = np.zeros(words)
-    for word, n in pairs.groupBy("word").agg(F.sum("n")).collect():
-        seen[word] = n
     size = min(dim + 16, words)
     block = np.linalg.qr(np.random.default_rng(seed).normal(size=(words, size)))[0]
     for _ in range(rounds):

@@ -386,9 +386,9 @@ def visual_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What vectors are learned from: for every bucket of words its neighbours, how often they meet, and their mutual information."""
-    pairs = shared.stash(learned_vectors.near_words(table(spark, sf_dir, "documents"), 1 << 15), "pairs")  # read twice
-    found = learned_vectors.weighed(pairs)
-    return found.groupBy("word").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    pairs = shared.stash(learned_vectors.pair_blocks(table(spark, sf_dir, "documents"), 1 << 15), "pairs")  # read twice
+    found = learned_vectors.neighbourhoods(pairs, learned_vectors.totals(pairs, 1 << 15))
+    return found.withColumn("weight", F.round("weight", 4))
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
