@@ -380,6 +380,9 @@ def oracle_sql() -> dict[str, str]:
           o AS (SELECT word, CAST(sum(n) AS DOUBLE) AS own FROM p GROUP BY word), e AS (SELECT sum(pow(own, 0.75)) AS powers FROM o),
           w AS (SELECT p.word, n, ln(n * powers / (a.own * pow(c.own, 0.75))) AS weight FROM p JOIN o a ON a.word = p.word JOIN o c ON c.word = p.context, e)
           SELECT CAST(word AS INTEGER) AS word, count(*) AS contexts, CAST(sum(n) AS BIGINT) AS n, round(sum(weight), 4) AS weight FROM w WHERE weight > 0 GROUP BY word""",
+        "neighbour_graph": f"""WITH {VECS}, p AS (SELECT min(row_id) AS point, v FROM units GROUP BY v),
+          s AS (SELECT a.point, b.point AS other, round(list_inner_product(a.v, b.v), 12) AS score FROM p a JOIN p b ON a.point <> b.point)
+          SELECT point, CAST(rank AS INTEGER) AS rank, other, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY score DESC, other) AS rank FROM s) WHERE rank <= 15""",
         "index_stats": "SELECT count(*) AS index_size, CAST(max(len(embedding)) AS INTEGER) AS embedding_dim FROM embeddings",
         "faithfulness": f"WITH {FAITH} SELECT conv_id, turn, CAST(faithfulness AS DOUBLE) AS faithfulness FROM faith",
         "kind_split": f"WITH {TWO} SELECT vec_id, CASE WHEN block_type = 'chart' THEN 1 ELSE 2 END AS branch FROM k",

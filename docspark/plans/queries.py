@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import metrics
 from docspark.functions.text import SPACE_CHARS, keywords, text_of
 from docspark.functions.vectors import norm
-from docspark.operators import charts, chunking, clustered, colour_clusters, generation, images, index, layout, learned_vectors, long_documents, markdown, patterns, retrieval
+from docspark.operators import charts, chunking, clustered, colour_clusters, generation, images, index, layout, learned_vectors, long_documents, markdown, neighbour_map, patterns, retrieval
 from docspark.plans import benchmark, pipeline, shared, sql_functions
 from docspark.sources import backends, sinks
 
@@ -325,6 +325,17 @@ def topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("score", F.round("score", 4))
 
 
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen nearest others of every vector, equal ones taken together: what the plane view is drawn from."""
+    found, _ = neighbour_map.points(held(spark, sf_dir))
+    return neighbour_map.nearest(found, 15).withColumn("score", F.round("score", 4))
+
+
+def plane_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as places in a plane where neighbours stay neighbours."""
+    return neighbour_map.plane(held(spark, sf_dir))
+
+
 def topk_filtered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered search for every query: the best 3 k of each, of them the k best of the type."""
     best = retrieval.top_k_batch(held(spark, sf_dir), asked(spark, sf_dir), 30).withColumnRenamed("rank", "place")
@@ -509,7 +520,7 @@ QUERIES = [
     block_classify, block_type_counts, first_block_per_type, page_parse, list_render, table_row_split, table_render, markdown_build, sections, chunk_sections, sections_long, chunk_long,
     chunk_simple, chunk_stats, chunk_histogram, chunk_union_images, chart_markdown, image_markdown, image_size_filter, dedup_first, dedup_limit_number,
     image_summary, image_boxes, zero_shot_2class, image_kind_counts, zero_shot_argmax, color_name, dominant_share, colour_groups, ocr_lines, ocr_boxes, keyword_list,
-    fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, context_join, context_plain, context_numbered, source_projection, stub_answer,
+    fallback_desc, kind_split, chart_analysis, ordered_blocks, index_cycle, index_cleared, top_sources, ingest_stats, markdown_saved, results_saved, sample_bench, vec_normalize, topk_single, topk_filtered, topk_filtered_batch, topk_batch, topk_pruned, neighbour_graph, plane_map, context_join, context_plain, context_numbered, source_projection, stub_answer,
     prompt_render, visual_chunk, visual_chunks, near_words, index_stats, block_classify_sql, chunk_sections_sql, faithfulness_sql, faithfulness, bleu2, rouge_l, bench_summary, rag_answers,
 ]
 
