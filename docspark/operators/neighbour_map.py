@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.vectors import dot
+from docspark.functions.text import let
+from docspark.functions.vectors import dot, norm, unit
 from docspark.operators import clustered
-from docspark.operators.index import normalised
 from docspark.plans.shared import drop_stash, stash
 
 #: Forces are whole multiples of 2^-32 where they are added up.
@@ -37,7 +37,9 @@ PLACE = "point bigint, x double, y double, vx double, vy double"
 def points(index: DataFrame, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """((point, vec), (key, point)), written: distinct unit vectors, named by their smallest key, and each row's point."""
     finite = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = normalised(index.select(F.col(key).cast("bigint").alias(key), F.col("vec").cast("array<double>").alias("vec")).filter(finite))
+    # Each vector and its length are bound once: Catalyst would work out a column's length again for every component.
+    over = let(F.col("vec").cast("array<double>"), lambda v: let(norm(v), lambda n: unit(v, n)))
+    rows = index.filter(finite).select(F.col(key).cast("bigint").alias(key), over.alias("vec"))
     found = stash(rows.groupBy("vec").agg(F.min(key).alias("point")).select("point", "vec"), "points")
     return found, stash(rows.join(found, "vec").select(key, "point"), "members")
 

@@ -325,15 +325,19 @@ def topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("score", F.round("score", 4))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+
+
 def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen nearest others of every vector, equal ones taken together: what the plane view is drawn from."""
-    found, _ = neighbour_map.points(held(spark, sf_dir))
+    found, _ = neighbour_map.points(vectors(spark, sf_dir))
     return neighbour_map.nearest(found, 15).withColumn("score", F.round("score", 4))
 
 
 def plane_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index as places in a plane where neighbours stay neighbours."""
-    return neighbour_map.plane(held(spark, sf_dir))
+    return neighbour_map.plane(vectors(spark, sf_dir))
 
 
 def topk_filtered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
