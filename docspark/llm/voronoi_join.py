@@ -8,8 +8,9 @@ with x in the cell of pivot c', for every query q of pivot c,
 
 The (k + 1)-th largest lower bound over all rows is a score that every query of the group reaches k times without its own
 row, so a row is sent to just the groups where its upper bound is at least that. There blocks of queries meet blocks
-of rows as exact integer products. Groups are salted by blocks of rows where there are fewer than tasks. Ties are sent as well, so the result is exact whatever the pivots are; they are
-fitted on at most `sample` rows, and at most `most_pivots` of them and of their squared summaries are known to the driver.
+of rows as exact integer products, and a task keeps the k best of each query over all blocks it meets. Where there are fewer
+groups than tasks, a group's rows and queries are cut into slices that meet as a grid; both sides are shuffled, neither is
+broadcast. Ties are sent as well, so the result is exact whatever the pivots are; they are fitted on at most `sample` rows, and at most `most_pivots` of them and of their squared summaries are known to the driver.
 Rows travel packed, 2 bytes a number where that holds them. A hot group is two sides of an equi-join on its pivot, whose
 large partitions Spark splits (skew join); no block holds more than ROWS rows or QUERIES queries.
 
@@ -144,8 +145,8 @@ def _grouped(asked: DataFrame, pivots: np.ndarray, width: int) -> tuple[DataFram
     return asked.mapInArrow(rows, BLOCK), known
 
 
-def _regrouped(rows: DataFrame, width: int) -> DataFrame:
-    """Rows of a group into blocks of QUERIES."""
+def _regrouped(rows: DataFrame, width: int, slices: int) -> DataFrame:
+    """Rows of a group into blocks of QUERIES, by that many tasks a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(QUERIES)
@@ -156,7 +157,7 @@ def _regrouped(rows: DataFrame, width: int) -> DataFrame:
         if done := list(packer.rest()):
             yield _batches(done, ARROW)
 
-    return rows.repartition("grp").mapInArrow(run, BLOCK)
+    return rows.repartition("grp", F.pmod(F.xxhash64("rno"), F.lit(slices))).mapInArrow(run, BLOCK)
 
 
 def summarised(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,32 +254,86 @@ def _sent(blocks: DataFrame, bounds: Bounds, reached: np.ndarray, width: int) ->
     return blocks.mapInArrow(run, BLOCK)
 
 
+#: Hits that a task keeps at most of the queries it has met; beyond that it hands them on and begins anew.
+HELD_HITS = 1 << 20
+
+
+def _scores(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """rows @ wanted.T, exact: in single precision where its 24 bits hold every sum."""
+    most = int(np.abs(rows).max(initial=0)) * int(np.abs(wanted).max(initial=0)) * rows.shape[1]
+    return rows.astype(np.float32) @ wanted.T.astype(np.float32) if most < 1 << 24 else products(rows, wanted)
+
+
+class Best:
+    """The k best rows so far of each query of one block."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, known: np.ndarray, k: int):
+        self.qno, self.qids, self.qknown, self.k = queries, ids, known, k
+        self.least = np.full(len(queries), np.iinfo(np.int64).min)
+        self.hits = [np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64, np.int64)]  # query, score, known, id, rno
+
+    def __len__(self) -> int:
+        return len(self.hits[0])
+
+    def add(self, scores: np.ndarray, rno: np.ndarray, ids: np.ndarray, known: np.ndarray) -> None:
+        least = self.least
+        if (least == np.iinfo(np.int64).min).any() and len(rno) > self.k:  # own row aside, the k best of this block are as good
+            least = np.maximum(least, np.partition(scores, len(rno) - self.k - 1, axis=0)[len(rno) - self.k - 1].astype(np.int64))
+        if scores.dtype == np.float32:
+            least = np.maximum(least, -(1 << 24)).astype(np.float32)
+        at, query = np.nonzero(scores >= least)
+        own = rno[at] == self.qno[query]
+        at, query = at[~own], query[~own]
+        if not len(at):
+            return
+        new = (query, scores[at, query].astype(np.int64), known[at], ids[at], rno[at])
+        query, score, known, ids, rno = (np.concatenate(x) for x in zip(self.hits, new, strict=True))
+        order = np.lexsort((rno, ids, ~known, -score, query))
+        query = query[order]
+        begin = np.searchsorted(query, query)
+        keep = np.arange(len(query)) - begin < self.k
+        order = order[keep]
+        self.hits = [query[keep], score[order], known[order], ids[order], rno[order]]
+        query, score = self.hits[:2]
+        last = np.arange(len(query)) - np.searchsorted(query, query) == self.k - 1
+        self.least[query[last]] = score[last]
+
+    def batch(self) -> pa.RecordBatch:
+        query, score, known, ids, rno = self.hits
+        return pa.RecordBatch.from_pydict({"qno": self.qno[query], "query_id": pa.array(self.qids[query], mask=~self.qknown[query]), "rno": rno, "vec_id": pa.array(ids, mask=~known), "score": score})
+
+
 def _solved(met: DataFrame, k: int, width: int) -> DataFrame:
-    """(qno, query_id, rno, vec_id, score): of each block of rows the k best for each query that meets it."""
+    """(qno, query_id, rno, vec_id, score): of the blocks of rows that a task meets the k best for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, Best] = {}
+        held = 0
         for batch in batches:
             for row in batch.to_pylist():
                 rno, ids, known, vectors = _parts(row, width)
                 qno, qids, qknown, wanted = _parts({c: row[f"q_{c}"] for c in ("rno", "ids", "known", "vectors")}, width)
-                scores = products(vectors, wanted)
-                scores = np.where(rno[:, None] == qno, np.iinfo(np.int64).min, scores)
-                n = min(k, len(rno))
-                least = np.partition(scores, len(rno) - n, axis=0)[len(rno) - n]
-                at, query = np.nonzero((scores >= least) & (rno[:, None] != qno))
-                order = np.lexsort((rno[at], ids[at], ~known[at], -scores[at, query], query))
-                at, query = at[order], query[order]
-                first = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)
-                begin = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0)) if len(query) else first
-                keep = np.arange(len(query)) - begin < k
-                at, query = at[keep], query[keep]
-                yield pa.RecordBatch.from_pydict(
-                    {"qno": qno[query], "query_id": pa.array(qids[query], mask=~qknown[query]), "rno": rno[at], "vec_id": pa.array(ids[at], mask=~known[at]), "score": scores[at, query]}
-                )
+                mine = best.setdefault(row["q_rno"], Best(qno, qids, qknown, k))
+                held -= len(mine)
+                mine.add(_scores(vectors, wanted), rno, ids, known)
+                held += len(mine)
+                if held > HELD_HITS:
+                    yield from (b.batch() for b in best.values())
+                    best, held = {}, 0
+        yield from (b.batch() for b in best.values())
+        give_back()
 
     return met.mapInArrow(run, "qno bigint, query_id bigint, rno bigint, vec_id bigint, score bigint")
 
 
+def grid(tasks: int, groups: int, queries: int, rows: int) -> tuple[int, int]:
+    """(slices of rows, slices of queries) of a group: as many pairs of slices as fill all tasks, at the least that is
+    moved, since each slice of rows goes to all slices of queries and the other way round."""
+    cells = max(1, -(-tasks // groups))
+    of_queries = min(range(1, cells + 1), key=lambda c: rows * c + queries * -(-cells // c))
+    return -(-cells // of_queries), of_queries
+
+
 def knn_join(vectors: DataFrame, asks: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", vec: str = "embedding", sample: int = 4096, most_pivots: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `asks` holds, the k other rows of the highest inner product.
 
@@ -302,10 +357,13 @@ def knn_join(vectors: DataFrame, asks: Column, k: int = 5, scale: int = 256, vec
     bounds = Bounds.gathered(pivots, known.collect())  # at most most_pivots squared rows
     least = _reached(held, bounds, k, width)
     reached = np.array([least.get(int(g), -np.inf) for g in bounds.groups])
-    asked = _regrouped(queries, width).select(F.col("grp"), *(F.col(c).alias(f"q_{c}") for c in ("rno", "ids", "known", "vectors")))
-    salts = max(1, -(-int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(bounds.groups)))  # few groups still fill all tasks
-    sent = _sent(held, bounds, reached, width).withColumn("salt", F.pmod(F.xxhash64("rno"), F.lit(salts)).cast("int"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = _solved(sent.join(asked, ["grp", "salt"]).drop("grp", "salt"), k, width)
+    asked = _regrouped(queries, width, max(1, counted[1] // (16 * QUERIES))).select(F.col("grp"), *(F.col(c).alias(f"q_{c}") for c in ("rno", "ids", "known", "vectors")))
+    down, across = grid(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds.groups), counted[1], sum(counted.values()))
+    cell = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = _sent(held, bounds, reached, width).withColumn("down", cell("rno", down)).withColumn("across", every(across))
+    asked = asked.withColumn("across", cell("q_rno", across)).withColumn("down", every(down))
+    # Never a broadcast: queries grow with the table, and their copies with the slices, whatever they shrink to when packed.
+    near = _solved(sent.join(asked.hint("merge"), ["grp", "down", "across"]).drop("grp", "down", "across"), k, width)
     order = Window.partitionBy("qno").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rno")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

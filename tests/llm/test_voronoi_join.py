@@ -107,3 +107,33 @@ def test_query_and_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     found = queries.op12_topk_search(spark, f"file://{tmp_path}")
     assert sorted(map(tuple, found.collect())) == sorted(con.sql(queries.OP12_SQL).fetchall())
+
+
+def test_queries_are_never_broadcast(spark):
+    df = spark.createDataFrame(clustered(300, 6), "vec_id bigint, embedding array<double>")
+    plan = voronoi_join.knn_join(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_slices_cover_all_tasks_and_move_little():
+    for tasks, groups, queries, rows in [(600, 1, 14_400, 720_000), (12, 5, 3, 100), (1, 1, 1, 1), (8, 64, 500, 500)]:
+        down, across = voronoi_join.grid(tasks, groups, queries, rows)
+        assert down * across * groups >= tasks
+        assert rows * across + queries * down <= rows + queries * -(-tasks // groups)  # queries in every slice of rows, as before
+
+
+def test_best_hits_over_blocks_in_any_precision():
+    rng = np.random.default_rng(3)
+    for most in (9, 1 << 20):
+        x = rng.integers(-most, most, (400, 4))
+        rno, known = np.arange(400), rng.random(400) < 0.9
+        ids = np.where(known, rng.permutation(400) // 3, 0)
+        best = voronoi_join.Best(rno[:70], ids[:70], known[:70], 5)
+        for at in (0, 3, 100, 250):
+            some = slice(at, {0: 3, 3: 100, 100: 250, 250: 400}[at])
+            best.add(voronoi_join._scores(x[some], x[:70]), rno[some], ids[some], known[some])
+        got = best.batch().to_pydict()
+        for q in range(70):
+            want = sorted((-int(x[q] @ x[i]), not known[i], ids[i], i) for i in range(400) if i != q)[:5]
+            mine = [(-s, v is None, v or 0) for n, s, v in zip(got["qno"], got["score"], got["vec_id"], strict=True) if n == q]
+            assert mine == [w[:3] for w in want]
