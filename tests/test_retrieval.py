@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +182,27 @@ def test_metrics(spark):
 def test_first_visual(spark):
     df = spark.createDataFrame([(2, "ДИАГРАММА b"), (1, "see График a"), (0, "none")], "page int, text string")
     assert retrieval.first_visual(df, ["график", "диаграмма"], "page").first().page == 1
+
+
+def test_clustered_copies_no_query_for_each_list(spark):
+    rows = [(i, [math.cos(i), math.sin(i), math.cos(3 * i)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<double>")
+    index = clustered.build(df, lists=32)
+    asked = clustered._asked(index, df, "row_id").withColumn("kth", F.lit(-1.0))  # needs every list
+    assert clustered._visits(index, asked, 1, True).count() == clustered._visits(index, asked, 1, False).count() == 600
+
+
+def test_clustered_sample_comes_from_one_task(spark, monkeypatch):
+    """Rows that are collected in an order with a limit come from each task, as many from each."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "row_id bigint, vec array<double>")
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    index = clustered.build(df.repartition(4))
+    assert index.rows.sum() == 40
+
+
+def test_clustered_long_lists_have_several_slices():
+    rows = np.array([10, 0, clustered.SLICE, 3 * clustered.SLICE, 5])
+    begin, number = clustered.Clustered(None, np.zeros((5, 2)), np.zeros(5), rows).slices()
+    assert number.tolist() == [1, 1, 1, 3, 1] and begin.tolist() == [0, 0, 1, 2, 5]
