@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.functions.text import let
 from docspark.functions.vectors import norm, unit
 
 INDEX = "row_id bigint, source string, chunk_id string, text string, type string, page int, section string, vec array<double>"
@@ -18,7 +19,8 @@ def normalised(df: DataFrame, vec: str = "vec", dim: int | None = None) -> DataF
     v = F.col(vec)
     if dim is not None:
         v = F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit(f"vectors have {dim} dimensions, not "), F.size(v).cast("string"))))
-    return df.withColumn("__v", v).withColumn("__n", norm(F.col("__v"))).withColumn(vec, unit(F.col("__v"), F.col("__n"))).drop("__v", "__n")
+    # Bound once each: filters and other columns over vec would have the length worked out again for every component.
+    return df.withColumn(vec, let(v, lambda x: let(norm(x), lambda n: unit(x, n))))
 
 
 def write(chunks: DataFrame, path: str, mode: str = "overwrite", dim: int | None = None, part: str | None = None) -> None:
