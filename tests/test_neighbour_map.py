@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.operators import neighbour_map
+from docspark.plans import shared
 from docspark.sources import backends
 
 SF = "/root/testdata/sf0.01"
@@ -93,3 +94,16 @@ def test_few_rows(spark, rows):
     assert set(got) == {k for k, v in rows if v} and np.isfinite(list(got.values())).all()
     if len(rows) == 2 and rows[0][1] == [3, 4]:
         assert got[1] == got[2]  # equal directions share a place
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    def left():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in str(blocks.mkString(" ")).split() if b.startswith("shuffle_")}
+
+    _, x = clusters(120)
+    df = made(spark, list(enumerate(x))).repartition(3)
+    before, setting = left(), spark.conf.get(shared.CLEAN_UP, None)
+    kept = neighbour_map.plane(df, rounds=2)
+    assert kept.count() == 120 and spark.conf.get(shared.CLEAN_UP, None) == setting
+    assert len({b.split("_")[1] for b in left() - before}) <= 2  # the last count's, not a few for each round
