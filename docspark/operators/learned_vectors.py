@@ -29,6 +29,8 @@ from docspark.plans.shared import drop_stash, stash
 HELD = 1 << 22
 #: The least number of places that pairs are dealt to, and about how many pairs a place has at most.
 PLACES, SPAN = 1 << 10, 1 << 20
+#: Numbers of a packed row at most: what a task unpacks at once, in a dozen arrays of 8 bytes each.
+PIECE = 1 << 17
 BLOCK_NAMES = ["place", "wide", "size", "steps", "n"]
 BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 BLOCKS = "place int, wide int, size int, steps binary, n binary"
@@ -69,8 +71,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pair_blocks(docs: DataFrame, words: int, reach: int = 4, text: str = "text") -> DataFrame:
-    """How often two buckets stand at most `reach` words apart in a text: a packed row for each place, each pair once,
-    the lower bucket first. Tasks count before they pass on; a place adds up in an array of at most about SPAN counts,
+    """How often two buckets stand at most `reach` words apart in a text: packed rows of at most PIECE pairs of a place,
+    each pair once, the lower bucket first. Tasks count before they pass on; a place adds up in an array of at most about SPAN counts,
     whatever the corpus."""
     places, span = _places(words)
     kind = np.uint32 if places * span < 1 << 32 else np.uint64
@@ -108,17 +110,19 @@ def pair_blocks(docs: DataFrame, words: int, reach: int = 4, text: str = "text")
         for batch in batches:
             for place, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at not in (None, place):
-                    yield whole(at, sums)
+                    yield from whole(at, sums)
                     sums[:] = 0
                 values, n = _unpacked(*packed)
                 sums[values] += n  # a row has a number once
                 at = place
         if at is not None:
-            yield whole(at, sums)
+            yield from whole(at, sums)
 
-    def whole(place: int, sums: np.ndarray) -> pa.RecordBatch:
+    def whole(place: int, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         values = np.flatnonzero(sums)
-        return _batch([_packed(place, values, sums[values])])
+        for begin in range(0, len(values), PIECE):
+            some = values[begin : begin + PIECE]
+            yield _batch([_packed(place, some, sums[some])])
 
     parts = docs.select(words_of(F.col(text)).alias("b")).mapInArrow(run, BLOCKS)
     return parts.repartition("place").sortWithinPartitions("place").mapInArrow(merged, BLOCKS)

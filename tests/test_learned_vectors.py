@@ -83,3 +83,12 @@ def test_passages_are_found_more_often(spark):
     model = learned_vectors.fit(docs, dim=64, words=1 << 13)
     hashed = found(lambda df: df.withColumn("vec", backends.embed_text(F.col("text"), dim=64)))
     assert found(lambda df: learned_vectors.embed(df, model)) > hashed > 0
+
+
+def test_packed_rows_stay_short(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(f"w{i * k % 97}" for i in range(200)),) for k in range(1, 6)], "text string")
+    want = sorted(map(tuple, learned_vectors.near_words(docs, 64).collect()))
+    monkeypatch.setattr(learned_vectors, "PIECE", 1)
+    rows = learned_vectors.pair_blocks(docs, 64).collect()
+    assert max(len(r.steps) // r.wide for r in rows) == 1 and len(rows) > len({r.place for r in rows})
+    assert sorted(map(tuple, learned_vectors.near_words(docs, 64).collect())) == want
