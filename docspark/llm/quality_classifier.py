@@ -1,31 +1,39 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
 Documents are described by counts over the whole text (kinds of bytes, word lengths, repeats) and by the frequencies of
-hashed words and of hashed runs of three bytes. Of a bounded sample of labelled rows (`sample_rows`, lowest hashes of
-doc_id first) pairs of a good and a bad document are drawn, and a weight vector is learned by logistic loss on the
-difference of their features, with a small ridge. Pairs only name documents: each step scores the sample once, and no
-difference is ever stored. The threshold is the quantile of the sample's scores at the share of bad documents in it; it
-is laid at 0.7 of the 0 to 1 scale, on which scores keep their order.
+hashed words and of hashed runs of three bytes. All labelled rows are learned from: their features are dealt into blocks
+of about ROWS rows by the hash of doc_id, and in each block good documents are paired with bad ones, every row in PARTNERS
+pairs at least; rows of the rarer label are copied into several blocks where there would be fewer than PARTNERED in each.
+A weight vector is learned by logistic loss on the difference of features, with a small ridge: each step is a pass over
+the blocks, of which only sums leave a block. Pairs only name documents, and no difference is ever stored. The threshold
+is the quantile of all labelled rows' scores at the share of bad documents among them; it is laid at 0.7 of the 0 to 1
+scale, on which scores keep their order.
 
 Defined cases: null and empty text have all features 0 and get a score like any text; without rows of both labels every
 document gets the threshold's score, so nothing is rejected; equal texts get equal scores; labels that contradict each
-other are left out; rows that repeat a doc_id are one in the sample, and rows of their own in the result. Extra columns
+other are left out; rows that repeat a doc_id are learned from as one, and are rows of their own in the result. Extra columns
 pass through, whatever their names, but for the one that has the score's name.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType
+from pyspark.sql.types import BinaryType, DataType, DoubleType
 
-from docspark.llm.common import LOWER, slices, span_hashes, text_column, word_spans
+from docspark.llm.common import LOWER, drop_stash, sent_whole, slices, span_hashes, stash, text_column, word_spans
 
 AT = 0.7  # where the threshold lies on the scale of scores
+#: Rows of a block, in how many pairs each is at least, and how many rows of each label a block should have.
+ROWS, PARTNERS, PARTNERED = 4096, 4, 64
+#: Up to so many labels are broadcast; beyond, documents meet them by a shuffle.
+SENT = 2_000_000
 
 
 def _bytes(chars: str) -> np.ndarray:
@@ -103,6 +111,10 @@ def counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack(cols, 1)
 
 
+#: How many features there are.
+WIDTH = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
+
+
 @dataclass
 class Ranker:
     mean: np.ndarray
@@ -119,8 +131,9 @@ def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / spread, -8, 8)
 
 
-def least(loss, start: np.ndarray, steps: int = 300, kept: int = 10) -> np.ndarray:
-    """Where loss, which gives its value and gradient, is least: a quasi-Newton search of limited memory."""
+def least(loss, start: np.ndarray, steps: int = 300, kept: int = 10, gain: float = 1e-12) -> np.ndarray:
+    """Where loss, which gives its value and gradient, is least: a quasi-Newton search of limited memory, until a step
+    gains less than this part of the loss."""
     w, (value, slope) = start, loss(start)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -136,20 +149,33 @@ def least(loss, start: np.ndarray, steps: int = 300, kept: int = 10) -> np.ndarr
         length = 1.0
         while (there := loss(w - length * way))[0] > value - 1e-4 * length * (slope @ way) and length > 1e-10:
             length /= 2
-        step, turn, gain = -length * way, there[1] - slope, value - there[0]
+        step, turn, gained = -length * way, there[1] - slope, value - there[0]
         w, (value, slope) = w + step, there
-        if gain <= 1e-12 * abs(value):
+        if gained <= gain * abs(value):
             break
         if step @ turn > 0:
             moves = [*moves[1 - kept :], (step, turn)]
     return w
 
 
+def unlearned(width: int) -> Ranker:
+    """What gives every text the threshold's score."""
+    return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+
+
+def pull(z: np.ndarray, w: np.ndarray, better: np.ndarray, worse: np.ndarray) -> tuple[float, np.ndarray]:
+    """The logistic loss of pairs of rows of z, summed, and its gradient."""
+    score = z @ w
+    margin = np.clip(score[better] - score[worse], -30, 30)
+    doubt = 1 / (1 + np.exp(margin))
+    each = np.bincount(better, doubt, len(z)) - np.bincount(worse, doubt, len(z))
+    return float(np.log1p(np.exp(-margin)).sum()), -(z.T @ each)
+
+
 def train(x: np.ndarray, good: np.ndarray, pairs: int = 100_000, ridge: float = 1e-3, seed: int = 5, small: int = 0) -> Ranker:
-    """Learns from features and labels (1: good); the last `small` features count SMALL times as much as the others."""
+    """Learns from features and labels (1: good) in memory; the last `small` features count SMALL times as much as the others."""
     if not len(x) or good.all() or not good.any():
-        width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1] if x.ndim < 2 else x.shape[1]
-        return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+        return unlearned(WIDTH if x.ndim < 2 else x.shape[1])
     mean, spread = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-6)
     spread[x.shape[1] - small :] /= SMALL
     z, rng = standard(x, mean, spread), np.random.default_rng(seed)
@@ -157,39 +183,123 @@ def train(x: np.ndarray, good: np.ndarray, pairs: int = 100_000, ridge: float =
     better, worse = rng.choice(ones, pairs), rng.choice(zeros, pairs)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        score = z @ w
-        margin = np.clip(score[better] - score[worse], -30, 30)
-        doubt = 1 / (1 + np.exp(margin))
-        pull = np.bincount(better, doubt, len(z)) - np.bincount(worse, doubt, len(z))
-        return float(np.log1p(np.exp(-margin)).mean() + ridge / 2 * (w @ w)), ridge * w - z.T @ pull / pairs
+        value, slope = pull(z, w, better, worse)
+        return value / pairs + ridge / 2 * (w @ w), ridge * w + slope / pairs
 
     w = least(loss, np.zeros(z.shape[1]))
     return Ranker(mean, spread, w, float(np.quantile(z @ w, len(zeros) / len(good), method="midpoint")))
 
 
 def _of_texts(docs: DataFrame, kind: DataType, make, text: str):
-    """A column of what make returns for the features of each text: a number, or a row of them."""
+    """A column of what make returns for the features of each text: a number, or bytes."""
 
     def run(column: pa.Array) -> pa.Array:
-        rows = [make(features(data, offs)) for _, data, offs in slices(column)]
-        if kind == DoubleType():
-            return pa.array(np.concatenate(rows) if rows else [], pa.float64())
-        flat = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
-        return pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], flat.ravel())
+        rows = [x for _, data, offs in slices(column) for x in make(features(data, offs))]
+        return pa.array(rows, pa.float64() if kind == DoubleType() else pa.binary())
 
     return text_column(docs.sparkSession, kind, lambda: run)(F.col(f"`{text}`").cast("string"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, text: str = "text") -> Ranker:
-    """Learns from the rows of docs that labels (doc_id, quality) covers; labels that contradict each other are left out."""
+def _labelled(docs: DataFrame, labels: DataFrame, text: str) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, q, text) of all rows that have one label, an id once, and how many there are of each label."""
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2").drop("q2")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
-    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # of rows that repeat an id the one of the lowest hash
-        rows = rows.groupBy("doc_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("q", "t.text")
-    got = rows.select("q", _of_texts(rows, ArrayType(FloatType()), lambda x: x, "text").alias("x")).toArrow()  # sample_rows ids, 2 KB each
-    q = got.column("q").to_numpy()
-    return train(np.array(got.column("x").combine_chunks().flatten()).reshape(len(q), -1) if len(q) else np.zeros(0), q, small=2 * BUCKETS)
+    known = stash(known, "known")
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(sent_whole(known, SENT), "doc_id")
+    found = rows.groupBy("doc_id", "q").count().groupBy("q").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()  # two rows
+    if any(r.most > 1 for r in found):  # of rows that repeat an id the one of the lowest hash
+        rows = rows.groupBy("doc_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "q", "t.text")
+    return rows, {r.q: r.n for r in found}
+
+
+def _dealt(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(block, x, good, own): features and labels of blocks of about ROWS rows; own is 1 in one block of a row's."""
+    n = -(-sum(sizes.values()) // ROWS)
+    copies = {q: min(n, -(-n * PARTNERED // size)) for q, size in sizes.items()}
+    place, h = F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.xxhash64("doc_id", F.lit(1))
+    made = rows.select("q", place.alias("place"), h.alias("h"), _of_texts(rows, BinaryType(), lambda x: [r.tobytes() for r in x.astype(np.float32)], "text").alias("x"))
+    each = F.sequence(F.lit(0), F.when(F.col("q") == 1, copies[1]).otherwise(copies[0]) - 1)
+    dealt = made.select("q", "h", "x", "place", F.explode(each).alias("copy")).withColumn("block", (F.col("place") + F.col("copy")) % n)
+
+    def packed(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("h", "ascending"), ("x", "ascending")])
+        x, good, own = b"".join(part["x"].to_pylist()), part["q"].to_numpy().astype(np.int8), part["copy"].to_numpy() == 0
+        return pa.table({"block": part["block"][:1], "x": pa.array([x]), "good": pa.array([good.tobytes()]), "own": pa.array([own.tobytes()])})
+
+    return dealt.select("block", "q", "h", "x", "copy").groupBy("block").applyInArrow(packed, "block bigint, x binary, good binary, own binary")
+
+
+def _over(blocks: DataFrame, make, fields: str) -> DataFrame:
+    """make(block, features, labels, own) of each block, a tuple of columns."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, x, good, own in zip(*(batch.column(k) for k in range(4)), strict=True):
+                good = np.frombuffer(good.as_buffer(), np.int8)
+                made = make(block.as_py(), np.frombuffer(x.as_buffer(), np.float32).reshape(len(good), -1), good, np.frombuffer(own.as_buffer(), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=names)
+
+    return blocks.select("block", "x", "good", "own").mapInArrow(run, fields)
+
+
+def _sums(blocks: DataFrame, make) -> np.ndarray:
+    """What make returns for each block, a few numbers a feature, as rows in order of the blocks, so that sums don't hang on tasks."""
+    got = _over(blocks, lambda block, *rest: ([block], [make(block, *rest).tobytes()]), "block bigint, sums binary").toArrow().sort_by("block")
+    return np.stack([np.frombuffer(s, np.float64) for s in got["sums"].to_pylist()])
+
+
+def pairs_of(block: int, good: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Good and bad rows of a block, paired: each row PARTNERS times at least, those of one label equally often, but for one time."""
+    ones, zeros = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    if not len(ones) or not len(zeros):
+        return ones[:0], zeros[:0]
+    rng, n = np.random.default_rng([seed, block]), PARTNERS * max(len(ones), len(zeros))
+    drawn = [np.concatenate([rng.permutation(side) for _ in range(-(-n // len(side)))])[:n] for side in (ones, zeros)]
+    return drawn[0], drawn[1]
+
+
+def ranked(values: DataFrame, rank: int, bins: int = 4096) -> float:
+    """The value of this rank, from 0, of a column `value`: bins are counted, and then those of the bin that holds it."""
+    low, high = values.agg(F.min("value"), F.max("value")).first()
+    before = 0
+    while low < high:
+        width = max((high - low) / bins, 5e-324)
+        at = F.least(F.lit(bins - 1), F.floor((F.col("value") - low) / width))
+        found = values.filter(F.col("value").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        for r in sorted(found.collect()):  # at most `bins`
+            low, high = r.low, r.high
+            if before + r.n > rank:
+                break
+            before += r.n
+    return low
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ridge: float = 1e-3, seed: int = 5) -> Ranker:
+    """Learns from all rows of docs that labels (doc_id, quality) covers; labels that contradict each other are left out."""
+    rows, sizes = _labelled(docs, labels, text)
+    if len(sizes) < 2:
+        return unlearned(WIDTH)
+    blocks = stash(_dealt(rows, sizes), "labelled")
+    total, bad = sum(sizes.values()), sizes[0]
+    mean = _sums(blocks, lambda block, x, good, own: x[own].sum(0, dtype=np.float64)).sum(0) / total
+    spread = np.maximum(np.sqrt(_sums(blocks, lambda block, x, good, own: ((x[own] - mean) ** 2).sum(0)).sum(0) / total), 1e-6)
+    spread[WIDTH - 2 * BUCKETS :] /= SMALL
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def of(block: int, x: np.ndarray, good: np.ndarray, own: np.ndarray) -> np.ndarray:
+            better, worse = pairs_of(block, good, seed)
+            value, slope = pull(standard(x, mean, spread), w, better, worse)
+            return np.r_[len(better), value, slope]
+
+        got = _sums(blocks, of).sum(0)
+        return got[1] / got[0] + ridge / 2 * (w @ w), ridge * w + got[2:] / got[0]
+
+    w = least(loss, np.zeros(WIDTH), gain=1e-7)
+    scores = stash(_over(blocks, lambda block, x, good, own: (standard(x[own], mean, spread) @ w,), "value double"), "scores")
+    at = (total - 1) * bad / total
+    threshold = (ranked(scores, math.floor(at)) + ranked(scores, math.ceil(at))) / 2
+    drop_stash(blocks, scores)
+    return Ranker(mean, spread, w, threshold)
 
 
 def score(docs: DataFrame, ranker: Ranker, text: str = "text", name: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import quality_classifier as qc
 from docspark.llm import queries
@@ -138,3 +139,41 @@ def test_defined_cases(docs, labels, empty, junk):
     assert qc.keep_good(docs, flat).count() == docs.count()
     assert qc.score(empty, ranker).count() == 0
     assert qc.keep_good(docs, qc.fit(empty, labels)).count() == docs.count()
+
+
+def test_all_labelled_rows_are_learned_from(spark, junk):
+    """As many as were once a sample, and some more."""
+    n = 20_500
+    text = F.concat_ws(" ", F.lit("word"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, "### ###").otherwise("fine."))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    ranker = qc.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 7 > 0) as quality"))
+    raw = [r.text.encode() for r in docs.collect()]
+    x = qc.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).astype(np.float32)
+    assert np.allclose(ranker.mean, x.mean(0, dtype=np.float64), rtol=1e-9) and np.allclose(ranker.spread[:18], np.maximum(x.std(0, dtype=np.float64), 1e-6)[:18], rtol=1e-6)
+    raw_scores = np.sort(qc.standard(x, ranker.mean, ranker.spread) @ ranker.weights)
+    bad = len(range(0, n, 7))
+    assert ranker.threshold == pytest.approx(np.quantile(raw_scores, bad / n, method="midpoint"))
+
+
+def test_few_bad_rows_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(qc, "ROWS", 16)
+    docs = spark.createDataFrame([(i, ("bad### " if i in (7, 50) else "good ") * (20 + i % 5)) for i in range(300)], "doc_id bigint, text string")
+    sizes = {0: 2, 1: 298}
+    blocks = qc._dealt(docs.selectExpr("doc_id", "int(doc_id not in (7, 50)) as q", "text"), sizes).collect()
+    labels = [np.frombuffer(b.good, np.int8) for b in blocks]
+    assert len(blocks) == 19 and all((x == 0).sum() == 2 for x in labels) and sum(np.frombuffer(b.own, bool).sum() for b in blocks) == 300
+    ranker = qc.fit(docs, docs.selectExpr("doc_id", "int(doc_id not in (7, 50)) as quality"))
+    assert {r.doc_id for r in qc.score(docs, ranker).collect() if r.score < qc.AT} == {7, 50}
+
+
+def test_every_row_of_a_block_is_in_pairs():
+    good = np.array([1] * 50 + [0] * 7)
+    better, worse = qc.pairs_of(3, good, 5)
+    seen = np.bincount(np.r_[better, worse], minlength=57)
+    assert (good[better] == 1).all() and (good[worse] == 0).all() and seen.min() == qc.PARTNERS and np.ptp(seen[50:]) <= 1
+
+
+def test_ranked(spark):
+    values = np.r_[np.random.default_rng(1).normal(size=500), [2.0] * 40, 1e9, -1e-300]
+    df = spark.createDataFrame([(float(v),) for v in values], "value double")
+    assert all(qc.ranked(df, k, 8) == np.sort(values)[k] for k in (0, 17, 250, 505, 541))
