@@ -92,7 +92,7 @@ def sections_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of chunk_sections over buckets of blocks; sections beyond 4000 characters are packed over buckets as well."""
+    """The chunks of chunk_sections over buckets of blocks; of documents beyond a bucket, sections beyond 4000 characters are packed over buckets as well."""
     made = long_documents.chunk_blocks(blocks(spark, sf_dir), whole=4000)
     return made.select("doc_id", "section_no", "chunk_no", "section", "page", "type", "text")
 

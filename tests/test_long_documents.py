@@ -82,3 +82,20 @@ def test_without_blocks_and_bad_sizes(spark):
     assert long_documents.chunk_blocks(none).count() == 0 and long_documents.sections(none).count() == 0
     with pytest.raises(ValueError, match="overlap"):
         long_documents.chunk_blocks(none, 100, 50)
+
+
+def test_lines_of_one_bucket_are_dealt_once(blocks):
+    for made in (long_documents.sections(blocks), long_documents.chunk_blocks(blocks)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_joins_of_longer_documents_deal_no_line_anew(spark, blocks, monkeypatch):
+    """Rows lie by key and bucket; only what is carried between buckets moves to them."""
+    monkeypatch.setattr(long_documents, "BUCKET", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (rows, carry) = long_documents._by_length(blocks, None)[1]
+        plan = long_documents.previous(rows, [long_documents.KEY], ["block_no"], F.col("page_num"), "page")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert carry and "isnull(__doc" not in plan and "coalesce(__doc" not in plan and "SortMergeJoin" in plan
