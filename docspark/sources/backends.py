@@ -7,10 +7,12 @@ end the columns get the documented defaults, and the whole engine runs offline.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,9 +148,8 @@ def ocr_files(path: Column, languages: str = "rus+eng+kaz", settings: str = "--o
 def hash_vectors(texts: list[str], dim: int) -> np.ndarray:
     """Signed hashed counts of each text's words, of length one; the default embedder. Each distinct word is hashed once."""
     split = [t.lower().split() for t in texts]
-    index: dict[str, int] = {}
-    word = np.array([index.setdefault(w, len(index)) for x in split for w in x], np.int64)
-    raw = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:5] for w in index), np.uint8).reshape(-1, 5).astype(np.int64)  # noqa: S324
+    word, distinct = pd.factorize(np.array(list(itertools.chain.from_iterable(split)), dtype=object))
+    raw = np.frombuffer(b"".join([hashlib.md5(w.encode()).digest()[:5] for w in distinct]), np.uint8).reshape(-1, 5).astype(np.int64)  # noqa: S324
     bucket, sign = (raw[:, :4] @ (256 ** np.arange(3, -1, -1))) % dim, np.where(raw[:, 4] < 128, 1.0, -1.0)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in split])
     counts = np.bincount(row * dim + bucket[word], sign[word], len(texts) * dim).reshape(len(texts), dim)
@@ -156,11 +157,16 @@ def hash_vectors(texts: list[str], dim: int) -> np.ndarray:
     return counts / np.where(length == 0, 1, length)
 
 
+def vector_rows(matrix: np.ndarray) -> pa.Array:
+    """A vector for each row of a matrix; none of them becomes an object of its own."""
+    return pa.ListArray.from_arrays(np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1]), matrix.ravel())
+
+
 def embed_text(text: Column, model: str | None = None, dim: int = 384, batch: int = 32) -> Column:
     """Unit vectors of texts: hashed words, or the named sentence model where it can be loaded."""
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def load():
             from sentence_transformers import SentenceTransformer
 
@@ -168,11 +174,11 @@ def embed_text(text: Column, model: str | None = None, dim: int = 384, batch: in
 
         own = Latch.get(f"text:{model}", load) if model else None
         for part in parts:
-            texts = part.fillna("").tolist()
+            texts = [t or "" for t in part.to_pylist()]
             if own is None:
-                yield pd.Series(list(hash_vectors(texts, dim)))
+                yield vector_rows(hash_vectors(texts, dim))
             else:
-                yield pd.Series(list(own.encode(texts, batch_size=batch, normalize_embeddings=True).astype(float)))
+                yield vector_rows(np.asarray(own.encode(texts, batch_size=batch, normalize_embeddings=True), float).reshape(len(texts), -1))
 
     return run(text)
 

@@ -98,3 +98,19 @@ def test_words_previews_and_names(spark):
     assert column(spark, ["abc", "abcd"], lambda c: text.preview(c, 3)) == ["abc", "abc..."]
     assert column(spark, ["/a/b.c/doc.v1.pdf", "plain", "/x/.hidden"], text.stem) == ["doc.v1", "plain", ".hidden"]
     assert column(spark, ["123", "1²", "12a", ""], text.is_digits) == [True, True, False, False]
+
+
+def test_fast_digits_are_the_digits(spark):
+    """Over all characters, 4096 to a text."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(map(chr, points[i : i + 4096])),) for i in range(0, len(points), 4096)], "t string")
+    found = rows.select(*(F.regexp_extract_all("t", F.lit(x), F.lit(0)).alias(n) for n, x in (("a", text.DIGIT), ("b", text.DIGIT_FAST))))
+    assert found.filter("a = b").count() == len(range(0, len(points), 4096)) and found.agg(F.sum(F.size("b"))).first()[0] > 700
+
+
+def test_embedded_rows_are_the_vectors(spark):
+    from docspark.sources import backends
+
+    texts = ["a b a", "", None, "Ünder the  tree", " "]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", backends.embed_text(F.col("t"), dim=16).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == backends.hash_vectors([t or "" for t in texts], 16).tolist()
