@@ -514,6 +514,7 @@ def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.stash(rows.select("row_id", "vec", "text", "page", "section", "type"), "chunks")  # read twice, for vectors and for texts
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     best = retrieval.top_k_batch(rows, questions.withColumn("vec", backends.embed_text(F.col("question"))), 5)
+    best = shared.stash(best, "best")  # its size is known then, and no text of a chunk has to be shuffled to meet few hits
     found = best.join(rows.drop("vec"), "row_id")
     part = retrieval.fragment(F.col("rank"), F.col("text"), F.col("page"), F.col("section"), F.col("type"))
     context = retrieval.contexts(found, questions, part)
