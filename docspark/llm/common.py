@@ -53,6 +53,17 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow and the like, whose worker returns in the end what the task has freed, and doesn't sit on it
+    while Spark works without Python."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,6 +29,7 @@ Extra columns, whatever their names, pass through keep_one and don't appear in l
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import BASE, drop_stash, in_files, mix, sent_whole, shingle_sets, slices, stash, told_apart, whole, with_workers
+from docspark.llm.common import BASE, drop_stash, in_files, mix, sent_whole, shingle_sets, slices, stash, tidy, told_apart, whole, with_workers
 
 ORDERS = 3
 BINS = 64
@@ -47,6 +48,8 @@ BLOCK = 512
 #: At most so many token ranges are keys of an exchange; a corpus that needs more has them cut within their tasks, from
 #: so many bytes at a time.
 MOST_RANGES, REPACK = 4096, 64 << 20
+#: Of a place's entries a task works on about so many at a time, and sends on no more in a batch.
+TURN = 1 << 18
 
 
 def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
@@ -115,7 +118,7 @@ def shingled(docs: DataFrame, k: int, rate: int, doc_id: str = "doc_id", text: s
                 names=["doc_id", "n", "cls", "sampled"],
             )
 
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, cls bigint, sampled boolean")
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "doc_id bigint, n bigint, cls bigint, sampled boolean")
 
 
 #: Packed entries on their way to a place: tokens and frequencies, and for each the index of its class among `classes`.
@@ -139,34 +142,85 @@ def _pack(place: np.ndarray, tokens: np.ndarray, dfs: np.ndarray | None, owner:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, frequencies (or none), classes and sizes of all entries."""
-    parts: list[list] = [[], [], [], []]
-    for t, d, o, c, s in zip(*(table.column(i).to_pylist() for i in range(1, 6)), strict=True):
-        t = np.frombuffer(t, np.uint64)
-        o = np.frombuffer(o, np.uint16 if len(o) == 2 * len(t) else np.uint32)
-        for part, value in zip(parts, (t, np.frombuffer(d, np.uint32), np.frombuffer(c, np.uint64)[o], np.frombuffer(s, np.uint32)[o]), strict=True):
-            part.append(value)
-    return tuple(np.concatenate(p) for p in parts)
+def _turns(batches: Iterable[pa.RecordBatch], by_class: bool, most: int = TURN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, frequencies (or none), classes and sizes of PACKED entries, about `most` at a time: a class, or else a token,
+    has all its entries in one turn. What waits stays packed, as it came."""
+    packs = []
+    for batch in batches:
+        for cells in zip(*(batch.column(i) for i in range(1, 6)), strict=True):
+            t, d, o, c, n = (x.as_buffer() for x in cells)
+            owners = np.uint16 if o.size == t.size // 4 else np.uint32
+            packs.append(tuple(np.frombuffer(x, kind) if x.size else np.zeros(0, kind) for x, kind in ((t, np.uint64), (d, np.uint32), (o, owners), (c, np.uint64), (n, np.uint32))))
+    turns = min(1 << 16, -(-sum(len(p[0]) for p in packs) // most))
+    turn_of = lambda x: (mix(x ^ BASE) % np.uint64(turns)).astype(np.uint16)
+    due = [turn_of(c)[o] if by_class else turn_of(t) for t, _, o, c, _ in packs] if turns > 1 else []
+    for k in range(turns):
+        parts: list[list] = [[], [], [], []]
+        for i, (t, d, o, c, n) in enumerate(packs):
+            if turns > 1:
+                at = np.flatnonzero(due[i] == k)
+                t, d, o = t[at], d[at] if len(d) else d, o[at]
+            for part, value in zip(parts, (t, d, c[o], n[o]), strict=True):
+                part.append(value)
+        yield tuple(np.concatenate(p) for p in parts)
+
+
+def counted(batches: Iterable[pa.RecordBatch], ranges: int, hot: np.ndarray, hot_df: np.ndarray, salted: bool) -> Iterator[pa.RecordBatch]:
+    """PACKED entries of a place's shared tokens with their frequencies, for places of classes; salted: the tokens are hot ones."""
+    kept: list[tuple] = []
+
+    def packed() -> pa.RecordBatch:
+        t, df, c, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        classes, first, owner = np.unique(c, return_index=True, return_inverse=True)
+        return _pack((mix(c) % np.uint64(ranges)).astype(np.int32), t, df, owner, classes, n[first])
+
+    for t, _, c, n in _turns(batches, False):
+        order = np.lexsort((c, t))
+        t, c, n = t[order], c[order], n[order]
+        fresh = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))[: len(t)]  # a class may come from several batches
+        t, c, n = t[fresh], c[fresh], n[fresh]
+        if salted:
+            df = hot_df[np.searchsorted(hot, t)]
+        else:
+            at = _bounds(t)
+            df = np.repeat(np.diff(at), np.diff(at))
+        keep = df > 1
+        kept.append((t[keep], df[keep].astype(np.uint32), c[keep], n[keep]))
+        if sum(len(x[0]) for x in kept) >= TURN:
+            yield packed()
+    if sum(len(x[0]) for x in kept):
+        yield packed()
+
+
+def met(batches: Iterable[pa.RecordBatch], share: Fraction) -> Iterator[pa.RecordBatch]:
+    """PREPARED rows of a place's classes that share enough tokens to link."""
+    for t, df, c, n in _turns(batches, True):
+        order = np.argsort(c, kind="stable")
+        t, df, c, n = t[order], df[order], c[order], n[order]
+        at = _bounds(c)
+        sizes = n[at[:-1]].astype(np.int64)
+        able = [(int(c[a].view(np.int64)), int(m), t[a:b], df[a:b].astype(np.int64)) for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), sizes.tolist(), strict=True) if b - a >= needed(m, share)]
+        if able:
+            yield from prepared(able, share).to_batches()
 
 
 def by_place(packed: DataFrame, partitions: int, parts: int, part_of, work, schema: str) -> DataFrame:
-    """work(table) for the PACKED rows of each place, or for each of the `parts` that a place is cut into.
+    """work(batches) for the PACKED rows of each place, or for each of the `parts` that a place is cut into.
 
     A place is one exchange's key. Where a place is more than a task should hold at once, its partition is packed anew by
     parts, sorted by them (which spills), and read part by part; so partitions need not grow with the corpus. part_of
     gives an entry's part from its place, token and class.
     """
-    met = packed.repartition(partitions, "place")
+    dealt = packed.repartition(partitions, "place")
     if parts == 1:
-        return met.groupBy("place").applyInArrow(work, schema)
+        return dealt.groupBy("place").applyInArrow(tidy(lambda batches: work(list(batches))), schema)
 
     def cut(batches):
         def flush():
-            table = pa.Table.from_batches(held)
-            t, d, c, n = _unpack(table)
-            counts = [len(x) // 8 for x in table.column(1).to_pylist()]
-            place = np.repeat(table.column(0).to_numpy(), counts).astype(np.int64)
+            ((t, d, c, n),) = _turns(held, False, size)
+            counts = [x.as_buffer().size // 8 for batch in held for x in batch.column(1)]
+            place = np.repeat(np.concatenate([batch.column(0).to_numpy() for batch in held]), counts).astype(np.int64)
             classes, first, owner = np.unique(c, return_index=True, return_inverse=True)
             return _pack((place * parts + part_of(place, t, c)).astype(np.int32), t, d if len(d) else None, owner, classes, n[first])
 
@@ -187,13 +241,13 @@ def by_place(packed: DataFrame, partitions: int, parts: int, part_of, work, sche
             ends = _bounds(place).tolist()
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 if rest and rest[-1].column(0)[0].as_py() != int(place[a]):
-                    yield from work(pa.Table.from_batches(rest)).to_batches()
+                    yield from work(rest)
                     rest = []
                 rest.append(batch.slice(a, b - a))
         if rest:
-            yield from work(pa.Table.from_batches(rest)).to_batches()
+            yield from work(rest)
 
-    return met.mapInArrow(cut, PACKED).sortWithinPartitions("place").mapInArrow(in_turn, schema)
+    return dealt.mapInArrow(tidy(cut), PACKED).sortWithinPartitions("place").mapInArrow(tidy(in_turn), schema)
 
 
 def able_classes(docs: DataFrame, k: int, share: Fraction, ranges: int, parts: int, hot: np.ndarray, hot_df: np.ndarray, text: str = "text") -> DataFrame:
@@ -213,7 +267,7 @@ def able_classes(docs: DataFrame, k: int, share: Fraction, ranges: int, parts: i
 
     def scatter(batches):
         hot, _ = held.value
-        for _, sets in _runs(batches, k):
+        for _, sets in _runs(batches, k, 2 * TURN):
             _, one, members = _distinct_classes(sets)
             if not members:
                 continue
@@ -226,33 +280,13 @@ def able_classes(docs: DataFrame, k: int, share: Fraction, ranges: int, parts: i
                 place[known] = ranges + (one[owner[known]] % np.uint64(ranges)).astype(np.int32)
             yield _pack(place, tokens, None, owner, one, sizes)
 
-    def count(table: pa.Table) -> pa.Table:
-        hot, hot_df = held.value
-        t, _, c, n = _unpack(table)
-        order = np.lexsort((c, t))
-        t, c, n = t[order], c[order], n[order]
-        fresh = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))  # a class may come from several batches
-        t, c, n = t[fresh], c[fresh], n[fresh]
-        if table.column(0)[0].as_py() // parts >= ranges:
-            df = hot_df[np.searchsorted(hot, t)]
-        else:
-            at = _bounds(t)
-            df = np.repeat(np.diff(at), np.diff(at))
-        keep = df > 1
-        t, c, n, df = t[keep], c[keep], n[keep], df[keep]
-        classes, first, owner = np.unique(c, return_index=True, return_inverse=True)
-        place = (mix(c) % np.uint64(ranges)).astype(np.int32)
-        return pa.Table.from_batches([_pack(place, t, df, owner, classes, n[first])])
+    def count(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return counted(batches, ranges, *held.value, batches[0].column(0)[0].as_py() // parts >= ranges)
 
-    def meet(table: pa.Table) -> pa.Table:
-        t, df, c, n = _unpack(table)
-        order = np.argsort(c, kind="stable")
-        t, df, c, n = t[order], df[order], c[order], n[order]
-        at = _bounds(c)
-        sizes = n[at[:-1]].astype(np.int64)
-        return prepared([(int(c[a].view(np.int64)), int(m), t[a:b], df[a:b].astype(np.int64)) for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), sizes.tolist(), strict=True) if b - a >= needed(m, share)], share)
+    def meet(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return met(batches, share)
 
-    by_range = by_place(docs.select(text).mapInArrow(scatter, PACKED), 2 * ranges, parts, part_of_range, count, PACKED)
+    by_range = by_place(docs.select(text).mapInArrow(tidy(scatter), PACKED), 2 * ranges, parts, part_of_range, count, PACKED)
     return by_place(by_range, ranges, parts, part_of_class, meet, PREPARED)
 
 
@@ -333,7 +367,7 @@ def links(pairs: DataFrame, ready: DataFrame, share: Fraction) -> DataFrame:
     names = ["n", "other1", "other2", "tokens"]
     side = lambda s: ready.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in names))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", *(f"{c}_{s}" for c in names for s in "ab")).mapInArrow(verifier(share), "a bigint, b bigint")
+    return both.select("a", "b", *(f"{c}_{s}" for c in names for s in "ab")).mapInArrow(tidy(verifier(share)), "a bigint, b bigint")
 
 
 # ------------------------------------------------------------ 3. hot buckets
@@ -401,7 +435,7 @@ def remaining(entries: DataFrame, labels: DataFrame, sketches: DataFrame, share:
     cols = ["token", "i", "j", "id", "label", "n", "minor", "side"]
     roles = searchers.select(cols).unionByName(searched.select(cols)).join(sketches, "id").select(*cols, "sketch")
     grouped = roles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return grouped.mapInArrow(cross_pairs(share), "a bigint, b bigint").distinct()
+    return grouped.mapInArrow(tidy(cross_pairs(share)), "a bigint, b bigint").distinct()
 
 
 # ------------------------------------------------------------ 4. components
@@ -445,7 +479,7 @@ def link_documents(docs: DataFrame, k: int = 5, share: Fraction = Fraction(3, 4)
     ranges = min(wanted, max(1, most_ranges))
     able = able_classes(docs, k, share, ranges, -(-wanted // ranges), hot[order], np.minimum(times[order] * rate, (1 << 32) - 1), text)
     ready = stash(able, "prepared")  # a class is told by its hash until components get their names: it may have no id
-    entries = stash(ready.select("id", "n", "centre", "first").mapInArrow(explode_prefix, "token bigint, id bigint, n bigint, centre double"), "entries")
+    entries = stash(ready.select("id", "n", "centre", "first").mapInArrow(tidy(explode_prefix), "token bigint, id bigint, n bigint, centre double"), "entries")
     leaders = entries.groupBy("token").agg(F.max(F.struct("centre", "id", "n")).alias("top"), F.count("*").alias("g")).filter("g > 1").select("token", F.col("top.id").alias("lead"), F.col("top.n").alias("lead_n"))
     fits = share.denominator * F.least("n", "lead_n") >= share.numerator * F.greatest("n", "lead_n")
     pairs = entries.join(leaders, "token").filter((F.col("id") != F.col("lead")) & fits).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()

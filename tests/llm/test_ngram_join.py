@@ -1,5 +1,7 @@
 import random
 import re
+import tracemalloc
+from collections import Counter
 from fractions import Fraction
 
 import duckdb
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docspark.llm import ngram_join, queries
-from docspark.llm.common import shingle_sets, span_hashes
+from docspark.llm.common import mix, shingle_sets, span_hashes
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -183,3 +185,28 @@ def test_sql(spark, tmp_path):
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
         want = db.sql(queries.OP1_SQL).fetchall()
     assert sorted(map(tuple, queries.op1_ngram_join(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect())) == sorted(want)
+
+
+def test_a_place_is_worked_on_in_turns():
+    """A task holds a place's entries packed, and a small part of them as arrays; batches that it sends on are small."""
+    rng, classes = np.random.default_rng(3), 3000
+    own = np.sort(rng.integers(1, 1 << 63, classes, np.int64).astype(np.uint64))
+    owner, tokens = np.repeat(np.arange(classes), 500), mix(rng.integers(0, 400_000, classes * 500).astype(np.uint64))
+    sizes = np.full(classes, 500, np.int64)
+    packs = [ngram_join._pack(np.zeros(250_000, np.int32), tokens[a : a + 250_000], None, owner[a : a + 250_000], own, sizes) for a in range(0, len(tokens), 250_000)]
+    pairs = np.unique(np.stack([tokens, own[owner]], 1), axis=0)
+    _, back, times = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+    want = {(t, c): n for (t, c), n in zip(map(tuple, pairs.tolist()), times[back].tolist(), strict=True) if n > 1}
+    none = np.zeros(0, np.uint64)
+    tracemalloc.start()
+    made = [(batch, tracemalloc.reset_peak()) for batch in ngram_join.counted([*packs, packs[0]], 7, none, none, False)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [x for t, df, c, _ in ngram_join._turns([b for b, _ in made], True) for x in zip(t.tolist(), c.tolist(), df.tolist(), strict=True)]
+    assert len(got) == len(want) and {(t, c): n for t, c, n in got} == want
+    assert most < 64 << 20 and max(b.nbytes for b, _ in made) < 10 << 20 and len(made) > 2
+    whole = [x for b, _ in made for x in ngram_join.met([b], Fraction(1, 100))]
+    assert all(b.nbytes < 16 << 20 for b in whole)
+    shared = [x for x in ngram_join.met([b for b, _ in made], Fraction(3, 4))]
+    counts = Counter(c for _, c in want)
+    assert sorted(np.concatenate([b.column(0).to_numpy() for b in shared]).view(np.uint64).tolist()) == sorted(c for c, n in counts.items() if n >= 375)
