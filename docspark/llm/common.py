@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructType
 
 from docspark.plans import workers
-from docspark.plans.shared import drop_stash, new_path, stash  # noqa: F401  the operators take them from here
+from docspark.plans.shared import drop_stash, new_path, settings, stash  # noqa: F401  the operators take them from here
 
 #: The separators between words: space and U+0009 to U+000D, as a Java regex class and as characters.
 SPACES = r"\x20\x09-\x0D"

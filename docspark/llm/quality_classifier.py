@@ -27,13 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, DoubleType
 
-from docspark.llm.common import LOWER, drop_stash, sent_whole, slices, span_hashes, stash, text_column, word_spans
+from docspark.llm.common import BATCH_BYTES, LOWER, drop_stash, sent_whole, settings, slices, span_hashes, stash, text_column, tidy, word_spans
 
 AT = 0.7  # where the threshold lies on the scale of scores
 #: Rows of a block, in how many pairs each is at least, and how many rows of each label a block should have.
 ROWS, PARTNERS, PARTNERED = 4096, 4, 64
 #: Up to so many labels are broadcast; beyond, documents meet them by a shuffle.
 SENT = 2_000_000
+#: A block lies in so many rows, of about 270 kB each, so that the JVM never has a block in one buffer. They are a file of
+#: one row group, which Spark reads in one task, in pages and batches of a few.
+PIECES = 32
+FILES = {"maxRecordsPerFile": str(PIECES), "parquet.block.size": str(128 << 20), "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+READ = {"spark.sql.parquet.columnarReaderBatchSize": "4", BATCH_BYTES: "1m"}
 
 
 def _bytes(chars: str) -> np.ndarray:
@@ -128,7 +133,9 @@ class Ranker:
 
 
 def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    return np.clip((x - mean) / spread, -8, 8)
+    z = x - mean
+    z /= spread
+    return np.clip(z, -8, 8, out=z)
 
 
 def least(loss, start: np.ndarray, steps: int = 300, kept: int = 10, gain: float = 1e-12) -> np.ndarray:
@@ -211,8 +218,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str) -> tuple[DataFrame,
     return rows, {r.q: r.n for r in found}
 
 
-def _dealt(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """(block, x, good, own): features and labels of blocks of about ROWS rows; own is 1 in one block of a row's."""
+def _dealt(rows: DataFrame, sizes: dict[int, int], pieces: int = 1) -> DataFrame:
+    """(block, x, good, own): features and labels of blocks of about ROWS rows, each as so many pieces; own is 1 in one block of a row's."""
     n = -(-sum(sizes.values()) // ROWS)
     copies = {q: min(n, -(-n * PARTNERED // size)) for q, size in sizes.items()}
     place, h = F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.xxhash64("doc_id", F.lit(1))
@@ -222,8 +229,13 @@ def _dealt(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
 
     def packed(part: pa.Table) -> pa.Table:
         part = part.sort_by([("h", "ascending"), ("x", "ascending")])
-        x, good, own = b"".join(part["x"].to_pylist()), part["q"].to_numpy().astype(np.int8), part["copy"].to_numpy() == 0
-        return pa.table({"block": part["block"][:1], "x": pa.array([x]), "good": pa.array([good.tobytes()]), "own": pa.array([own.tobytes()])})
+        block, good, own = part["block"][0], part["q"].to_numpy().astype(np.int8), part["copy"].to_numpy() == 0
+        edges = [len(good) * k // pieces for k in range(pieces + 1)]
+        made = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            columns = [b"".join(part["x"][a:b].to_pylist()), good[a:b].tobytes(), own[a:b].tobytes()]
+            made.append(pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *(pa.array([c]) for c in columns)], names=["block", "x", "good", "own"]))
+        return pa.Table.from_batches(made)
 
     return dealt.select("block", "q", "h", "x", "copy").groupBy("block").applyInArrow(packed, "block bigint, x binary, good binary, own binary")
 
@@ -233,13 +245,22 @@ def _over(blocks: DataFrame, make, fields: str) -> DataFrame:
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Scalar, ...]] = []
         for batch in batches:
-            for block, x, good, own in zip(*(batch.column(k) for k in range(4)), strict=True):
-                good = np.frombuffer(good.as_buffer(), np.int8)
-                made = make(block.as_py(), np.frombuffer(x.as_buffer(), np.float32).reshape(len(good), -1), good, np.frombuffer(own.as_buffer(), bool))
+            for piece in zip(*(batch.column(k) for k in range(4)), strict=True):
+                held.append(piece)
+                if len(held) < PIECES:
+                    continue
+                if len({block.as_py() for block, *_ in held}) > 1:
+                    raise ValueError("a block isn't in one task")
+                x, good, own = (np.concatenate([np.frombuffer(p[k].as_buffer(), kind) for p in held]) for k, kind in ((1, np.float32), (2, np.int8), (3, bool)))
+                held.clear()
+                made = make(piece[0].as_py(), x.reshape(len(good), -1), good, own)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=names)
+        if held:
+            raise ValueError("a block isn't in one task")
 
-    return blocks.select("block", "x", "good", "own").mapInArrow(run, fields)
+    return blocks.select("block", "x", "good", "own").mapInArrow(tidy(run), fields)
 
 
 def _sums(blocks: DataFrame, make) -> np.ndarray:
@@ -279,7 +300,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ridge: float = 1
     rows, sizes = _labelled(docs, labels, text)
     if len(sizes) < 2:
         return unlearned(WIDTH)
-    blocks = stash(_dealt(rows, sizes), "labelled")
+    blocks = stash(_dealt(rows, sizes, PIECES), "labelled", FILES)
+    with settings(docs.sparkSession, READ):
+        return _learned(blocks, sizes, ridge, seed)
+
+
+def _learned(blocks: DataFrame, sizes: dict[int, int], ridge: float, seed: int) -> Ranker:
+    """Learns from blocks, which are dropped then."""
     total, bad = sum(sizes.values()), sizes[0]
     mean = _sums(blocks, lambda block, x, good, own: x[own].sum(0, dtype=np.float64)).sum(0) / total
     spread = np.maximum(np.sqrt(_sums(blocks, lambda block, x, good, own: ((x[own] - mean) ** 2).sum(0)).sum(0) / total), 1e-6)

@@ -54,24 +54,31 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within the block no query leaves shuffle files behind, so what many rounds hold on disk is one round's. Tables that
-    queries share there have to be stashed."""
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within the block the session has these settings."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within the block no query leaves shuffle files behind, so what many rounds hold on disk is one round's. Tables that
+    queries share there have to be stashed."""
+    return settings(spark, {CLEAN_UP: "true"})
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, and outlives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

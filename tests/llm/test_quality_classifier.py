@@ -177,3 +177,19 @@ def test_ranked(spark):
     values = np.r_[np.random.default_rng(1).normal(size=500), [2.0] * 40, 1e9, -1e-300]
     df = spark.createDataFrame([(float(v),) for v in values], "value double")
     assert all(qc.ranked(df, k, 8) == np.sort(values)[k] for k in (0, 17, 250, 505, 541))
+
+
+def test_blocks_lie_in_small_rows_a_file_each(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('word ', id, if(id % 7 = 0, ' ### ###', ' fine.')) as text")
+    kept, real = [], qc.stash
+
+    def seen(df, name, *rest):
+        out = real(df, name, *rest)
+        if name == "labelled":
+            kept.append(out.select("block", F.input_file_name().alias("file"), F.length("x").alias("size"), F.length("good").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(qc, "stash", seen)
+    qc.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 7 > 0) as quality"))
+    assert sum(r.n for r in kept[0]) == 9000 and max(r.size for r in kept[0]) <= 1 << 19
+    assert len({r.block for r in kept[0]}) == len({r.file for r in kept[0]}) == len({(r.block, r.file) for r in kept[0]}) == 3
