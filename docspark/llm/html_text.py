@@ -128,7 +128,7 @@ class Tags:
     def next(self, at: int) -> tuple[int, int, str, str, str] | None:
         """(begin, end, closing, name, attributes) of the next tag; the name is empty for comments and declarations."""
         page = self.page
-        while (at := self.find("<", at)) >= 0:
+        while (at := page.find("<", at)) >= 0:
             m = PLAIN.match(page, at)
             if m:
                 return at, m.end(), m[1], m[2], m[3]
@@ -242,7 +242,8 @@ def blocks_of(page: str | None, text: str | None = None) -> list[str]:
 def suffix_order(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first `long` tokens (a power of two), and the rank of each; equal heads have equal ranks."""
     _, rank = np.unique(tokens, return_inverse=True)
-    rank, order, have = rank.astype(np.int64), np.argsort(rank, kind="stable"), 1
+    rank, have = rank.astype(np.int64), 1
+    order = np.argsort(rank, kind="stable") if long == 1 else rank
     while have < long:
         second = np.append(rank[have:], np.full(min(have, len(rank)), -1)) + 1
         key = rank * (int(rank.max(initial=0)) + 2) + second
@@ -293,9 +294,12 @@ def common_heads(pages: pa.Array, share: float) -> tuple[int, dict[int, int]]:
     stream = np.insert(tokens, ends_at + 1, np.arange(len(ends_at), dtype=np.uint64))
     owner = np.insert(kind[page], ends_at + 1, -1)
     order, rank = suffix_order(stream, LONG)
-    whole = order[np.isin(order, _without_marks(owner))]
-    pairs = np.unique(np.stack([rank[whole], owner[whole]], 1), axis=0)
-    ranks, pages_with = np.unique(pairs[:, 0], return_counts=True)
+    within = np.zeros(len(stream), bool)
+    within[_without_marks(owner)] = True
+    whole = order[within[order]]
+    # A rank and a page as one number: neither is as large as the stream, or the pages, are long.
+    pairs = np.unique(rank[whole] * max(1, len(seen)) + owner[whole])
+    ranks, pages_with = np.unique(pairs // max(1, len(seen)), return_counts=True)
     often = pages_with >= max(1.0, share * n)
     place = np.zeros(len(stream), np.int64)
     place[rank[whole]] = whole
@@ -313,13 +317,15 @@ def _without_marks(owner: np.ndarray) -> np.ndarray:
 def without(pages: list[str | None], data: np.ndarray, offs: np.ndarray, heads: list[np.ndarray | None]) -> list[str | None]:
     """Each page with the tokens that heads cover blanked out, of the same length; None where there are none."""
     starts, ends, row, hashes = tokens_of(data, offs)
+    found = head_hashes(hashes).view(np.int64)
     first = np.searchsorted(row, np.arange(len(pages) + 1))
     out: list[str | None] = [None] * len(pages)
     for k, known in enumerate(heads):
         a, b = first[k], first[k + 1]
         if known is None or not len(known) or b - a < LONG:
             continue
-        hit = np.flatnonzero(np.isin(head_hashes(hashes[a:b]), known))
+        known, own = np.sort(known.view(np.int64)), found[a : b - LONG + 1]
+        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
         if not len(hit):
             continue
         covered = np.zeros(b - a + 1, np.int64)
@@ -327,12 +333,18 @@ def without(pages: list[str | None], data: np.ndarray, offs: np.ndarray, heads:
         covered[hit + LONG] -= 1
         gone = np.flatnonzero(np.cumsum(covered[:-1]) > 0) + a
         raw, base = data[offs[k] : offs[k + 1]], offs[k]
-        blank = np.zeros(len(raw) + 1, np.int64)
-        np.add.at(blank, starts[gone] - base, 1)
-        np.add.at(blank, ends[gone] - base, -1)
+        blank = np.zeros(len(raw) + 1, np.int8)
+        blank[starts[gone] - base] += 1  # no two tokens begin, or end, at one place
+        blank[ends[gone] - base] -= 1
+        blanked = np.cumsum(blank[:-1], dtype=np.int8) > 0
+        if len(pages[k]) == len(raw):  # each character is a byte
+            chars = raw.copy()
+            chars[blanked] = 32
+            out[k] = chars.tobytes().decode("ascii")
+            continue
         lead = (raw & 0xC0) != 0x80  # a character's first byte
         chars = np.frombuffer(pages[k].encode("utf-32-le"), np.uint32).copy()
-        chars[np.cumsum(blank[:-1])[lead] > 0] = 32
+        chars[blanked[lead]] = 32
         out[k] = chars.tobytes().decode("utf-32-le")
     return out
 
@@ -375,10 +387,11 @@ def hosts_of(own: DataFrame, share: float, least: int, block: int, block_bytes:
             begin, values = own.column(2).offsets.to_numpy(), own.column(2).values.to_numpy()
             for at, data, offs in slices(own.column(1)):
                 _, _, page, tokens = tokens_of(data, offs)
+                all_heads = head_hashes(tokens).view(np.int64)
                 first = np.searchsorted(page, np.arange(len(offs)))
                 for k in range(len(offs) - 1):
                     wanted = values[begin[at + k] : begin[at + k + 1]]
-                    heads = head_hashes(tokens[first[k] : first[k + 1]]).view(np.int64)
+                    heads = all_heads[first[k] : max(first[k], first[k + 1] - LONG + 1)]
                     near = np.minimum(np.searchsorted(wanted, heads), len(wanted) - 1)
                     found.append(wanted[np.unique(near[wanted[near] == heads])])
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array(streams), pa.array(found, pa.list_(pa.int64()))], names=["host", "stream", "heads"])
@@ -413,7 +426,8 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 10, block: int =
 
     def parse(batches):
         for batch in batches:
-            heads = [np.array(x, np.int64).view(np.uint64) if x else None for x in batch.column(2).to_pylist()]
+            begin, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            heads = [values[a:b] if b > a else None for a, b in zip(begin[:-1], begin[1:], strict=True)]
             column, texts = batch.column(3), []
             for at, data, offs in slices(column):
                 own = column.slice(at, len(offs) - 1).to_pylist()

@@ -203,3 +203,16 @@ def test_results_do_not_hang_on_blocks(spark):
     assert found[8] == found[128] == found[1 << 30]
     assert all(found[8][i].split() == article.split() for i in range(150))
     assert not [i for i in range(200, 300) if "offer" in found[8][i]] and all(found[8][i] for i in range(200, 300))
+
+
+def test_heads_of_a_slice_are_hashed_once(monkeypatch):
+    menu = "<ul> <li>Hémé</li> <li>About</li> <li>Contact us</li> </ul>"
+    pages = [f"{menu if k % 3 else ''} <p>Page {k} says {'ä' if k % 2 else 'a'} word\u2003of its own</p> {menu.replace('é', 'e') if k % 4 else ''}" for k in range(24)] + [None, "", "<p>"]
+    column = pa.array(pages, pa.string())
+    _, counts = html_text.common_heads(column, 0.5)
+    heads = np.array(list(counts), np.int64)
+    alone = [html_text.without([p], *html_text.flat(pa.array([p], pa.string())), [heads])[0] for p in pages]
+    real, calls = html_text.head_hashes, []
+    monkeypatch.setattr(html_text, "head_hashes", lambda tokens: calls.append(len(tokens)) or real(tokens))
+    assert html_text.without(pages, *html_text.flat(column), [heads] * len(pages)) == alone and len(calls) == 1
+    assert all("Contact" not in x and f" {k} says" in x and len(x) == len(pages[k]) for k, x in enumerate(alone[:24]) if x is not None) and sum(x is not None for x in alone) > 12
