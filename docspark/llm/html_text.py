@@ -247,7 +247,7 @@ def suffix_order(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]
     while have < long:
         second = np.append(rank[have:], np.full(min(have, len(rank)), -1)) + 1
         key = rank * (int(rank.max(initial=0)) + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
@@ -298,7 +298,8 @@ def common_heads(pages: pa.Array, share: float) -> tuple[int, dict[int, int]]:
     within[_without_marks(owner)] = True
     whole = order[within[order]]
     # A rank and a page as one number: neither is as large as the stream, or the pages, are long.
-    pairs = np.unique(rank[whole] * max(1, len(seen)) + owner[whole])
+    pairs = np.sort(rank[whole] * max(1, len(seen)) + owner[whole])
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
     ranks, pages_with = np.unique(pairs // max(1, len(seen)), return_counts=True)
     often = pages_with >= max(1.0, share * n)
     place = np.zeros(len(stream), np.int64)
